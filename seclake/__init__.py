@@ -1 +1,9 @@
 """seclake: source-code security findings as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python tasks travel with the job, so that executors need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
 
+_TYPES = {
+    "STRING": StringType(), "INT": IntegerType(), "BIGINT": LongType(),
+    "TIMESTAMP_NTZ": TimestampNTZType(), "STRINGS": ArrayType(StringType()),
+}
 _T = "TIMESTAMP_NTZ"
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def _schema(columns: str, **nested: DataType) -> StructType:
+    """Schema from ``name TYPE`` pairs. Needs no session, unlike parsing DDL."""
+    pairs = [column.split() for column in columns.split(",")]
+    fields = [StructField(name, _TYPES[kind]) for name, kind in pairs]
+    return StructType([StructField(n, t) for n, t in nested.items()] + fields)
 
 
 USERS = _schema(
@@ -44,8 +60,10 @@ TABLES = {
     "audit_logs": AUDIT_LOGS,
 }
 
+_ANSWER_FINDING = _schema(
+    "category STRING, line_number STRING, line_content STRING, severity STRING, "
+    "explanation STRING, recommendation STRING")
 ANSWER = _schema(
-    "analyzed_vulnerabilities ARRAY<STRUCT<category STRING, line_number STRING, "
-    "line_content STRING, severity STRING, explanation STRING, recommendation STRING>>, "
     "overall_risk_score STRING, overall_risk_level STRING, executive_summary STRING, "
-    "top_priority_fixes ARRAY<STRING>, secure_code STRING")
+    "top_priority_fixes STRINGS, secure_code STRING",
+    analyzed_vulnerabilities=ArrayType(_ANSWER_FINDING))
