@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seclake.functions.texts import language_by_path
+from seclake.session import spread
 
 TABLES = {
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
@@ -243,12 +244,6 @@ def stream(spark, sf, name: str, exprs: list[str]) -> DataFrame:
         .parquet(sf).selectExpr(*exprs))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the table came as fewer pieces than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_plants(documents: DataFrame, column: str) -> DataFrame:
     """Documents as source files, each with its planted line (28 fixed plants)."""
     spark = documents.sparkSession
@@ -268,8 +263,8 @@ def with_plants(documents: DataFrame, column: str) -> DataFrame:
 
 
 def source_files(spark, sf):
-    return with_plants(spread(read(spark, sf, "documents")), "hit")
+    return with_plants(spread(read(spark, sf, "documents"), "doc_id"), "hit")
 
 
 def secure_files(spark, sf):
-    return with_plants(spread(read(spark, sf, "documents")), "miss")
+    return with_plants(spread(read(spark, sf, "documents"), "doc_id"), "miss")

@@ -10,7 +10,7 @@ from checks.registry import given, query
 from seclake.functions import texts
 from seclake.operators import answers, scanning
 from seclake.plans.file_scan import scan_and_store
-from seclake.session import new_folder
+from seclake.session import new_folder, spread
 from seclake.sources.tables import read_table
 from seclake.sources.tree import list_tree, read_tree
 from seclake.streaming.arriving import scan_arriving
@@ -55,7 +55,7 @@ def f17(spark, sf):
     text = F.col("text")
     return A.source_files(spark, sf).select(
         "file_path", texts.strip(text).alias("stripped"),
-        F.size(texts.split_lines(text)).alias("line_count"))
+        F.size(texts.split_lines("text")).alias("line_count"))
 
 
 @query("w3_line_numbers", given("source_files")[:-1] + f", {lines_sql('source_files')} "
@@ -128,7 +128,7 @@ UNION ALL
 SELECT doc_id, line_number, 'USR-002', trim(line, {WS}), 'Low'
 FROM lines WHERE regexp_matches(line, '{_USER_RULES[1].pattern}', 'i')""")
 def x1(spark, sf):
-    files = A.spread(A.read(spark, sf, "documents")).select(
+    files = spread(A.read(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.col("doc_id").cast("string").alias("file_path"), "text",
         F.lit("python").alias("language"))
     rules = spark.createDataFrame(_USER_RULES, RULE_SCHEMA)

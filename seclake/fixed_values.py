@@ -75,7 +75,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
-RARE_BREAK = r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+RARE_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 # ---- fixed values: texts -------------------------------------------------------
 

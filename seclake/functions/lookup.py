@@ -1,20 +1,27 @@
-"""Turn a fixed Python dict into a map column."""
+"""Turn fixed Python values into SQL text and map columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
+def quoted(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal(value) -> str:
+    if isinstance(value, (list, tuple)):
+        return f"cast(array({', '.join(map(literal, value))}) as array<string>)"
+    return quoted(value) if isinstance(value, str) else str(value)
+
+
+def map_text(values: dict) -> str:
+    return f"map({', '.join(literal(x) for pair in values.items() for x in pair)})"
+
+
 def literal_map(values: dict) -> Column:
-    pairs = []
-    for key, value in values.items():
-        pairs.append(F.lit(key))
-        if isinstance(value, (list, tuple)):
-            items = F.array(*[F.lit(v) for v in value])
-            pairs.append(items.cast("array<string>"))
-        else:
-            pairs.append(F.lit(value))
-    return F.create_map(*pairs)
+    return F.expr(map_text(values))
 
 
 def look_up(values: dict, key: Column, default=None) -> Column:

@@ -9,12 +9,12 @@ from seclake.fixed_values import (
     LANGUAGE_SNIFF_CHARS,
     LINE_BREAK,
     OTHER_EMOJI,
-    RARE_BREAK,
+    RARE_BREAKS,
     SCANNED_EXTENSIONS,
     SEVERITY_EMOJI,
     WHITESPACE,
 )
-from seclake.functions.lookup import look_up
+from seclake.functions.lookup import look_up, quoted
 
 
 def strip(text: Column) -> Column:
@@ -22,14 +22,22 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def split_lines(text: Column) -> Column:
-    """Break text at every line boundary, without an empty last line."""
+def lines_text(text: str) -> str:
+    """SQL text that breaks ``text`` at every line boundary, with no empty last line."""
     # Most text breaks at newlines only, and a one-character split needs no pattern.
-    parts = F.when(text.rlike(RARE_BREAK), F.split(text, LINE_BREAK, -1)).otherwise(
-        F.split(text, "\n", -1))
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    rare = " OR ".join(f"contains({text}, {quoted(c)})" for c in RARE_BREAKS)
+    parts = (
+        f"CASE WHEN {rare} THEN split({text}, {quoted(LINE_BREAK)}, -1) "
+        f"ELSE split({text}, '\\n', -1) END")
+    # A one-element transform binds the parts, so that the text is split once.
+    return (
+        f"element_at(transform(array({parts}), parts -> CASE WHEN element_at(parts, -1) = '' "
+        "THEN slice(parts, 1, size(parts) - 1) ELSE parts END), 1)")
+
+
+def split_lines(column: str = "text") -> Column:
+    """Lines of a text column, without an empty last line."""
+    return F.expr(lines_text(column))
 
 
 def language_by_content(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seclake.fixed_values import (
     ALLOWED_MOVES,
+    CLOSED_STATUSES,
     LIFECYCLE,
     MOVE_REJECTED,
     SCAN_MISSING,
@@ -20,7 +21,7 @@ from seclake.functions.scores import (
     open_weight,
     score_of,
 )
-from seclake.operators.ordered import ROWS_PER_PIECE, previous, running_sums
+from seclake.operators.ordered import ROWS_PER_PIECE, any_large_group, previous, running_sums
 from seclake.session import cut
 
 TIME_ORDER = ["timestamp", "id"]
@@ -63,32 +64,28 @@ def replay_status_changes(
     """Score and lifecycle of the scan after every finding-status change.
 
     ``changes`` has id, vuln_id, scan_id, severity, status, timestamp; ``findings`` has
-    vuln_id, scan_id, severity, status as they were before the first change.
+    vuln_id, scan_id, severity, status as they were before the first change. The findings
+    go in as rows that sort before all changes, so no join is needed. A change of an
+    unknown finding is left out.
     """
+    columns = ["id", "vuln_id", "scan_id", "severity", "status", "timestamp"]
     start = findings.select(
-        F.col("scan_id").alias("_s_scan"), F.col("vuln_id").alias("_s_vuln"),
-        F.col("status").alias("_s_status"))
-    with_old = previous(
-        changes, ["scan_id", "vuln_id"], TIME_ORDER, {"old_status": "status"}, limit)
-    # Only a finding's first change lacks an old status; it takes the starting one.
-    with_start = with_old.join(
-        start,
-        with_old["old_status"].isNull()
-        & (with_old["scan_id"] == F.col("_s_scan")) & (with_old["vuln_id"] == F.col("_s_vuln")),
-        "left",
-    ).withColumn("old_status", F.coalesce("old_status", "_s_status", F.lit("open"))).drop(
-        "_s_scan", "_s_vuln", "_s_status")
-    steps = status_deltas(with_start, F.col("old_status"))
+        F.lit(None).cast("bigint").alias("id"), "vuln_id", "scan_id", "severity", "status",
+        F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(0).alias("kind"))
+    rows = changes.select(*columns, F.lit(1).alias("kind")).unionByName(start)
+    order = ["kind", *TIME_ORDER]
+    if not any_large_group(rows, ["scan_id"], limit):
+        # One shuffle by scan serves both windows below.
+        rows, limit = rows.repartition("scan_id"), None
+    with_old = previous(rows, ["scan_id", "vuln_id"], order, {"old_status": "status"}, limit, rows)
+    known = with_old.filter((F.col("kind") == 0) | F.col("old_status").isNotNull())
+    # A starting row adds what is open at the start; before it nothing was.
+    before = F.when(F.col("kind") == 0, F.lit(CLOSED_STATUSES[0])).otherwise(F.col("old_status"))
     summed = running_sums(
-        steps, ["scan_id"], [F.col(c) for c in TIME_ORDER],
-        {"weight_sum": "weight_change", "critical_sum": "critical_change"}, limit)
-    totals = open_totals(findings).withColumnRenamed("scan_id", "_t_scan")
-    joined = summed.join(totals, summed["scan_id"] == F.col("_t_scan"), "left")
-    return scored(joined.select(
-        *changes.columns, "old_status",
-        (F.coalesce("start_weight", F.lit(0)) + F.col("weight_sum")).alias("open_weight"),
-        (F.coalesce("start_critical", F.lit(0)) + F.col("critical_sum")).alias("open_critical"),
-    ))
+        status_deltas(known, before), ["scan_id"], [F.col(c) for c in order],
+        {"open_weight": "weight_change", "open_critical": "critical_change"}, limit, rows)
+    return scored(summed.filter("kind = 1").select(
+        *columns, "old_status", "open_weight", "open_critical"))
 
 
 def score_overrides(scans: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -246,8 +243,7 @@ def run_lifecycle(
         F.col("risk_score").cast("int").alias("start_score"))
     rows = asked.unionByName(start)
     by = ["scan_id", "kind", *TIME_ORDER]
-    hot = requests.groupBy("scan_id").count().filter(F.col("count") > limit).limit(1).count()
-    if not hot:
+    if not any_large_group(requests, ["scan_id"], limit):
         together = rows.repartition("scan_id").sortWithinPartitions(*by)
         return together.withColumn("part", F.lit(0)).mapInPandas(_walker({}), STEP_SCHEMA)
     ranged = cut(

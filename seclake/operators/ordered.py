@@ -18,12 +18,30 @@ MAX_HOT_GROUPS = 10_000
 PIECE = "_piece"
 
 
-def in_pieces(df: DataFrame, keys: list[str], order: list, limit: int) -> tuple[DataFrame, bool]:
-    """Add the piece number, rising with the order; tell whether any group was divided."""
+def large_groups(df: DataFrame, keys: list[str], limit: int) -> tuple[list, DataFrame]:
+    """Keys with more than ``limit`` rows, at most MAX_HOT_GROUPS + 1 of them."""
+    large = df.groupBy(*keys).count().filter(F.col("count") > limit).drop("count")
+    return large.limit(MAX_HOT_GROUPS + 1).collect(), large
+
+
+def any_large_group(df: DataFrame, keys: list[str], limit: int) -> bool:
+    return bool(df.groupBy(*keys).count().filter(F.col("count") > limit).limit(1).count())
+
+
+def in_pieces(
+    df: DataFrame, keys: list[str], order: list, limit: int | None,
+    counted: DataFrame | None = None,
+) -> tuple[DataFrame, bool]:
+    """Add the piece number, rising with the order; tell whether any group was divided.
+
+    ``counted`` may name a cheaper frame with at least as many rows per key, to look for
+    large groups in. ``limit`` None says that the groups are known to be small.
+    """
     if not keys:
-        return _ranged(df, keys, order, limit), True
-    hot = df.groupBy(*keys).count().filter(F.col("count") > limit).drop("count")
-    found = hot.limit(MAX_HOT_GROUPS + 1).collect()
+        return _ranged(df, keys, order, limit or ROWS_PER_PIECE), True
+    if limit is None:
+        return df.withColumn(PIECE, F.lit(0).cast("bigint")), False
+    found, hot = large_groups(df if counted is None else counted, keys, limit)
     if not found:
         return df.withColumn(PIECE, F.lit(0).cast("bigint")), False
     if len(found) > MAX_HOT_GROUPS:
@@ -66,10 +84,10 @@ def _before(keys: list[str]):
 
 def positions(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "position",
-    limit: int = ROWS_PER_PIECE,
+    limit: int | None = ROWS_PER_PIECE, counted: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of each row in its group."""
-    rows, divided = in_pieces(df, keys, order, limit)
+    rows, divided = in_pieces(df, keys, order, limit, counted)
     group = keys + [PIECE] if divided else keys
     local = rows.withColumn(
         name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("bigint"))
@@ -83,10 +101,10 @@ def positions(
 
 def running_sums(
     df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str],
-    limit: int = ROWS_PER_PIECE,
+    limit: int | None = ROWS_PER_PIECE, counted: DataFrame | None = None,
 ) -> DataFrame:
     """For each ``new: column``, the sum over the group up to and including the row."""
-    rows, divided = in_pieces(df, keys, order, limit)
+    rows, divided = in_pieces(df, keys, order, limit, counted)
     group = keys + [PIECE] if divided else keys
     upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", *[F.sum(c).over(upto).alias(new) for new, c in sums.items()])
@@ -104,14 +122,14 @@ def running_sums(
 
 def previous(
     df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-    limit: int = ROWS_PER_PIECE,
+    limit: int | None = ROWS_PER_PIECE, counted: DataFrame | None = None,
 ) -> DataFrame:
     """For each ``new: column``, the value of the row before; null in the first row.
 
     ``order`` holds column names, all ascending.
     """
     by = [F.col(c) for c in order]
-    rows, divided = in_pieces(df, keys, by, limit)
+    rows, divided = in_pieces(df, keys, by, limit, counted)
     group = keys + [PIECE] if divided else keys
     window = Window.partitionBy(*group).orderBy(*by)
     local = rows.select("*", *[F.lag(c).over(window).alias(new) for new, c in values.items()])

@@ -40,9 +40,9 @@ def line_counts(original: DataFrame, secure: DataFrame) -> DataFrame:
     """Number of lines of each file in both snapshots (U4)."""
     after = secure.select(
         F.col("file_path").alias("_path"),
-        F.size(split_lines(F.col("text"))).alias("line_count_secure"))
+        F.size(split_lines("text")).alias("line_count_secure"))
     before = original.select(
-        "file_path", F.size(split_lines(F.col("text"))).alias("line_count_original"))
+        "file_path", F.size(split_lines("text")).alias("line_count_original"))
     return before.join(after, F.col("file_path") == F.col("_path"), "left").select(
         "file_path", secure_name(F.col("file_path")).alias("secure_file"),
         "line_count_original", F.coalesce("line_count_secure", F.lit(0)).alias("line_count_secure"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seclake.fixed_values import REPO_SUMMARY, RULES, SEVERITIES, STRUCTURAL_RULES
-from seclake.functions.lookup import look_up
+from seclake.functions.lookup import map_text, quoted
 from seclake.functions.scores import (
     level_of,
     lifecycle_at_scan,
@@ -19,7 +19,7 @@ from seclake.functions.scores import (
     weight,
 )
 from seclake.functions.texts import base_name, is_scanned_path, message, owasp_prefix
-from seclake.operators.ordered import ROWS_PER_PIECE, positions
+from seclake.operators.ordered import ROWS_PER_PIECE, any_large_group, positions
 
 COUNTS = [s.lower() for s in SEVERITIES]
 
@@ -110,21 +110,26 @@ def breakdown_rows(
         .groupBy(*keys, "kind", "name")
         .agg(F.count("*").alias("findings"), F.min(F.struct(*order)).alias("_first"))
     )
-    return with_share_and_rank(counts, keys + ["kind"], limit)
+    ranked = [F.col("findings").desc(), F.col("_first").asc(), F.col("name").asc()]
+    group = [*keys, "kind"]
+    # A key has no more names than findings, and those are cheaper to count.
+    if not any_large_group(findings, keys, limit):
+        window = Window.partitionBy(*group).orderBy(*ranked)
+        placed = counts.withColumn("rank", (F.row_number().over(window) - 1).cast("bigint"))
+        most = F.first("findings").over(window)
+        return placed.withColumn("share", _share(most)).drop("_first")
+    placed = positions(counts, group, ranked, "rank", limit)
+    top = placed.filter("rank = 0").select(
+        *[F.col(k).alias(f"_k_{k}") for k in group], F.col("findings").alias("_most"))
+    same = F.lit(True)
+    for k in group:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(top, same).withColumn("share", _share(F.col("_most"))).drop(
+        "_first", "_most", *[f"_k_{k}" for k in group])
 
 
-def with_share_and_rank(counts: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    most = counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.max("findings").alias("_most"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & counts[k].eqNullSafe(most[f"_k_{k}"])
-    shared = counts.join(most, same).withColumn(
-        "share", F.floor(F.col("findings") * 100 / F.col("_most")).cast("int"))
-    ranked = positions(
-        shared, keys, [F.col("findings").desc(), F.col("_first").asc(), F.col("name").asc()],
-        "rank", limit)
-    return ranked.drop("_first", "_most", *[f"_k_{k}" for k in keys])
+def _share(most: Column) -> Column:
+    return F.floor(F.col("findings") * 100 / most).cast("int")
 
 
 def file_profiles(scanned: DataFrame) -> DataFrame:
@@ -139,15 +144,15 @@ def file_profiles(scanned: DataFrame) -> DataFrame:
     owasp = {r.vuln_id: r.owasp_category.split(" - ")[0] for r in known}
 
     def counted(names: dict[str, str]) -> Column:
-        of_hits = F.transform("hits", lambda h: look_up(names, h["vuln_id"]))
-        return F.aggregate(
-            of_hits, F.create_map().cast("map<string,int>"),
-            lambda acc, name: F.map_concat(
-                F.map_filter(acc, lambda k, _: k != name),
-                F.create_map(name, F.coalesce(F.try_element_at(acc, name), F.lit(0)) + 1)))
+        of_hits = f"transform(hits, h -> try_element_at({map_text(names)}, h.vuln_id))"
+        return F.expr(
+            f"aggregate({of_hits}, cast(map() as map<string, int>), (seen, name) -> map_concat("
+            "map_filter(seen, (k, n) -> k <> name), "
+            "map(name, coalesce(try_element_at(seen, name), 0) + 1)))")
 
     def of_severity(s: str) -> Column:
-        return F.size(F.filter("hits", lambda h: look_up(severity, h["vuln_id"]) == s))
+        ids = ", ".join(quoted(i) for i, found in severity.items() if found == s)
+        return F.expr(f"size(filter(hits, h -> h.vuln_id IN ({ids})))")
 
     kept = [c for c in scanned.columns if c not in ("text", "hits")]
     counts = scanned.select(

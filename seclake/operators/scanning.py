@@ -24,7 +24,8 @@ from seclake.fixed_values import (
     STRUCTURAL_RULES,
     WHITESPACE,
 )
-from seclake.functions.texts import split_lines, strip
+from seclake.functions.lookup import quoted
+from seclake.functions.texts import lines_text, split_lines, strip
 from seclake.schemas import RULES as RULE_SCHEMA
 
 # Rule frames up to this many rows become literal patterns, compiled once per task.
@@ -63,8 +64,10 @@ NEEDED_WORDS = {
     "JAVA-XXE-001": ["documentbuilderfactory.newinstance"],
     "JAVA-DESER-001": ["objectinputstream"],
 }
-# Letters that equal an ASCII letter when case is ignored, but not once lower-cased.
-_ODD_LETTERS = ["ſ", "ı", "İ", "K"]
+# Letters that equal an ASCII letter when case is ignored, and that letter. Lower-casing
+# alone would not turn all of them into it.
+_ODD_LETTERS = "\u017f\u0131\u0130\u212a"
+_PLAIN_LETTERS = "siik"
 
 _ASSERT = r"^assert\b"
 _BARE_EXCEPT = r"^except\s*:\s*(#.*)?$"
@@ -74,118 +77,101 @@ _PASS = r"^pass\s*(#.*)?$"
 
 def lines_of(files: DataFrame) -> DataFrame:
     """One row per line, numbered from 1."""
-    return files.withColumn("_lines", split_lines(F.col("text"))).select(
+    return files.withColumn("_lines", split_lines("text")).select(
         *[c for c in files.columns if c != "text"],
         F.posexplode_outer("_lines").alias("_at", "line"),
     ).filter("_at is not null").withColumn("line_number", F.col("_at") + 1).drop("_at")
 
 
-def context_at(lines: Column, at: Column, width: int = CONTEXT_LINES) -> Column:
-    """Lines around 0-based position ``at``, clamped at both ends."""
-    first = F.greatest(at - (width - 1), F.lit(1))
-    return F.slice(lines, first, at + (width + 2) - first)
+def context_text(lines: str, at: str, width: int = CONTEXT_LINES) -> str:
+    """SQL text for the lines around 0-based position ``at``, clamped at both ends."""
+    first = f"greatest({at} - {width - 1}, 1)"
+    return f"slice({lines}, {first}, {at} + {width + 2} - {first})"
 
 
-def _any_of(tests: list[Column]) -> Column:
-    result = tests[0]
-    for test in tests[1:]:
-        result = result | test
-    return result
+# The expressions below are SQL text: one parse is far cheaper than hundreds of calls that
+# build the same tree column by column.
 
-
-def _by_language(rules: Sequence[Rule], language: Column, of_rules, otherwise: Column) -> Column:
+def _by_language(rules: Sequence[Rule], of_rules, otherwise: str) -> str:
     groups: dict[str, list[Rule]] = {}
     for rule in rules:
         groups.setdefault(rule.language, []).append(rule)
-    chosen = None
-    for name, group in groups.items():
-        value = of_rules(group)
-        chosen = (F.when(language == name, value) if chosen is None
-                  else chosen.when(language == name, value))
-    return otherwise if chosen is None else chosen.otherwise(otherwise)
+    if not groups:
+        return otherwise
+    cases = [f"WHEN {quoted(name)} THEN {of_rules(group)}" for name, group in groups.items()]
+    return f"CASE language {' '.join(cases)} ELSE {otherwise} END"
 
 
-def _may_match(rules: Sequence[Rule], lowered: Column) -> Column:
+def _may_match(rules: Sequence[Rule], lowered: str) -> str:
     """False only when no rule can match the text; a rule without words may always match."""
-    if any(NEEDED_WORDS.get(r.vuln_id) is None or r not in RULES for r in rules):
-        return F.lit(True)
-    words = list(dict.fromkeys(w for r in rules for w in NEEDED_WORDS[r.vuln_id]))
-    return _any_of([lowered.contains(w) for w in words + _ODD_LETTERS])
-
-
-def _hit_ids(rules: Sequence[Rule], line: Column, lowered: Column) -> Column:
-    """Ids of the rules that match the line, in rule order (J1, literal form)."""
-    return F.array_compact(F.array(*[
-        F.when(_may_match([r], lowered) & line.rlike(_FLAGS + r.pattern), F.lit(r.vuln_id))
-        for r in rules]))
-
-
-def _pattern_hits(
-    rules: Sequence[Rule], lines: Column, lowered_lines: Column, width: int
-) -> Column:
-    def line_hits(line, at):
-        lowered = F.get(lowered_lines, at)
-        return F.when(
-            _may_match(rules, lowered),
-            F.transform(
-                _hit_ids(rules, line, lowered),
-                lambda rule_id: F.struct(
-                    rule_id.alias("vuln_id"),
-                    (at + 1).alias("line_number"),
-                    strip(line).alias("line_content"),
-                    context_at(lines, at, width).alias("context_lines"),
-                ),
-            ),
-        )
-    return F.flatten(F.array_compact(F.transform(lines, line_hits)))
-
-
-def _indent(line: Column) -> Column:
-    return F.length(line) - F.length(F.ltrim(line, F.lit(WHITESPACE)))
-
-
-def _structural_hits(lines: Column) -> Column:
+    if any(r.vuln_id not in NEEDED_WORDS or r not in RULES for r in rules):
+        return "true"
+    words = dict.fromkeys(w for r in rules for w in NEEDED_WORDS[r.vuln_id])
+    return "(" + " OR ".join(f"contains({lowered}, {quoted(w)})" for w in words) + ")"
+
+
+def _lowered(text: str) -> str:
+    """Text in lower case, with the odd letters replaced by the ones they stand for."""
+    odd = " OR ".join(f"contains({text}, {quoted(letter)})" for letter in _ODD_LETTERS)
+    plain = f"translate({text}, {quoted(_ODD_LETTERS)}, {quoted(_PLAIN_LETTERS)})"
+    return f"lower(CASE WHEN {odd} THEN {plain} ELSE {text} END)"
+
+
+def _hit_ids(rules: Sequence[Rule]) -> str:
+    """Ids of the rules that match ``line``, in rule order (J1, literal form)."""
+    tests = [
+        f"CASE WHEN {_may_match([r], 'lowered')} AND line RLIKE {quoted(_FLAGS + r.pattern)} "
+        f"THEN {quoted(r.vuln_id)} END" for r in rules]
+    return f"array_compact(array({', '.join(tests)}))"
+
+
+def _pattern_hits(rules: Sequence[Rule], width: int) -> str:
+    hit = (
+        "named_struct('vuln_id', id, 'line_number', at + 1, "
+        f"'line_content', btrim(line, {quoted(WHITESPACE)}), "
+        f"'context_lines', {context_text('_lines', 'at', width)})")
+    # A one-element transform binds the lowered line.
+    return (
+        "flatten(array_compact(transform(_lines, (line, at) -> "
+        "element_at(transform(array(get(_lowered_lines, at)), lowered -> "
+        f"CASE WHEN {_may_match(rules, 'lowered')} "
+        f"THEN transform({_hit_ids(rules)}, id -> {hit}) END), 1))))")
+
+
+def _structural_hits() -> str:
     """Asserts, and bare excepts whose only statement is ``pass``.
 
     Works on the sequence of lines that hold a statement. It does not parse: text inside
     a multi-line string can look like a statement.
     """
-    statements = F.filter(
-        F.transform(lines, lambda line, at: F.struct(
-            (at + 1).alias("n"), strip(line).alias("code"), _indent(line).alias("indent"))),
-        lambda s: (s["code"] != "") & ~s["code"].startswith("#"),
-    )
-
-    def silent(all_statements):
-        def test(s, at):
-            body, after = F.get(all_statements, at + 1), F.get(all_statements, at + 2)
-            only_pass = (
-                body["code"].rlike(_PASS)
-                & (body["indent"] > s["indent"])
-                & (after.isNull() | (after["indent"] < body["indent"]))
-            )
-            return s["code"].startswith("except") & (
-                s["code"].rlike(_BARE_EXCEPT_PASS)
-                | (s["code"].rlike(_BARE_EXCEPT) & F.coalesce(only_pass, F.lit(False))))
-        return F.filter(all_statements, test)
-
-    def asserts(all_statements):
-        return F.filter(
-            all_statements, lambda s: s["code"].startswith("assert") & s["code"].rlike(_ASSERT))
-
-    def as_hits(found, rule: Rule):
-        return F.transform(found, lambda s: F.struct(
-            F.lit(rule.vuln_id).alias("vuln_id"),
-            s["n"].alias("line_number"),
-            s["code"].alias("line_content"),
-            F.array().cast("array<string>").alias("context_lines"),
-        ))
+    space = quoted(WHITESPACE)
+    statements = (
+        "filter(transform(_lines, (line, at) -> named_struct('n', at + 1, "
+        f"'code', btrim(line, {space}), "
+        f"'indent', length(line) - length(ltrim({space}, line)))), "
+        "s -> s.code <> '' AND NOT startswith(s.code, '#'))")
+    only_pass = (
+        f"get(all_s, at + 1).code RLIKE {quoted(_PASS)} "
+        "AND get(all_s, at + 1).indent > s.indent "
+        "AND (get(all_s, at + 2) IS NULL OR get(all_s, at + 2).indent < get(all_s, at + 1).indent)")
+    silent = (
+        "filter(all_s, (s, at) -> startswith(s.code, 'except') AND "
+        f"(s.code RLIKE {quoted(_BARE_EXCEPT_PASS)} OR "
+        f"(s.code RLIKE {quoted(_BARE_EXCEPT)} AND coalesce({only_pass}, false))))")
+    asserts = (
+        "filter(all_s, s -> startswith(s.code, 'assert') AND "
+        f"s.code RLIKE {quoted(_ASSERT)})")
+
+    def as_hits(found: str, rule: Rule) -> str:
+        return (
+            f"transform({found}, s -> named_struct('vuln_id', {quoted(rule.vuln_id)}, "
+            "'line_number', s.n, 'line_content', s.code, "
+            "'context_lines', cast(array() as array<string>)))")
 
     # The statement list is bound once by a one-element transform.
-    return F.flatten(F.transform(F.array(statements), lambda all_statements: F.concat(
-        as_hits(asserts(all_statements), ASSERT_RULE),
-        as_hits(silent(all_statements), SILENT_EXCEPT_RULE),
-    )))
+    return (
+        f"flatten(transform(array({statements}), all_s -> "
+        f"concat({as_hits(asserts, ASSERT_RULE)}, {as_hits(silent, SILENT_EXCEPT_RULE)})))")
 
 
 def scan_files(
@@ -200,60 +186,48 @@ def scan_files(
     ones (U2). A line and a rule meet at most once, so no later dedup is needed (A12).
     """
     check_rules(rules)
-    text, language = F.col("text"), F.col("language")
-    lines, lowered_lines = F.col("_lines"), F.col("_lowered_lines")
-    no_lines = F.array().cast("array<string>")
-    no_hits = F.array().cast(f"array<{_HIT}>")
-
-    marked = files.withColumn("_lowered", F.lower(text)).withColumn(
-        "_may_hit",
-        F.coalesce(_by_language(
-            rules, language, lambda group: _may_match(group, F.col("_lowered")), F.lit(False)),
-            F.lit(False)))
-    structure = F.lit(False)
-    if structural:
-        structure = F.coalesce(
-            (language == "python") & (text.contains("assert") | text.contains("except")),
-            F.lit(False))
-    split = marked.withColumn("_structure", structure).withColumn(
-        "_lines",
-        F.when(F.col("_may_hit") | F.col("_structure"), split_lines(text)).otherwise(no_lines),
-    ).withColumn(
-        "_lowered_lines",
-        F.when(F.col("_may_hit"), split_lines(F.col("_lowered"))).otherwise(no_lines))
-
-    hits = F.when(F.col("_may_hit"), _by_language(
-        rules, language,
-        lambda group: _pattern_hits(group, lines, lowered_lines, width), no_hits,
-    )).otherwise(no_hits)
-    if structural:
-        hits = F.concat(
-            hits, F.when(F.col("_structure"), _structural_hits(lines)).otherwise(no_hits))
-    return split.withColumn("hits", hits.cast(f"array<{_HIT}>")).drop(
-        "_lowered", "_may_hit", "_structure", "_lines", "_lowered_lines")
+    columns = files.columns
+    no_lines, no_hits = "cast(array() as array<string>)", f"cast(array() as array<{_HIT}>)"
+    structure = (
+        "language = 'python' AND (contains(text, 'assert') OR contains(text, 'except'))"
+        if structural else "false")
+    may_hit = _by_language(rules, lambda group: _may_match(group, "_lowered"), "false")
+
+    lowered = files.selectExpr(*columns, f"{_lowered('text')} AS _lowered")
+    marked = lowered.selectExpr(
+        *columns, "_lowered", f"coalesce({may_hit}, false) AS _may_hit",
+        f"coalesce({structure}, false) AS _structure")
+    split = marked.selectExpr(
+        *columns, "_may_hit", "_structure",
+        f"CASE WHEN _may_hit OR _structure THEN {lines_text('text')} ELSE {no_lines} END AS _lines",
+        f"CASE WHEN _may_hit THEN {lines_text('_lowered')} ELSE {no_lines} END AS _lowered_lines")
+    by_pattern = _by_language(rules, lambda group: _pattern_hits(group, width), no_hits)
+    hits = (
+        f"cast(concat(CASE WHEN _may_hit THEN {by_pattern} ELSE {no_hits} END, "
+        f"CASE WHEN _structure THEN {_structural_hits()} ELSE {no_hits} END) as array<{_HIT}>)")
+    # The hits come out of a generator, not a projection: Catalyst copies a projected
+    # expression into every filter that uses it, and these are the costly ones.
+    return split.selectExpr(*columns, f"inline_outer(array(named_struct('hits', {hits})))")
 
 
 def rule_attributes(rules: Sequence[Rule]) -> Column:
     """Map from rule id to the rule's texts, as one constant."""
     pairs = []
     for r in rules:
-        pairs.append(F.lit(r.vuln_id))
-        pairs.append(F.struct(
-            F.lit(r.category).alias("category"), F.lit(r.description).alias("description"),
-            F.lit(r.cwe_id).alias("cwe_id"), F.lit(r.owasp_category).alias("owasp_category"),
-            F.lit(r.confidence).alias("confidence"), F.lit(r.severity).alias("raw_severity")))
-    return F.create_map(*pairs)
+        pairs.append(quoted(r.vuln_id))
+        pairs.append(
+            f"named_struct('category', {quoted(r.category)}, "
+            f"'description', {quoted(r.description)}, 'cwe_id', {quoted(r.cwe_id)}, "
+            f"'owasp_category', {quoted(r.owasp_category)}, "
+            f"'confidence', {quoted(r.confidence)}, 'raw_severity', {quoted(r.severity)})")
+    return F.expr(f"map({', '.join(pairs)})")
 
 
 def findings_of(scanned: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per finding of ``scan_files`` output."""
     known = list(rules) + [r for r in STRUCTURAL_RULES if r not in rules]
     kept = [c for c in scanned.columns if c not in ("text", "hits")]
-    # An inner explode would make Catalyst add a filter on the size of the whole hits
-    # expression and so match every rule twice; outer plus a null test does not.
-    rows = scanned.select(
-        *kept, F.posexplode_outer("hits").alias("source_order", "_hit")
-    ).filter(F.col("_hit").isNotNull())
+    rows = scanned.select(*kept, F.posexplode("hits").alias("source_order", "_hit"))
     rows = rows.withColumn("_rule", F.element_at(rule_attributes(known), F.col("_hit.vuln_id")))
     return rows.select(*kept, "source_order", "_hit.*", "_rule.*")
 

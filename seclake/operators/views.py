@@ -129,16 +129,21 @@ def scan_details(
     The findings of a scan are spread by id over lists of about ``per_part``; ``part``
     numbers the lists of a scan. A usual scan has the one part 0.
     """
+    members = F.struct(*[c for c in findings.columns if c != "scan_id"]).alias("_finding")
     sizes = findings.groupBy("scan_id").agg(
-        F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
-    big = sizes.filter("parts > 1").withColumnRenamed("scan_id", "_scan")
-    members = [c for c in findings.columns if c != "scan_id"]
-    placed = findings.join(big, F.col("scan_id") == F.col("_scan"), "left").select(
-        "scan_id",
-        F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
-        F.struct(*members).alias("_finding"))
-    nested = placed.groupBy("scan_id", "part").agg(
-        F.array_sort(F.collect_list("_finding")).alias("vulnerabilities"))
+        F.ceil(F.count("*") / per_part).cast("int").alias("parts")).filter("parts > 1")
+    if sizes.limit(1).count():
+        big = sizes.withColumnRenamed("scan_id", "_scan")
+        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+        placed = findings.join(big, F.col("scan_id") == F.col("_scan"), "left").select(
+            "scan_id", part, members)
+        grouped = placed.groupBy("scan_id", "part")
+    else:
+        # Grouped by scan alone, the lists are already where the join needs them.
+        grouped = findings.select("scan_id", members).groupBy("scan_id")
+    nested = grouped.agg(F.array_sort(F.collect_list("_finding")).alias("vulnerabilities"))
+    if "part" not in nested.columns:
+        nested = nested.withColumn("part", F.lit(0))
     empty = F.array().cast(nested.schema["vulnerabilities"].dataType)
     return scans.join(nested, scans["id"] == nested["scan_id"], "left").select(
         *[scans[c] for c in scans.columns],

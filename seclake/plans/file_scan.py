@@ -14,13 +14,17 @@ from seclake.operators.maintain import (
 )
 from seclake.operators.risk import file_profiles, repo_rollup
 from seclake.operators.scanning import analyzed_of, findings_of, scan_files
-from seclake.session import cut
+from seclake.session import cut, spread
 from seclake.sources.tables import append
 
 
 def files_by_risk(files: DataFrame) -> DataFrame:
-    """Scanned files, riskiest first."""
-    profiles = file_profiles(scan_files(files))
+    """Scanned files, riskiest first.
+
+    Spark samples the input of a global sort first. The profiles are shuffled before, so
+    that the sample reads them back and does not scan all text a second time.
+    """
+    profiles = file_profiles(scan_files(files)).repartition("file_path")
     return profiles.orderBy(F.col("risk_score").desc(), "file_path")
 
 
@@ -41,7 +45,7 @@ def scan_and_store(
     """
     if "language" not in files.columns:
         files = files.withColumn("language", language_by_content(F.col("text")))
-    scanned = cut(scan_files(files).select("file_path", "language", "hits"))
+    scanned = cut(scan_files(spread(files, "file_path")).select("file_path", "language", "hits"))
     profiles = file_profiles(scanned).withColumn("executive_summary", F.lit(STATIC_SUMMARY))
     scans = scan_rows(profiles, mode, user_id, at)
     append(scans, folder, "scans", run)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seclake.fixed_values import SCANNED_EXTENSIONS
 from seclake.session import cut
@@ -29,13 +30,23 @@ def _list_folders(batches: Iterator[pd.DataFrame]):
             }).astype({"path": "object", "is_folder": "bool", "length": "Int64"})
 
 
+def _plain_root(root: str) -> str:
+    return re.sub(r"^file:/+", "/", root).rstrip("/")
+
+
+def _plain_path(path: Column) -> Column:
+    """Path as its folder lists it; Spark hands it out URL-encoded, but leaves ``+`` alone."""
+    return F.url_decode(F.replace(
+        F.regexp_replace(path, r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: path, path relative to root, length.
 
     Folders are listed by tasks, one level of the tree at a time. Unlike Spark's own
     listing this also sees names that start with ``_`` or ``.``, such as ``__init__.py``.
     """
-    root = root.rstrip("/")
+    root = _plain_root(root)
     level = spark.createDataFrame([(root,)], "path STRING")
     levels = []
     while True:
@@ -84,14 +95,14 @@ def read_tree(
     Spark's text source reads them, except those it never shows because they, or a folder
     above them, start with ``_`` or ``.``; these are read by tasks.
     """
-    root = root.rstrip("/")
+    root = _plain_root(root)
     names = ",".join(s.lstrip(".") for s in suffixes)
     seen = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{" + names + "}")
         .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .select(F.url_decode(F.regexp_replace("path", r"^file:/+", "/")).alias("path"), "text")
+        .select(_plain_path(F.col("path")).alias("path"), "text")
     )
     ends = reduce(lambda a, b: a | b, [F.col("path").endswith(s) for s in suffixes])
     unseen = list_tree(spark, root).filter(F.col("relative_path").rlike(r"(^|/)[_.]") & ends)

@@ -32,13 +32,16 @@ def _old_status(key, batches, state):
 
 
 def change_deltas(changes: DataFrame, findings: DataFrame) -> DataFrame:
-    """What each arriving status change adds to its scan; state per finding is one status."""
+    """What each arriving status change adds to its scan; state per finding is one status.
+
+    A change of an unknown finding is left out.
+    """
     start = findings.select(
         F.col("scan_id").alias("_scan"), F.col("vuln_id").alias("_vuln"),
         F.col("status").alias("start_status"))
     joined = changes.join(
-        start, (F.col("scan_id") == F.col("_scan")) & (F.col("vuln_id") == F.col("_vuln")), "left",
-    ).drop("_scan", "_vuln").withColumn("start_status", F.coalesce("start_status", F.lit("open")))
+        start, (F.col("scan_id") == F.col("_scan")) & (F.col("vuln_id") == F.col("_vuln")),
+    ).drop("_scan", "_vuln")
     with_old = joined.groupBy("scan_id", "vuln_id").applyInPandasWithState(
         _old_status, _CHANGE, "status STRING", "append", GroupStateTimeout.NoTimeout)
     deltas = status_deltas(with_old, F.col("old_status"))
