@@ -20,8 +20,10 @@ from seclake.schemas import RULES as RULE_SCHEMA
 _HIT = "file_path, line_number, vuln_id, line_content, category, description, cwe_id, " \
        "owasp_category, confidence, raw_severity"
 _HIT_COLUMNS = _HIT.split(", ")
-_AT = F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
-_AT_SQL = "TIMESTAMP '2026-01-02 03:04:05'"
+def _at():
+    return F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
+
+
 
 
 def _hits(spark, sf, **options):
@@ -227,7 +229,7 @@ def _stored(spark, folder):
 @query("s4_scan_and_store", _STORED)
 def s4(spark, sf):
     folder = new_folder(spark, "store")
-    scan_and_store(A.source_files(spark, sf), folder, "first", _AT)
+    scan_and_store(A.source_files(spark, sf), folder, "first", _at())
     return _stored(spark, folder)
 
 
@@ -236,5 +238,5 @@ def t3(spark, sf):
     folder = new_folder(spark, "arriving")
     documents = spark.readStream.schema(A.TABLES["documents"]).option(
         "pathGlobFilter", "documents.parquet").parquet(sf)
-    scan_arriving(A.with_plants(documents, "hit"), folder, f"{folder}/state", _AT)
+    scan_arriving(A.with_plants(documents, "hit"), folder, f"{folder}/state", _at())
     return _stored(spark, folder)

@@ -77,8 +77,13 @@ def replay_status_changes(
     if not any_large_group(rows, ["scan_id"], limit):
         # One shuffle by scan serves both windows below.
         rows, limit = rows.repartition("scan_id"), None
-    with_old = previous(rows, ["scan_id", "vuln_id"], order, {"old_status": "status"}, limit, rows)
-    known = with_old.filter((F.col("kind") == 0) | F.col("old_status").isNotNull())
+    finding = ["scan_id", "vuln_id"]
+    with_old = previous(rows, finding, order, {"old_status": "status"}, limit, rows)
+    # A finding is known once its starting row has been seen; that row sorts first.
+    marked = running_sums(
+        with_old.withColumn("_start", 1 - F.col("kind")), finding, [F.col(c) for c in order],
+        {"_known": "_start"}, limit, rows)
+    known = marked.filter("_known > 0").drop("_start", "_known")
     # A starting row adds what is open at the start; before it nothing was.
     before = F.when(F.col("kind") == 0, F.lit(CLOSED_STATUSES[0])).otherwise(F.col("old_status"))
     summed = running_sums(

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seclake.functions.texts import change_line, report_key, secure_name, split_lines
+from seclake.functions.texts import (
+    change_line,
+    lines_text,
+    report_key,
+    secure_name,
+    split_lines,
+)
 from seclake.operators.ordered import ROWS_PER_PIECE, positions
-from seclake.operators.scanning import lines_of
 
 
 def change_log(
@@ -19,18 +24,33 @@ def change_log(
     ).alias("change"))
 
 
+def _both_texts(original: DataFrame, secure: DataFrame) -> DataFrame:
+    """One row per file with its text in either snapshot, null where it has none.
+
+    One shuffle by path brings the texts together, each once and not yet as lines.
+    """
+    none = F.lit(None).cast("string")
+    sides = original.select("file_path", F.col("text").alias("before"), none.alias("after")) \
+        .unionByName(secure.select("file_path", none.alias("before"), F.col("text").alias("after")))
+    return sides.groupBy("file_path").agg(
+        F.max("before").alias("before"), F.max("after").alias("after"))
+
+
 def line_changes(original: DataFrame, secure: DataFrame) -> DataFrame:
     """Lines removed (``-``) and added (``+``) per file, with how many times (U4).
 
-    Both snapshots go through one aggregate: a line of the original counts +1, a line of
-    the new one -1, and what does not cancel out is a change.
+    Unchanged files drop out before any text is split. Of the others, a line before counts
+    +1 and a line after -1; what does not cancel out is a change. The rows are already
+    together by file, so the count needs no further shuffle.
     """
-    def counted(files: DataFrame, sign: int) -> DataFrame:
-        return lines_of(files.select("file_path", "text")).select(
-            "file_path", "line", F.lit(sign).alias("step"))
-
-    net = counted(original, 1).unionByName(counted(secure, -1)).groupBy(
-        "file_path", "line").agg(F.sum("step").alias("net"))
+    changed = _both_texts(original, secure).filter(~F.col("before").eqNullSafe(F.col("after")))
+    # As in the scanner, a generator keeps the split from being copied into filters.
+    steps = changed.selectExpr(
+        "file_path",
+        f"posexplode(array({lines_text('before')}, {lines_text('after')})) AS (side, lines)"
+    ).selectExpr(
+        "file_path", "CASE side WHEN 0 THEN 1 ELSE -1 END AS step", "explode(lines) AS line")
+    net = steps.groupBy("file_path", "line").agg(F.sum("step").alias("net"))
     return net.filter("net <> 0").select(
         "file_path", F.when(F.col("net") > 0, "-").otherwise("+").alias("sign"), "line",
         F.abs("net").alias("copies"))
@@ -38,14 +58,14 @@ def line_changes(original: DataFrame, secure: DataFrame) -> DataFrame:
 
 def line_counts(original: DataFrame, secure: DataFrame) -> DataFrame:
     """Number of lines of each file in both snapshots (U4)."""
-    after = secure.select(
-        F.col("file_path").alias("_path"),
-        F.size(split_lines("text")).alias("line_count_secure"))
     before = original.select(
-        "file_path", F.size(split_lines("text")).alias("line_count_original"))
-    return before.join(after, F.col("file_path") == F.col("_path"), "left").select(
-        "file_path", secure_name(F.col("file_path")).alias("secure_file"),
-        "line_count_original", F.coalesce("line_count_secure", F.lit(0)).alias("line_count_secure"))
+        "file_path", F.size(split_lines("text")).alias("before"), F.lit(0).alias("after"))
+    after = secure.select(
+        "file_path", F.lit(0).alias("before"), F.size(split_lines("text")).alias("after"))
+    return before.unionByName(after).groupBy("file_path").agg(
+        F.sum("before").cast("int").alias("line_count_original"),
+        F.sum("after").cast("int").alias("line_count_secure"),
+    ).withColumn("secure_file", secure_name(F.col("file_path")))
 
 
 def report_rows(profiles: DataFrame, at: Column) -> DataFrame:
