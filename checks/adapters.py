@@ -213,7 +213,8 @@ def scans(spark, sf):
 
 
 def vulnerabilities(spark, sf):
-    lines, parts = read(spark, sf, "lineitem"), read(spark, sf, "part")
+    lines = spread(read(spark, sf, "lineitem"), "l_orderkey")
+    parts = read(spark, sf, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(*_VULNERABILITIES)
 
 
