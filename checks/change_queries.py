@@ -11,6 +11,7 @@ from seclake import schemas
 from seclake.functions import scores
 from seclake.operators import answers, lifecycle, maintain, reports, views
 from seclake.operators.ordered import latest
+from seclake.plans.answered_scans import answered_profiles
 from seclake.session import new_folder
 from seclake.sources.tables import append, read_answers, read_table, write_reports
 from seclake.streaming.feed import event_feed, run_to_end
@@ -338,6 +339,16 @@ def f14_rows(spark, sf):
     return answers.answer_findings(full, "file_id").select("file_id", "source_order", "category")
 
 
+@query("a5_answered_profiles", given("llm_responses") + """
+SELECT file_id, raw NOT LIKE '%{%' AS analysis_failed, CASE WHEN raw LIKE '%{%' THEN 1 ELSE 0 END AS high,
+    CASE WHEN raw LIKE '%{%' THEN 41 ELSE 0 END AS risk_score,
+    CASE WHEN raw LIKE '%{%' THEN 'Medium' ELSE 'Low' END AS risk_level,
+    CASE WHEN raw LIKE '%{%' THEN 'Warning' ELSE 'Safe' END AS lifecycle_status FROM llm_responses""")
+def a5_answered(spark, sf):
+    return answered_profiles(A.llm_responses(spark, sf), "file_id").select(
+        "file_id", "analysis_failed", "high", "risk_score", "risk_level", "lifecycle_status")
+
+
 @query("s7_read_answers", given("llm_responses") + """
 SELECT raw, count(*) AS answers FROM llm_responses GROUP BY raw""")
 def s7(spark, sf):

@@ -10,6 +10,7 @@ from checks.registry import given, query
 from seclake.functions import texts
 from seclake.operators import answers, scanning
 from seclake.plans.file_scan import scan_and_store
+from seclake.plans.repo_scan import scan_repositories_and_store
 from seclake.session import new_folder, spread
 from seclake.sources.tables import read_table
 from seclake.sources.tree import list_tree, read_tree
@@ -240,3 +241,33 @@ def t3(spark, sf):
         "pathGlobFilter", "documents.parquet").parquet(sf)
     scan_arriving(A.with_plants(documents, "hit"), folder, f"{folder}/state", _at())
     return _stored(spark, folder)
+
+
+_SUPPORTED = "suffix(file_path, '.py') OR suffix(file_path, '.js') OR suffix(file_path, '.cpp')"
+
+
+@query("s4_repositories_and_store", _STORED.split("scans AS (SELECT")[0] + f"""
+tops AS (SELECT split_part(file_path, '/', 1) AS repo, max(score) AS score, count(*) AS files,
+    arg_max(file_path, (score, file_path)) AS top_file FROM scored WHERE {_SUPPORTED} GROUP BY repo),
+scans AS (SELECT *, sha256(CONCAT(repo, '#2026-01-02 03:04:05')) AS id,
+    CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium'
+        ELSE 'Low' END AS level,
+    CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'Vulnerable'
+        WHEN score >= 25 THEN 'Warning' ELSE 'Safe' END AS lifecycle FROM tops)
+SELECT 'scans' AS part, id AS scan_id, CONCAT_WS('|', repo, 'multi', 'github', score, level,
+    lifecycle, CONCAT('reports/security_report_', replace(split_part(top_file, '/', 2), '.', '_'),
+    '_20260102_030405.html')) AS content FROM scans
+UNION ALL
+SELECT 'vulnerabilities', sha256(CONCAT(repo, '#2026-01-02 03:04:05')),
+    CONCAT_WS('|', sha256(CONCAT_WS('#', file_path, '2026-01-02 03:04:05', vuln_id, line_number)),
+    vuln_id, CONCAT('[', split_part(file_path, '/', 2), '] ', category), raw_severity, line_number,
+    line_content, 'open') FROM findings WHERE {_SUPPORTED}
+UNION ALL
+SELECT 'score_history', id, CONCAT_WS('|', score, lifecycle, 'system', 'Initial repository scan') FROM scans
+UNION ALL
+SELECT 'audit_logs', id, CONCAT_WS('|', 'scan_created', 'system', 'user', score, lifecycle, level,
+    CONCAT('Repository scan completed — ', files, ' files scanned. Risk score: ', score)) FROM scans""")
+def s4_repositories(spark, sf):
+    folder = new_folder(spark, "repositories")
+    scan_repositories_and_store(A.source_files(spark, sf), folder, "first", _at())
+    return _stored(spark, folder)

@@ -121,9 +121,10 @@ def history_rows(changes: DataFrame) -> DataFrame:
 
 
 def audit_rows(changes: DataFrame) -> DataFrame:
-    """Rows for ``audit_logs`` (S5); columns a change does not have become null."""
+    """Rows for ``audit_logs`` (S5); the role is system unless given, the rest null."""
     keys = [F.col(c) for c in ("scan_id", "action", "timestamp", "details")]
-    return fitted(changes, AUDIT_LOGS, id=F.xxhash64(*keys))
+    role = F.coalesce("role", F.lit("system")) if "role" in changes.columns else F.lit("system")
+    return fitted(changes, AUDIT_LOGS, id=F.xxhash64(*keys), role=role)
 
 
 def scan_audit(scans: DataFrame) -> DataFrame:

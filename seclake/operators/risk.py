@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seclake.fixed_values import REPO_SUMMARY, RULES, SEVERITIES, STRUCTURAL_RULES
+from seclake.fixed_values import REPO_SUMMARY, RULES, Rule, SEVERITIES, STRUCTURAL_RULES
 from seclake.functions.lookup import map_text, quoted
 from seclake.functions.scores import (
     level_of,
@@ -132,13 +134,13 @@ def _share(most: Column) -> Column:
     return F.floor(F.col("findings") * 100 / most).cast("int")
 
 
-def file_profiles(scanned: DataFrame) -> DataFrame:
+def file_profiles(scanned: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Risk profile of each scanned file from its ``hits``, inside the row (A5).
 
     No shuffle: a file's findings are already together. The maps hold at most one entry
     per category of the rule table.
     """
-    known = RULES + STRUCTURAL_RULES
+    known = [*rules, *[r for r in STRUCTURAL_RULES if r not in rules]]
     severity = {r.vuln_id: r.severity for r in known}
     category = {r.vuln_id: r.category for r in known}
     owasp = {r.vuln_id: r.owasp_category.split(" - ")[0] for r in known}
@@ -151,7 +153,7 @@ def file_profiles(scanned: DataFrame) -> DataFrame:
             "map(name, coalesce(try_element_at(seen, name), 0) + 1)))")
 
     def of_severity(s: str) -> Column:
-        ids = ", ".join(quoted(i) for i, found in severity.items() if found == s)
+        ids = ", ".join(quoted(i) for i, found in severity.items() if found == s) or "NULL"
         return F.expr(f"size(filter(hits, h -> h.vuln_id IN ({ids})))")
 
     kept = [c for c in scanned.columns if c not in ("text", "hits")]

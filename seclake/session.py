@@ -63,7 +63,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores when the rows came in fewer pieces than there are cores.
 
-    Large inputs come in many pieces and are left as they are, without a shuffle.
+    For frames straight from a source: counting the pieces of a frame with shuffles would
+    run them. Large inputs come in many pieces and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
