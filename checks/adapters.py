@@ -239,10 +239,10 @@ def llm_responses(spark, sf):
 
 
 def stream(spark, sf, name: str, exprs: list[str]) -> DataFrame:
-    """A test table as a stream of arriving files."""
+    """A test table as a stream of arriving files; a trigger takes a bounded amount."""
     return (
         spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf).selectExpr(*exprs))
+        .option("maxBytesPerTrigger", str(8 << 30)).parquet(sf).selectExpr(*exprs))
 
 
 def with_plants(documents: DataFrame, column: str) -> DataFrame:

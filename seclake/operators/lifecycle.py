@@ -242,7 +242,8 @@ def run_lifecycle(
         "id", "scan_id", "target", "timestamp", F.lit(1).alias("kind"),
         no_text.alias("start_status"), no_number.alias("start_score"))
     start = scans.select(
-        F.lit(None).cast("bigint").alias("id"), F.col("id").alias("scan_id"),
+        # Not null: pandas would turn the whole id column into floating point.
+        F.lit(0).cast("bigint").alias("id"), F.col("id").alias("scan_id"),
         no_text.alias("target"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
         F.lit(0).alias("kind"), F.col("lifecycle_status").alias("start_status"),
         F.col("risk_score").cast("int").alias("start_score"))

@@ -75,7 +75,12 @@ def live_scores(deltas: DataFrame, findings: DataFrame) -> DataFrame:
 def run_live_scores(
     spark: SparkSession, changes: DataFrame, findings: DataFrame, folder: str, timeout: int = 3600
 ) -> DataFrame:
-    """Take both streams to their end; the scored changes as a table."""
+    """Take both streams to their end; the scored changes as a table.
+
+    The second stream takes all the first has written since its last run, since part of a
+    micro-batch would be out of order. Run it as changes arrive; a long backlog is better
+    replayed with ``replay_status_changes``, which also spreads a large scan over tasks.
+    """
     run_to_end(change_deltas(changes, findings), f"{folder}/deltas", f"{folder}/state-deltas",
                timeout=timeout)
     deltas = spark.readStream.schema(_DELTA).parquet(f"{folder}/deltas")

@@ -107,6 +107,18 @@ def test_lifecycle_of_one_scan(spark):
     assert got[6].reason == "Transition from 'Resolved' to 'Safe' is not allowed"
 
 
+def test_large_ids_are_kept(spark):
+    ids = [2**60 + 1, 2**60 + 3, 2**53 + 1]
+    requests = spark.createDataFrame([(i, "x", "Warning") for i in ids],
+                                     "id BIGINT, scan_id STRING, target STRING").withColumn(
+        "timestamp", F.lit("2026-01-01").cast("timestamp_ntz"))
+    scans = spark.createDataFrame([("x", "Safe", 1), ("y", "Safe", None)],
+                                  "id STRING, lifecycle_status STRING, risk_score INT")
+    for limit in (1, 100):
+        got = lifecycle.run_lifecycle(requests, scans, limit=limit).collect()
+        assert sorted(r.id for r in got) == sorted(ids)
+
+
 def test_unknown_scan_is_rejected(spark):
     requests = spark.sql(
         "SELECT CAST(1 AS BIGINT) id, 'x' scan_id, 'Warning' target, TIMESTAMP_NTZ '2026-01-01' timestamp")
