@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from seclake.plans.file_scan import scan_and_store
+from seclake.session import spread
 from seclake.streaming.feed import finish
 
 
@@ -17,7 +18,7 @@ def scan_arriving(
     A repeated micro-batch replaces its own part, so the tables hold each file once.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        scan_and_store(batch, folder, f"batch-{batch_id}", at, mode, user_id)
+        scan_and_store(spread(batch, "file_path"), folder, f"batch-{batch_id}", at, mode, user_id)
 
     query = (
         files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
