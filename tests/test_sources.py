@@ -54,13 +54,13 @@ def test_store_twice_keeps_one_copy(spark, tmp_path):
     files = spark.createDataFrame([("a.py", "eval(x)\nassert y"), ("b.py", "")], "file_path STRING, text STRING")
     for _ in range(2):
         scan_and_store(files, str(tmp_path), "one", at())
-    stored = tables.read_tables(spark, str(tmp_path)) if (tmp_path / "users").exists() else {
+    stored = {
         n: tables.read_table(spark, str(tmp_path), n)
         for n in ("scans", "vulnerabilities", "score_history", "audit_logs")}
     assert {n: df.count() for n, df in stored.items()} == {
         "scans": 2, "vulnerabilities": 2, "score_history": 2, "audit_logs": 2}
     scans = {r.file_path: r for r in stored["scans"].collect()}
-    assert scans["a.py"].risk_score == 65 + 1 - 1 and scans["a.py"].lifecycle_status == "Vulnerable"
+    assert scans["a.py"].risk_score == 65 and scans["a.py"].lifecycle_status == "Vulnerable"
     assert scans["b.py"].risk_score == 0 and scans["b.py"].lifecycle_status == "Safe"
     assert {r.scan_id for r in stored["vulnerabilities"].collect()} == {scans["a.py"].id}
     scan_and_store(files, str(tmp_path), "two", at())
