@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seclake.llm import attention, mixing, repetition, secrets, toxicity
+from seclake.llm import attention, mixing, near_copies, repetition, secrets, toxicity
 from seclake.llm.blocks import read_table
 from seclake.llm.registry import query
 
@@ -162,3 +162,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+_OP10 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS gram FROM (
+    SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS pos FROM w
+    WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+  WHERE 100 * common >= 85 * (s.n + t.n - common)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(b) AS component_id,
+       w.doc_id = min(b) AS kept
+FROM w LEFT JOIN sizes ON sizes.doc_id = w.doc_id JOIN reach ON reach.a = w.doc_id
+GROUP BY w.doc_id, n
+"""
+
+
+@query("op10_near_copies", _OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(read_table(spark, sf_dir, "documents"), percent=85)
