@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seclake.llm import attention, mixing, near_copies, repetition, secrets, toxicity
+from seclake.llm import attention, mixing, near_copies, passages, repetition, secrets, toxicity
 from seclake.llm.blocks import read_table
 from seclake.llm.registry import query
 
@@ -164,6 +164,32 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+_OP7 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+positions AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM w WHERE len(words) >= 35),
+windows AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY gram) AS times FROM (
+    SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 34], ' ')) AS gram FROM positions)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS word FROM windows WHERE times > 1),
+lists AS (SELECT doc_id, list(word) AS gone FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(
+         list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+FROM w LEFT JOIN lists ON lists.doc_id = w.doc_id
+"""
+
+
+@query("op7_repeated_passages", _OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

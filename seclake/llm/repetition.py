@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from seclake.llm.blocks import Block, blocks, small_batches, span_hashes
+from seclake.llm.suffixes import SuffixArray
 from seclake.session import spread
 
 _SYMBOLS = np.zeros(256, bool)
@@ -28,58 +29,19 @@ class RepetitionLimits:
 def longest_shared(names: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each position, the most words that start there and also elsewhere in its text.
 
-    Suffix array by prefix doubling: ``ranks[j]`` orders all positions by their next 2^j
-    words. The doubling ends when no two positions of a text are alike, so it goes as far as
-    the longest repeat. The longest common prefix of neighbours in the array is read from the
-    ranks, largest step first. Every LCP interval a position lies in is no deeper than
-    the larger of its two neighbours' prefixes.
+    The LCP intervals of the suffix array are its maximal repeats. The deepest interval a
+    position lies in is as deep as the larger of its two neighbours' common prefixes.
     """
-    n = len(names)
-    best = np.zeros(n, np.int64)
-    if n < 2:
+    best = np.zeros(len(names), np.int64)
+    if len(names) < 2:
         return best
-    end = np.searchsorted(doc, doc, "right")  # first position after the text
-    # The text's number comes first, so neighbours from two texts never share a prefix.
-    order = np.lexsort((names, doc))
-    new = np.ones(n, bool)
-    new[1:] = (names[order][1:] != names[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    group = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[order] = group[np.cumsum(new) - 1] + 1  # place of the first of those alike
-    size = np.diff(np.append(group, n))
-    open_ = order[np.repeat(size > 1, size)]  # positions that others are alike to
-    ranks, width = [rank], 1
-    while len(open_):
-        then = open_ + width
-        behind = np.where(then < end[open_], rank[np.minimum(then, n - 1)], 0)  # 0: text over
-        both = rank[open_] * (n + 1) + behind
-        sort = np.argsort(both, kind="stable")
-        open_, both, old = open_[sort], both[sort], rank[open_[sort]]
-        at = np.arange(len(open_))
-        new = np.ones(len(open_), bool)
-        new[1:] = both[1:] != both[:-1]
-        edge = np.ones(len(open_), bool)
-        edge[1:] = old[1:] != old[:-1]
-        rank = rank.copy()
-        rank[open_] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(
-            np.where(edge, at, 0))
-        ranks.append(rank)
-        size = np.diff(np.append(np.flatnonzero(new), len(open_)))
-        open_ = open_[np.repeat(size > 1, size)]
-        width *= 2
-    order = np.empty(n, np.int64)
-    order[rank - 1] = np.arange(n)
-    left, right = order[:-1].copy(), order[1:].copy()
+    array = SuffixArray(names, doc, np.searchsorted(doc, doc, "right"))
+    order = array.sorted(np.arange(len(names)))
+    left, right = order[:-1], order[1:]
     same = doc[left] == doc[right]
-    shared = np.zeros(n - 1, np.int64)
-    a, b, live = left, right, np.flatnonzero(same)
-    for j in range(len(ranks) - 1, -1, -1):
-        x, y = a[live] + shared[live], b[live] + shared[live]
-        fits = (x + (1 << j) <= end[a[live]]) & (y + (1 << j) <= end[b[live]])
-        x, y, on = x[fits], y[fits], live[fits]
-        alike = ranks[j][x] == ranks[j][y]
-        shared[on[alike]] += 1 << j
-    np.maximum.at(best, left, shared)
+    left, right = left[same], right[same]
+    shared = array.shared(left, right)
+    best[left] = shared
     np.maximum.at(best, right, shared)
     return best
 
