@@ -6,11 +6,12 @@ alone when it is longer), so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BLOCK_BYTES = 2 << 20
 _SEGMENT = 1 << 20
@@ -146,3 +147,57 @@ def small_batches(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Sequences:
+    """Values of word sequences of a list of word values, also with one word left out."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.up, self.down = _table("up", n + 1), _table("down", n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * self.up[:n], out=self.sums[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.sums[b] - self.sums[a]) * self.down[a]
+
+    def without(self, a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return self.of(a, p) + self.of(p + 1, b) * self.up[p - a]
+
+
+def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, and ``text`` compressed as ``packed``: less to shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, raw = text_bytes(batch.column(batch.num_columns - 1))
+            raw = raw.tobytes()
+            small = [zlib.compress(raw[lo:hi], 1) for lo, hi in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(small, pa.binary())], [*columns, "packed"])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns]
+    return rows.select(*columns, "text").mapInArrow(run, ", ".join([*kinds, "packed binary"]))
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    return pa.array([zlib.decompress(x.as_py()) for x in column], pa.binary()).cast(pa.string())
+
+
+def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Parts of a batch whose compressed texts have a bounded number of bytes together."""
+    sizes = np.cumsum([len(x.as_py()) for x in column])
+    lo = 0
+    while lo < len(column):
+        base = sizes[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, base + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def id_key(doc_id: Column) -> Column:
+    """A number for a row's id, null too."""
+    return F.xxhash64(F.lit("id"), doc_id.cast("string"))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))

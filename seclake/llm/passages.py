@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seclake.llm.blocks import Block, blocks, mix, ngram_hashes, small_batches, text_bytes
+from seclake.llm.blocks import (
+    Block, blocks, id_key, mix, ngram_hashes, packed, slices, small_batches, text_bytes, text_key,
+    unpacked,
+)
 from seclake.llm.suffixes import SuffixArray
 from seclake.llm.tables import stored
 from seclake.session import spread
@@ -44,8 +46,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, text and two numbers that name the row's id and its text."""
     return docs.select(
         docs[doc_id].alias("doc_id"), docs[text].alias("text"),
-        F.xxhash64(F.lit("id"), docs[doc_id].cast("string")).alias("k"),
-        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("t"))
+        id_key(docs[doc_id]).alias("k"), text_key(docs[text]).alias("t"))
 
 
 def _index(rows: DataFrame, window: int) -> DataFrame:
@@ -69,35 +70,6 @@ def _index(rows: DataFrame, window: int) -> DataFrame:
         run, "k long, t long, anchors array<long>, places array<int>")
 
 
-def _packed(rows: DataFrame, *columns: str) -> DataFrame:
-    """The rows with their text compressed, for a shuffle."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, raw = text_bytes(batch.column(batch.num_columns - 1))
-            raw = raw.tobytes()
-            packed = [zlib.compress(raw[lo:hi], 1) for lo, hi in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(packed, pa.binary())], [*columns, "packed"])
-
-    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns]
-    return rows.select(*columns, "text").mapInArrow(run, ", ".join([*kinds, "packed binary"]))
-
-
-def _unpacked(column: pa.Array) -> pa.Array:
-    return pa.array([zlib.decompress(x.as_py()) for x in column], pa.binary()).cast(pa.string())
-
-
-def _slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Parts of a batch with a bounded number of compressed bytes."""
-    sizes = np.cumsum([len(x.as_py()) for x in column])
-    lo = 0
-    while lo < len(column):
-        base = sizes[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(sizes, base + most, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def _contexts(joined: DataFrame, window: int) -> DataFrame:
     """For each wanted anchor of a text (packed, did, copies, at): its windows' words.
 
@@ -109,9 +81,9 @@ def _contexts(joined: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _slices(batch.column(0)):
+            for lo, hi in slices(batch.column(0)):
                 piece = batch.slice(lo, hi - lo)
-                texts = _unpacked(piece.column(0))
+                texts = unpacked(piece.column(0))
                 dids, copies = piece.column(1).to_numpy(), piece.column(2).to_numpy()
                 wanted = piece.column(3).to_pylist()
                 for block in blocks(texts):
@@ -244,10 +216,10 @@ def _without(joined: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1)):
                 piece = batch.slice(lo, hi - lo)
                 spans = piece.column(2).to_pylist()
-                for block in blocks(_unpacked(piece.column(1))):
+                for block in blocks(unpacked(piece.column(1))):
                     gone = np.zeros(len(block.word_start) + 1, np.int64)
                     for i in range(block.texts):
                         for s in spans[block.lo + i] or ():
@@ -311,7 +283,7 @@ def without_repeats(
         several, "anchor").groupBy("did").agg(
         F.collect_list(F.struct("place", "parts")).alias("at"))
     wanted = once.join(wanted, "did")
-    texts = _packed(rows.dropDuplicates(["k", "t"]) if repeated_rows else rows, "k", "t")
+    texts = packed(rows.dropDuplicates(["k", "t"]) if repeated_rows else rows, ["k", "t"])
     found = stored(_trees(_contexts(texts.join(wanted, ["k", "t"]), window), window), "windows")
     over_parts = found.filter("w1 IS NOT NULL")
     again = over_parts.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1")
@@ -320,4 +292,4 @@ def without_repeats(
         singles.select("did", "start", "length")).groupBy("did").agg(
         F.collect_list(F.struct("start", "length")).alias("spans"))
     spans = once.select("k", "t", "did").join(spans, "did").drop("did")
-    return _without(_packed(rows, "k", "t", "doc_id").join(spans, ["k", "t"], "left"), window)
+    return _without(packed(rows, ["k", "t", "doc_id"]).join(spans, ["k", "t"], "left"), window)

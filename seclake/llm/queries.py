@@ -4,13 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seclake.llm import attention, mixing, near_copies, passages, repetition, secrets, toxicity
+from seclake.llm import attention, lines, mixing, near_copies, passages, repetition, secrets, toxicity
 from seclake.llm.blocks import read_table
 from seclake.llm.registry import query
 
 TOXIC_FROM = 0.7
 GOOD_FROM = 0.3
 
+_OP1 = rf"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at_line
+  FROM documents),
+lines AS (
+  SELECT *, len(words) AS n, array_to_string(words, ' ') AS s FROM (
+    SELECT doc_id, line, at_line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM raw)),
+firsts AS (
+  SELECT s, arg_min(words, (doc_id, at_line)) AS words, any_value(n) AS n,
+         min((doc_id, at_line)) AS place FROM lines WHERE n > 0 GROUP BY s),
+spots AS (
+  SELECT s, n, place, words, unnest(range(1, n + 1)) AS pos FROM firsts
+  WHERE n >= {lines.LEAST_WORDS}),
+less AS (
+  SELECT s, n, place, pos,
+         md5(array_to_string(words[:pos - 1] || words[pos + 1:], ' ')) AS h FROM spots),
+replaced AS (
+  SELECT s FROM (SELECT s, place, min(place) OVER (PARTITION BY h, pos, n) AS first FROM less)
+  WHERE first < place),
+whole AS (SELECT s, place, md5(s) AS h FROM firsts WHERE n >= {lines.LEAST_WORDS}),
+apart AS (
+  SELECT CASE WHEN w.place < l.place THEN l.s ELSE w.s END AS s
+  FROM less l JOIN whole w ON w.h = l.h),
+stay AS (
+  SELECT s, place FROM firsts
+  WHERE s NOT IN (SELECT s FROM replaced UNION SELECT s FROM apart)),
+marked AS (
+  SELECT l.*, y.s IS NOT NULL AS stays FROM lines l
+  LEFT JOIN stay y ON y.s = l.s AND y.place = (l.doc_id, l.at_line))
+SELECT doc_id, CAST(count(*) FILTER (n > 0) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (n > 0 AND NOT stays) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN count(*) FILTER (n > 0) > 0 AND count(*) FILTER (stays) = 0 THEN ''
+         ELSE coalesce(string_agg(line, chr(10) ORDER BY at_line) FILTER (stays OR n = 0), '')
+         END) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op1_line_dedup", _OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _OP2 = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source,
