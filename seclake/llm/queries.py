@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seclake.llm import attention, lines, mixing, near_copies, passages, repetition, secrets, toxicity
+from seclake.llm import attention, contamination, lines, mixing, near_copies, passages, repetition, secrets, toxicity
 from seclake.llm.blocks import read_table
 from seclake.llm.registry import query
 
@@ -199,6 +199,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_covered_words", "longest_repeat")
 
 
+@query("op8_benchmark_matches")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.benchmark_matches(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = toxicity.remainder(F.col("doc_id"), 5)
