@@ -268,3 +268,35 @@ def benchmark_matches(
             *columns, F.lit(None).cast(id_kind).alias("item_id"),
             *[F.lit(None).cast("long").alias(c) for c in ("start", "end", "edits")])
     return out
+
+
+def without_matches(
+    docs: DataFrame, benchmark: DataFrame, rule: MatchRule = MatchRule(),
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark item. No shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def search(chunk):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(chunk.value, rule)
+            for batch in batches:
+                offsets, raw = text_bytes(batch.column(1))
+                clean = np.ones(batch.num_rows, bool)
+                lo = 0
+                while lo < batch.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _BLOCK, "right")) - 1)
+                    for match in _matches(index, offsets[lo:hi + 1] - offsets[lo],
+                                          raw[offsets[lo]:offsets[hi]]):
+                        clean[lo + match[0]] = False
+                    lo = hi
+                yield batch.filter(pa.array(clean))
+        return run
+
+    rows = spread(docs.select(
+        F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), "text"))
+    schema = rows.schema
+    for chunk in _item_chunks(benchmark, rule):
+        rows = rows.mapInArrow(search(spark.sparkContext.broadcast(chunk)), schema)
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c)
+                         for c in docs.columns])

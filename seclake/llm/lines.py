@@ -166,18 +166,16 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("cid", "words", "before").mapInArrow(run, "cid long").distinct()
 
 
-def _kept(joined: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns with n_lines, n_removed and the text left."""
-    kinds = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in columns)
-    width = len(columns)
+def _kept(joined: DataFrame) -> DataFrame:
+    """row with n_lines, n_removed and kept, the text left."""
+    kind = joined.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(width)):
+            for lo, hi in slices(batch.column(1)):
                 piece = batch.slice(lo, hi - lo)
                 total, removed, left = [], [], []
-                for text, own in zip(unpacked(piece.column(width)),
-                                     piece.column(width + 1).to_pylist()):
+                for text, own in zip(unpacked(piece.column(1)), piece.column(2).to_pylist()):
                     lines = text.as_py().split("\n")
                     stay = set(own or ())
                     worded = [bool(_WORD.search(line)) for line in lines]
@@ -186,16 +184,16 @@ def _kept(joined: DataFrame, columns: list[str]) -> DataFrame:
                     left.append("" if total[-1] and not stay else "\n".join(
                         line for i, line in enumerate(lines) if i in stay or not worded[i]))
                 yield pa.RecordBatch.from_arrays(
-                    [*[piece.column(i) for i in range(width)], pa.array(total, pa.int64()),
+                    [piece.column(0), pa.array(total, pa.int64()),
                      pa.array(removed, pa.int64()), pa.array(left, pa.string())],
-                    [*columns, "n_lines", "n_removed", "kept"])
+                    ["row", "n_lines", "n_removed", "kept"])
 
-    return joined.select(*columns, "packed", "stay").mapInArrow(
-        run, f"{kinds}, n_lines long, n_removed long, kept string")
+    return joined.select("row", "packed", "stay").mapInArrow(
+        run, f"row {kind}, n_lines long, n_removed long, kept string")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text and any others) with n_lines, n_removed and kept.
+    """row (all columns of ``docs`` but text), n_lines, n_removed and kept for each row.
 
     A line with words goes if an earlier line of the table, by id and place, has the same
     words, or is one word put in, left out or replaced away while both have LEAST_WORDS words
@@ -212,7 +210,9 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = spread(docs.withColumns({"k": id_key(docs["doc_id"]), "t": text_key(docs["text"])}))
+    rows = spread(docs.select(
+        F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["doc_id"],
+        docs["text"], id_key(docs["doc_id"]).alias("k"), text_key(docs["text"]).alias("t")))
     late = F.col("doc_id").isNull().alias("late")
     firsts = stored(_lines(rows).groupBy("w1", "w2").agg(F.min(F.struct(
         late, "doc_id", "t", "line", "n", "ends")).alias("first")).select("first.*").withColumn(
@@ -222,7 +222,6 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     shared = ends.groupBy("end").agg(F.count("*").alias("lines")).filter("lines > 1")
     likely = ends.join(shared.select("end"), "end").select("cid").distinct()
     likely = stored(firsts.drop("ends").join(likely, "cid"), "likely")
-    others = [c for c in docs.columns if c != "text"]
     wanted = likely.groupBy(id_key(F.col("doc_id")).alias("k"), "t").agg(
         F.collect_list(F.struct("cid", "line")).alias("own"))
     words = _candidates(packed(rows, ["k", "t"]), wanted).dropDuplicates(["cid"])
@@ -243,7 +242,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     stay = firsts.join(gone, "cid", "left_anti").groupBy(
         id_key(F.col("doc_id")).alias("k"), "t").agg(F.collect_list("line").alias("stay"))
     copies = rows.groupBy("k", "t").agg(F.count("*").alias("copies")).filter("copies > 1")
-    texts = packed(rows, ["k", "t", *others])
+    texts = packed(rows, ["k", "t", "row"])
     if copies.limit(1).count():
         order = Window.partitionBy("k", "t").orderBy(F.lit(0))
         texts = texts.withColumn("_copy", F.row_number().over(order))
@@ -251,4 +250,16 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
             "stay", F.when(F.col("_copy") == 1, F.col("stay")))
     else:
         joined = texts.join(stay, ["k", "t"], "left")
-    return _kept(joined, others)
+    return _kept(joined)
+
+
+def with_kept_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated lines out of their texts; n_chars, if there, follows.
+
+    A row whose lines with words have all gone, as they are all elsewhere, goes as well.
+    """
+    left = without_repeated_lines(docs).filter("n_lines = 0 OR n_removed < n_lines")
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return left.select(*[
+        F.col("kept").alias("text") if c == "text" else F.length("kept").cast(kind).alias(c) if c == "n_chars"
+        else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seclake.llm.blocks import blocks, mix, ngram_hashes, small_batches
+from seclake.llm.blocks import blocks, id_key, mix, ngram_hashes, small_batches, text_key
 from seclake.llm.components import components
 from seclake.llm.tables import stored
 from seclake.session import spread
@@ -60,12 +60,12 @@ def _marks(own: np.ndarray) -> tuple[int, int]:
 
 
 def _sketches(docs: DataFrame, retained: int | None) -> DataFrame:
-    """doc_id, d1, d2, n and the ``retained`` least shingle values, all of them for None."""
+    """doc_id, t, d1, d2, n and the ``retained`` least shingle values, all of them for None."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lo = 0
             ones, twos, sizes, lists, held = [], [], [], [], 0
-            for i, own in enumerate(shingle_sets(batch.column(1))):
+            for i, own in enumerate(shingle_sets(batch.column(2))):
                 d1, d2 = _marks(own) if len(own) else (0, 0)
                 ones.append(d1), twos.append(d2), sizes.append(len(own))
                 lists.append(own[:retained].view(np.int64))
@@ -73,16 +73,18 @@ def _sketches(docs: DataFrame, retained: int | None) -> DataFrame:
                 if held > 500_000 or i == batch.num_rows - 1:
                     ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(lo, i + 1 - lo), pa.array(ones, pa.int64()),
+                        batch.column(0).slice(lo, i + 1 - lo),
+                        batch.column(1).slice(lo, i + 1 - lo), pa.array(ones, pa.int64()),
                         pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
                                                  pa.array(np.concatenate(lists)))],
-                        ["doc_id", "d1", "d2", "n", "least"])
+                        ["doc_id", "t", "d1", "d2", "n", "least"])
                     lo, ones, twos, sizes, lists, held = i + 1, [], [], [], [], 0
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, d1 long, d2 long, n long, least array<long>")
+    return docs.select("doc_id", "t", "text").mapInArrow(
+        run, f"doc_id {kind}, t long, d1 long, d2 long, n long, least array<long>")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
@@ -112,7 +114,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = _sketches(texts, None).withColumnRenamed("doc_id", "rep")
+    sets = _sketches(texts, None).withColumnRenamed("doc_id", "rep").drop("t")
     return sets.join(wanted, ["rep", "d1", "d2", "n"]).groupBy("cid", "n").agg(
         F.first("least").alias("own"))
 
@@ -211,7 +213,7 @@ def _unsigned(value):
 def near_copies(
     docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+    """doc_id, t (a value of the text), n_shingles, component_id, kept for each row of ``docs``.
 
     Texts whose sets of 5-word shingles share at least ``percent`` of their union are linked;
     component_id is the least id that can be reached over links. Texts with equal sets are one
@@ -222,7 +224,8 @@ def near_copies(
     gets the least id it is linked with, and is kept if there is none. An empty table gives no
     rows. Other columns are not read.
     """
-    narrow = spread(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))
+    narrow = spread(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"),
+                                text_key(docs[text]).alias("t")))
     rows = stored(_sketches(narrow, RETAINED), "sketches")
     classes = stored(rows.filter("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("least").alias("least")).filter(
@@ -243,5 +246,21 @@ def near_copies(
     out = placed.join(names, "cid", "left").withColumn(
         "component_id", F.coalesce("_least", "doc_id"))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        "doc_id", "t", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that near copies leave: one document of each group.
+
+    Of rows with the same id and text one stays.
+    """
+    stay = near_copies(docs, percent).filter("kept").select(
+        id_key(F.col("doc_id")).alias("k"), "t").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                       id_key(docs["doc_id"]).alias("k"), text_key(docs["text"]).alias("t"))
+    again = rows.groupBy("k", "t").agg(F.count("*").alias("n")).filter("n > 1")
+    left = rows.join(stay, ["k", "t"], "left_semi")
+    if again.limit(1).count():
+        left = left.dropDuplicates(["k", "t"])
+    return left.select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seclake.llm import attention, contamination, lines, mixing, near_copies, passages, repetition, secrets, toxicity
+from seclake.llm import attention, contamination, licences, lines, mixing, near_copies, passages, repetition, secrets, toxicity
 from seclake.llm.blocks import read_table
 from seclake.llm.registry import query
 
@@ -53,7 +53,7 @@ FROM marked GROUP BY doc_id
 @query("op1_line_dedup", _OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+        "row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 _OP2 = r"""
@@ -124,6 +124,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_licence_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(read_table(spark, sf_dir, "documents"))
+
+
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_scan(read_table(spark, sf_dir, "documents"))
@@ -269,4 +274,4 @@ GROUP BY w.doc_id, n
 
 @query("op10_near_copies", _OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies.near_copies(read_table(spark, sf_dir, "documents"), percent=85)
+    return near_copies.near_copies(read_table(spark, sf_dir, "documents"), percent=85).drop("t")

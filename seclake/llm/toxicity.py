@@ -145,9 +145,12 @@ def features(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and features (array of doubles) of each row."""
+def with_features(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """``carry`` (as a column of its alias; doc_id without) and features, an array of doubles,
+    of each row."""
     width = len(FEATURES)
+    narrow = spread(docs.select(F.col("doc_id") if carry is None else carry, docs["text"]))
+    name, kind = narrow.columns[0], narrow.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,13 +163,11 @@ def with_features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
                     batch.column(0).slice(lo, hi - lo),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(hi - lo + 1, dtype=np.int32) * width),
-                        pa.array(got.ravel()))], ["doc_id", "features"])
+                        pa.array(got.ravel()))], [name, "features"])
                 lo = hi
 
     small_batches(docs.sparkSession)
-    narrow = spread(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, features array<double>")
+    return narrow.mapInArrow(run, f"{name} {kind}, features array<double>")
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -251,3 +252,14 @@ def toxicity(
     """
     model = train(docs, labels, F.lit(True) if may_train is None else may_train, **options)
     return model.scored(with_features(docs))
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, reject_from: float, may_train: Column | None = None,
+    **options,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``reject_from``."""
+    model = train(docs, labels, F.lit(True) if may_train is None else may_train, **options)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return model.scored(with_features(docs, row)).filter(
+        F.col("score") < reject_from).select("row.*")
