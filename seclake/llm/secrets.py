@@ -165,13 +165,19 @@ class _Layer:
                 yield _Layer(decoded, *self.span(m.start(), m.end()))
 
 
+def _order(span: Span) -> tuple[int, int, int]:
+    start, end, kind = span
+    return start, kind, end
+
+
 def scan(text: str) -> tuple[list[Span], list[Span]]:
-    """Base findings, and all findings with those of decoded layers; both sorted.
+    """Base findings, and all findings with those of decoded layers; both by start, then
+    kind.
 
     The worklist ends when no layer gives a new one. A layer that came up before at the same
     place of the text is not taken again, so encodings that lead back to themselves end.
     """
-    base = sorted(find(text))
+    base = sorted(find(text), key=_order)
     first = _Layer(text, range(len(text)), range(1, len(text) + 1))
     work, seen, every = list(first.inner()), set(), set(base)
     while work:
@@ -181,7 +187,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         seen.add(key)
         every.update((*layer.span(s, e), k) for s, e, k in find(layer.text))
         work.extend(layer.inner())
-    return base, sorted(every)
+    return base, sorted(every, key=_order)
 
 
 def joined(spans: list[Span]) -> str:
