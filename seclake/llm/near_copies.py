@@ -128,8 +128,8 @@ def _ties(
     top member is compared with its others. Then classes tied by the links found are taken as
     one, lists whose members all are go, and the rest is compared with more pivots: members
     get a level by a hash, an eighth as many from level to level, and each round takes the
-    levels down to the lowest at which pivots times members stay within a few times the lists'
-    rows. The last round ends at level 0, so every pair of a list is compared or already tied.
+    levels down to the lowest at which pairs of pivots and members not yet tied stay within a
+    few times the lists' rows. The last round ends at level 0, so every pair of a list is compared or already tied.
 
     A pair is dropped if its sizes or the least values of its union say it can't be a link;
     whole shingle sets decide on the others.
@@ -149,10 +149,12 @@ def _ties(
         member = rows.withColumn("root", F.col("cid")) if tied is None else rows.join(
             tied.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
             "root", F.coalesce("root", "cid"))
-        several = stored(member.groupBy("value").agg(
-            F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")
-        ).filter("_lo <> _hi").select("value", "_m"), "open")
-        count, squares = several.agg(F.sum("_m"), F.sum(F.col("_m") * F.col("_m"))).first()
+        # Pairs not tied yet are those of members of different components.
+        several = stored(member.groupBy("value", "root").agg(F.count("*").alias("_c")).groupBy(
+            "value").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_q"),
+                         F.count("*").alias("_roots")).filter("_roots > 1"), "open")
+        count, apart = several.agg(
+            F.sum("_m"), F.sum(F.col("_m") * F.col("_m") - F.col("_q")) / 2).first()
         if not count:
             break
         member = member.join(several.select("value"), "value")
@@ -161,7 +163,7 @@ def _ties(
                 "value", *[F.col(f"top.{c}").alias(f"p_{c}") for c in ("level", "cid", "n")])
         else:
             lowest = 0
-            while lowest < done - 1 and squares / 8 ** max(0, lowest - 1) > 200_000 + 4 * count:
+            while lowest < done - 1 and apart / 8 ** max(0, lowest - 1) > 200_000 + 4 * count:
                 lowest += 1
             pivots = member.filter(
                 (F.col("level") >= lowest) & (F.col("level") < done)
