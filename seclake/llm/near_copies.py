@@ -19,6 +19,7 @@ RETAINED = 48
 MISS = 1e-9
 MOST_SENT = 200_000  # ids sent to every executor at most; beyond that they are joined
 LEVEL_BITS = 3
+ROUND_PAIRS = 5_000_000
 
 
 def least_shared(percent: int, of: int = RETAINED, miss: float = MISS) -> int:
@@ -110,13 +111,28 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and whole shingle set of each wanted class (cid, rep, d1, d2, n)."""
+    """cid, n and whole shingle set (own) of each row of a wanted class (cid, rep, d1, d2, n)."""
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = _sketches(texts, None).withColumnRenamed("doc_id", "rep").drop("t")
-    return sets.join(wanted, ["rep", "d1", "d2", "n"]).groupBy("cid", "n").agg(
-        F.first("least").alias("own"))
+    return sets.join(wanted, ["rep", "d1", "d2", "n"]).select(
+        "cid", "n", F.col("least").alias("own"))
+
+
+def _own_shingles(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """cid and u, how many shingles no other class in the lists has.
+
+    Exact, from whole sets. A copy with many edits has many shingles of its own, and the lists
+    of its group would pair it with all others in vain.
+    """
+    wanted = classes.join(lists.select("cid").distinct(), "cid")
+    values = _full_sets(docs, wanted.select("cid", "rep", "d1", "d2", "n")).select(
+        "cid", F.explode("own").alias("value"))
+    own = values.groupBy("value").agg(F.min("cid").alias("cid"), F.max("cid").alias("_hi")).filter(
+        "cid = _hi").groupBy("cid").agg(F.count("*").alias("u"))
+    return wanted.select("cid").join(own, "cid", "left").select(
+        "cid", F.coalesce("u", F.lit(0)).alias("u"))
 
 
 def _ties(
@@ -125,20 +141,24 @@ def _ties(
     """node, root over all classes that links, or the links ``given``, tie to another.
 
     Pairs come from the inverted lists, by pivots instead of all with all. First each list's
-    top member is compared with its others. Then classes tied by the links found are taken as
+    member with the least share of shingles of its own is compared with its others. Then classes tied by the links found are taken as
     one, lists whose members all are go, and the rest is compared with more pivots: members
     get a level by a hash, an eighth as many from level to level, and each round takes the
     levels down to the lowest at which pairs of pivots and members not yet tied stay within a
     few times the lists' rows. The last round ends at level 0, so every pair of a list is compared or already tied.
 
-    A pair is dropped if its sizes or the least values of its union say it can't be a link;
+    A pair is dropped if its sizes, the shingles that either has alone, or the least values of
+    its union say it can't be a link;
     whole shingle sets decide on the others.
     """
     level = 10 - F.floor(F.log2(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) + 1) / LEVEL_BITS)
-    lists = stored(_prefixes(classes, percent).withColumn("level", level.cast("int")), "lists")
+    sketched = stored(_prefixes(classes, percent), "lists")
+    lists = stored(sketched.join(_own_shingles(docs, classes, sketched), "cid").filter(
+        F.col("u") * percent <= (F.col("n") - F.col("u")) * (100 - percent)).withColumn(
+        "level", level.cast("int")), "lists")
     tops = lists.groupBy("value").agg(
-        F.max(F.struct("level", "cid", "n")).alias("top"), F.count("*").alias("_m")).filter(
-        "_m > 1").select("value", "top")
+        F.max(F.struct((-F.col("u") / F.col("n")).alias("share"), "level", "cid", "n", "u")
+              ).alias("top"), F.count("*").alias("_m")).filter("_m > 1").select("value", "top")
     rows = stored(lists.join(tops, "value"), "members")
     found, tied = None, None
     if given.limit(1).count():
@@ -160,21 +180,25 @@ def _ties(
         member = member.join(several.select("value"), "value")
         if first:
             pivots = several.join(tops, "value").select(
-                "value", *[F.col(f"top.{c}").alias(f"p_{c}") for c in ("level", "cid", "n")])
+                "value", *[F.col(f"top.{c}").alias(f"p_{c}") for c in ("cid", "n", "u")])
         else:
             lowest = 0
-            while lowest < done - 1 and apart / 8 ** max(0, lowest - 1) > 200_000 + 4 * count:
+            while lowest < done - 1 and apart / 8 ** max(0, lowest - 1) > ROUND_PAIRS + 4 * count:
                 lowest += 1
             pivots = member.filter(
                 (F.col("level") >= lowest) & (F.col("level") < done)
                 & (F.col("cid") != F.col("top.cid"))).select(
-                "value", *[F.col(c).alias(f"p_{c}") for c in ("level", "cid", "n", "root")])
+                "value", *[F.col(c).alias(f"p_{c}") for c in
+                           ("level", "cid", "n", "u", "root")])
             done = lowest
-        pairs = member.join(pivots, "value").filter(
-            "(level < p_level OR level = p_level AND cid < p_cid)").filter(
-            F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
-        if not first:
-            pairs = pairs.filter("root <> p_root")
+        # Neither's own shingles are shared; the rest of the union can be, at the most.
+        could = ((F.col("u") + F.col("p_u")) * percent
+                 <= F.least(F.col("n") - F.col("u"), F.col("p_n") - F.col("p_u"))
+                 * (100 - percent)) & (
+                 F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+        pairs = member.join(pivots, "value").filter(could).filter(
+            "cid <> p_cid" if first else
+            "root <> p_root AND (level < p_level OR level = p_level AND cid < p_cid)")
         first = False
         pairs = stored(pairs.select(F.col("p_cid").alias("a"), F.col("cid").alias("b")).distinct(),
                        "pairs")
@@ -199,7 +223,8 @@ def _verified(
     likely = stored(likely.select("a", "b"), "likely")
     ids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
     wanted = classes.join(ids, "cid").select("cid", "rep", "d1", "d2", "n")
-    full = stored(_full_sets(docs, wanted), "sets")
+    full = stored(_full_sets(docs, wanted).groupBy("cid", "n").agg(
+        F.first("own").alias("own")), "sets")
     whole = likely.join(full.toDF("a", "na", "oa"), "a").join(full.toDF("b", "nb", "ob"), "b")
     shared = F.size(F.array_intersect("oa", "ob"))
     links = whole.withColumn("_i", shared).filter(
