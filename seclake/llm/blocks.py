@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BLOCK_BYTES = 2 << 20
-_SEGMENT = 1 << 20
+BLOCK_BYTES = 1 << 20
+_SEGMENT = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -141,8 +141,8 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> I
 
 def small_batches(spark: SparkSession) -> None:
     """Hand rows to Python in batches of bounded size: long texts make them shorter."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,7 +183,7 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([zlib.decompress(x.as_py()) for x in column], pa.binary()).cast(pa.string())
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Parts of a batch whose compressed texts have a bounded number of bytes together."""
     sizes = np.cumsum([len(x.as_py()) for x in column])
     lo = 0

@@ -19,7 +19,7 @@ from seclake.session import spread
 WINDOW = 35
 PREFIX = 8
 GROUP_MEMBERS = 512
-TREE_WORDS = 400_000
+TREE_WORDS = 200_000
 
 
 def window_anchors(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,31 +43,31 @@ def window_anchors(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text and two numbers that name the row's id and its text."""
+    """doc_id, text, a number for the id (i) and two that name the text (k, t)."""
     return docs.select(
-        docs[doc_id].alias("doc_id"), docs[text].alias("text"),
-        id_key(docs[doc_id]).alias("k"), text_key(docs[text]).alias("t"))
+        docs[doc_id].alias("doc_id"), docs[text].alias("text"), id_key(docs[doc_id]).alias("i"),
+        F.xxhash64(F.lit("text"), docs[text]).alias("k"), text_key(docs[text]).alias("t"))
 
 
 def _index(rows: DataFrame, window: int) -> DataFrame:
-    """k, t, anchors (values) and places (word numbers) of each row."""
+    """i, k, t, n_words, anchors (values) and places (word numbers) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(3)):
                 _, anchors, values = window_anchors(block, window)
                 anchors = np.unique(anchors)
                 doc = block.word_doc[anchors]
                 ends = pa.array(np.searchsorted(doc, np.arange(block.texts + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(block.lo, block.texts),
-                    batch.column(1).slice(block.lo, block.texts),
+                    *[batch.column(i).slice(block.lo, block.texts) for i in range(3)],
+                    pa.array(np.diff(block.first_word).astype(np.int32)),
                     pa.ListArray.from_arrays(ends, pa.array(values[anchors].view(np.int64))),
                     pa.ListArray.from_arrays(
                         ends, pa.array((anchors - block.first_word[doc]).astype(np.int32)))],
-                    ["k", "t", "anchors", "places"])
+                    ["i", "k", "t", "n_words", "anchors", "places"])
 
-    return rows.select("k", "t", "text").mapInArrow(
-        run, "k long, t long, anchors array<long>, places array<int>")
+    return rows.select("i", "k", "t", "text").mapInArrow(
+        run, "i long, k long, t long, n_words int, anchors array<long>, places array<int>")
 
 
 def _contexts(joined: DataFrame, window: int) -> DataFrame:
@@ -252,44 +252,46 @@ def without_repeats(
     anywhere else in the table, the same text included. All repeats go, the first one too.
 
     Suffixes are grouped by prefix: the PREFIX words at a window's anchor. Most anchors
-    occur once; their windows can't repeat and go no further. A prefix with more than
+    occur once; their windows can't repeat and go no further. Texts that are there as a whole
+    more than once lose all that windows cover, and one of them stands for all in the search. A prefix with more than
     GROUP_MEMBERS places is split in parts by place, since more of it would not split equal
     windows; the parts then compare their windows by value. Each group's suffix tree
     is built in memory, many groups at a time.
 
-    Null and empty texts have no words. Rows with the same id and text are separate places, so
-    texts of a window or more that are there twice lose all that windows cover. Null ids are
-    fine; an empty table gives no rows. Other columns are not read.
+    Null and empty texts have no words. Rows with the same id and text are separate places.
+    Null ids are fine; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = _keyed(spread(docs.select(docs[doc_id], docs[text])), doc_id, text)
     index = stored(_index(rows, window).filter("size(anchors) > 0").withColumn(
         "did", F.monotonically_increasing_id()), "anchors")
-    once = index.groupBy("k", "t").agg(
-        F.min("did").alias("did"), F.count("*").cast("int").alias("copies"))
-    repeated_rows = bool(once.filter("copies > 1").limit(1).count())
-    if repeated_rows:
-        once = stored(once, "rows")
-        places = index.select("did", "anchors", "places").join(once.select("did", "copies"), "did")
-    else:
-        once = index.select("k", "t", "did", F.lit(1).alias("copies"))
-        places = index.select("did", "anchors", "places", F.lit(1).alias("copies"))
-    several = places.select("copies", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(
-        F.sum("copies").alias("members")).filter("members > 1").select(
-        "anchor", F.ceil(F.col("members") / GROUP_MEMBERS).cast("int").alias("parts"))
-    wanted = places.select("did", F.explode(F.arrays_zip("anchors", "places")).alias("p")).select(
-        "did", F.col("p.anchors").alias("anchor"), F.col("p.places").alias("place")).join(
-        several, "anchor").groupBy("did").agg(
-        F.collect_list(F.struct("place", "parts")).alias("at"))
-    wanted = once.join(wanted, "did")
-    texts = packed(rows.dropDuplicates(["k", "t"]) if repeated_rows else rows, ["k", "t"])
-    found = stored(_trees(_contexts(texts.join(wanted, ["k", "t"]), window), window), "windows")
+    # One row stands for all with its text.
+    once = stored(index.groupBy("k", "t").agg(
+        F.min(F.struct("i", "did")).alias("one"), F.count("*").cast("int").alias("copies"),
+        F.first("n_words").alias("n_words")).select(
+        "k", "t", "one.*", "copies", "n_words"), "texts")
+    several = index.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(
+        F.count("*").alias("members")).filter("members > 1").select(
+        "anchor", "members", F.ceil(F.col("members") / GROUP_MEMBERS).cast("int").alias("parts"))
+    places = index.select("did", F.explode(F.arrays_zip("anchors", "places")).alias("p")).select(
+        "did", F.col("p.anchors").alias("anchor"), F.col("p.places").alias("place"))
+    wanted = places.join(several, "anchor").groupBy("did").agg(
+        F.collect_list(F.struct("place", "parts", "members")).alias("at"))
+    # An anchor that only copies of the whole text have tells nothing: all their windows repeat.
+    wanted = once.join(wanted, "did").withColumn(
+        "at", F.filter("at", lambda p: p.members > F.col("copies"))).filter("size(at) > 0")
+    texts = packed(rows, ["i", "k", "t"])
+    if rows.groupBy("i", "k", "t").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["i", "k", "t"])
+    found = stored(_trees(_contexts(texts.join(wanted, ["i", "k", "t"]), window), window), "windows")
     over_parts = found.filter("w1 IS NOT NULL")
     again = over_parts.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1")
     singles = over_parts.filter("did IS NOT NULL").join(again, ["w1", "w2"])
     spans = found.filter("w1 IS NULL").select("did", "start", "length").union(
-        singles.select("did", "start", "length")).groupBy("did").agg(
+        singles.select("did", "start", "length")).union(
+        once.filter("copies > 1").select("did", F.lit(0), F.col("n_words") - (window - 1))
+    ).groupBy("did").agg(
         F.collect_list(F.struct("start", "length")).alias("spans"))
     spans = once.select("k", "t", "did").join(spans, "did").drop("did")
     return _without(packed(rows, ["k", "t", "doc_id"]).join(spans, ["k", "t"], "left"), window)
