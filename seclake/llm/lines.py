@@ -17,6 +17,8 @@ from seclake.session import spread
 
 LEAST_WORDS = 8
 LONG_WORDS = 16
+BLOCKS = 8
+MOST_SENT = 300_000  # wanted lines sent to every executor at most; beyond that texts are shuffled
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -87,14 +89,17 @@ def _lines(rows: DataFrame) -> DataFrame:
              "ends array<long>")
 
 
-def _candidates(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of the wanted lines (k, t, own: cid and line)."""
+def _candidates(texts: DataFrame) -> DataFrame:
+    """The words of the wanted lines (own: cid and line) of each text, plain or packed."""
+    plain = "text" in texts.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
+            for lo, hi in [(0, batch.num_rows)] if plain else slices(batch.column(0)):
                 piece = batch.slice(lo, hi - lo)
                 cids, words = [], []
-                for text, own in zip(unpacked(piece.column(0)), piece.column(1).to_pylist()):
+                column = piece.column(0) if plain else unpacked(piece.column(0))
+                for text, own in zip(column, piece.column(1).to_pylist()):
                     lines = text.as_py().split("\n")
                     for one in own:
                         cids.append(one["cid"])
@@ -102,10 +107,47 @@ def _candidates(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cids, pa.int64()), pa.array(words, pa.string())], ["cid", "words"])
 
-    return texts.join(wanted, ["k", "t"]).select("packed", "own").mapInArrow(
+    return texts.select("text" if plain else "packed", "own").mapInArrow(
         run, "cid long, words string")
 
 
+def _block_keys(lines: DataFrame) -> DataFrame:
+    """128-bit keys h1, h2 of each line less one of its BLOCKS parts, with cid and block.
+
+    A line of n words has the keys of its own length (block from 0) and, as the longer one,
+    those of n - 1 (block from BLOCKS). Two lines one word apart share the key of the part
+    that the word is in.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                values = block.word_hashes()
+                first, end = block.first_word[:-1], block.first_word[1:]
+                out = ([], [])
+                for h, seq in zip(out, (Sequences(values), Sequences(mix(values ^ _SECOND)))):
+                    for longer in (0, 1):
+                        own = end - first - longer
+                        for part in range(BLOCKS):
+                            lo, hi = part_of(own, part)
+                            h.append(mix(
+                                mix(seq.of(first, first + lo) + own.astype(np.uint64) * _ODD)
+                                + mix(seq.of(first + hi + longer, end) + np.uint64(part))
+                                * _ODD))
+                cid = batch.column(0).slice(block.lo, block.texts).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(np.concatenate(h).view(np.int64)) for h in out],
+                     pa.array(np.tile(cid, 2 * BLOCKS)),
+                     pa.array(np.repeat(np.arange(2 * BLOCKS, dtype=np.int32), len(cid)))],
+                    ["h1", "h2", "cid", "block"])
+
+    return lines.select("cid", "words").mapInArrow(run, "h1 long, h2 long, cid long, block int")
+
+
+def part_of(words, part):
+    """First word of a part, and the first after it."""
+    return words * part // BLOCKS, words * (part + 1) // BLOCKS
+
+
 SAME_LENGTH, WHOLE, SHORTENED = 0, 1, 2
 
 
@@ -114,40 +156,44 @@ def _variants(lines: DataFrame) -> DataFrame:
 
     SAME_LENGTH: the line without one word, and that word's place; lines that share such a key
     differ in that word. SHORTENED: the line without one word; WHOLE: the line itself;
-    a line that shares a key of these kinds with the other kind is one word shorter.
+    a line that shares a key of these kinds with the other kind is one word shorter. Words are
+    left out in the parts (``parts``) that set the line apart from another.
     """
     place = ["cid", *ORDER]
     kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = batch.column(1).to_pylist()
             for block in blocks(batch.column(0), limit=1 << 18):
-                if not len(block.word_start):
-                    continue
-                values = block.word_hashes()
-                doc, at = block.word_doc, np.arange(len(values))
-                first = block.first_word
-                a, b = first[doc], first[doc + 1]
+                values, first = block.word_hashes(), block.first_word
+                spots = [(i, lo, hi, role) for i in range(block.texts)
+                         for p in parts[block.lo + i]
+                         for role, n in ((SAME_LENGTH if p < BLOCKS else SHORTENED,
+                                          int(first[i + 1] - first[i]) - (p >= BLOCKS)),)
+                         for lo, hi in (part_of(n, p % BLOCKS),)]
+                own, lo, hi, role = (np.array(x, np.int64) for x in zip(*spots)) if spots \
+                    else (np.zeros(0, np.int64),) * 4
+                many = hi - lo + (role == SHORTENED)
+                at = np.repeat(first[own] + lo, many) + (
+                    np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                own, role = np.repeat(own, many), np.repeat(role, many)
+                a, b = first[own], first[own + 1]
                 n = np.diff(first).astype(np.uint64)
-                owner, role, h = [], [], ([], [])
+                h = ([], [])
                 for out, seq in zip(h, (Sequences(values), Sequences(mix(values ^ _SECOND)))):
-                    less = seq.without(a, b, at)
-                    short = mix(less + (n[doc] - np.uint64(1)) * _ODD)
-                    spot = (at - a).astype(np.uint64)
-                    out += [mix(short + (spot + np.uint64(1)) * _SECOND), short,
+                    short = mix(seq.without(a, b, at) + (n[own] - np.uint64(1)) * _ODD)
+                    spot = (at - a).astype(np.uint64) + np.uint64(1)
+                    out += [np.where(role == SAME_LENGTH, mix(short + spot * _SECOND), short),
                             mix(seq.of(first[:-1], first[1:]) + n * _ODD)]
-                whole = np.arange(block.texts)
-                owner = np.concatenate((doc, doc, whole))
-                role = np.repeat([SAME_LENGTH, SHORTENED, WHOLE],
-                                 [len(doc), len(doc), len(whole)])
-                rows = pa.array(block.lo + owner)
+                rows = pa.array(block.lo + np.concatenate((own, np.arange(block.texts))))
                 yield pa.RecordBatch.from_arrays([
                     *[pa.array(np.concatenate(x).view(np.int64)) for x in h],
-                    pa.array(role.astype(np.int32)),
-                    *[batch.column(i + 1).take(rows) for i in range(len(place))]],
+                    pa.array(np.concatenate((role, np.full(block.texts, WHOLE))).astype(np.int32)),
+                    *[batch.column(i + 2).take(rows) for i in range(len(place))]],
                     ["h1", "h2", "role", *place])
 
-    return lines.select("words", *place).mapInArrow(
+    return lines.select("words", "parts", *place).mapInArrow(
         run, f"h1 long, h2 long, role int, {kinds}")
 
 
@@ -201,8 +247,10 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     text, "" if every line with words goes. Lines without words stay beside others.
 
     First of each set of equal lines stand for all. Of these, only lines whose first or last
-    words another has too can be one word from another; for them all variants are made, equal
-    variants are joined by taking the earliest line of each, and words are compared.
+    words another has too can be one word from another, and of those only lines that equal
+    another but for one of BLOCKS parts; for them the variants with a word of that part left out
+    are made, equal variants are joined by taking the earliest line of each, and words are
+    compared.
 
     Null ids come after all others; with one id, texts are in order of a hash. Of rows with the
     same id and text the first keeps its lines and the others, which repeat it, none. A null
@@ -224,8 +272,15 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     likely = stored(firsts.drop("ends").join(likely, "cid"), "likely")
     wanted = likely.groupBy(id_key(F.col("doc_id")).alias("k"), "t").agg(
         F.collect_list(F.struct("cid", "line")).alias("own"))
-    words = _candidates(packed(rows, ["k", "t"]), wanted).dropDuplicates(["cid"])
-    lines = stored(likely.join(words, "cid"), "words")
+    few = likely.count() <= MOST_SENT
+    texts = rows.join(F.broadcast(wanted), ["k", "t"]).select("k", "t", "text", "own") if few \
+        else packed(rows, ["k", "t"]).join(wanted, ["k", "t"])
+    words = stored(_candidates(texts).dropDuplicates(["cid"]), "words")
+    keys = _block_keys(words)
+    alike = keys.groupBy("h1", "h2").agg(F.count("*").alias("lines")).filter("lines > 1")
+    parts = keys.join(alike, ["h1", "h2"]).groupBy("cid").agg(
+        F.collect_set("block").alias("parts"))
+    lines = stored(likely.join(words, "cid").join(parts, "cid"), "words")
 
     variants = _variants(lines)
     earliest = variants.groupBy("h1", "h2", "role").agg(
