@@ -275,10 +275,11 @@ def s6(spark, sf):
 @query("s6_manual_overrides", given("scans", "score_history") + """
 SELECT h.scan_id, h.score, CASE WHEN h.score = 0 THEN 'Resolved' WHEN h.score <= 24 THEN 'Warning'
     WHEN h.score <= 49 THEN 'Vulnerable' ELSE 'Critical' END AS lifecycle_status,
-    CONCAT('Score manually changed from ', s.risk_score, ' to ', h.score) AS details, h.timestamp
+    CONCAT('Score manually changed from ', COALESCE(lag(h.score) OVER (PARTITION BY h.scan_id
+        ORDER BY h.timestamp, h.id), s.risk_score), ' to ', h.score) AS details, h.timestamp
 FROM score_history h JOIN scans s ON h.scan_id = s.id""")
 def s6_overrides(spark, sf):
-    asked = A.score_history(spark, sf).select("scan_id", "score", "timestamp")
+    asked = A.score_history(spark, sf).select("id", "scan_id", "score", "timestamp")
     done = lifecycle.score_overrides(A.scans(spark, sf), asked)
     return maintain.override_audit(done, "1").select(
         "scan_id", F.col("new_score").alias("score"), F.col("new_status").alias("lifecycle_status"),

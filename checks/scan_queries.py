@@ -188,7 +188,7 @@ per_file AS (
 scored AS (SELECT *, CAST(CASE WHEN raw = 0 THEN 0 ELSE least(100, greatest(
     floor(least(100.0, 20 * ln(1 + raw))),
     CASE WHEN critical > 0 THEN 60 + least(40, 5 * critical) ELSE 0 END)) END AS INT) AS score FROM per_file),
-scans AS (SELECT sha256(CONCAT(file_path, '#2026-01-02 03:04:05')) AS id, file_path, language, score,
+scans AS (SELECT sha256(CAST(to_json(['first', file_path, '2026-01-02 03:04:05']) AS VARCHAR)) AS id, file_path, language, score,
     CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium'
         ELSE 'Low' END AS level,
     CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'Vulnerable'
@@ -197,8 +197,9 @@ SELECT 'scans' AS part, id AS scan_id, CONCAT_WS('|', file_path, language, 'uplo
     lifecycle, CONCAT('reports/security_report_', replace(split_part(file_path, '/', 2), '.', '_'),
     '_20260102_030405.html')) AS content FROM scans
 UNION ALL
-SELECT 'vulnerabilities', sha256(CONCAT(file_path, '#2026-01-02 03:04:05')),
-    CONCAT_WS('|', sha256(CONCAT_WS('#', file_path, '2026-01-02 03:04:05', vuln_id, line_number)),
+SELECT 'vulnerabilities', sha256(CAST(to_json(['first', file_path, '2026-01-02 03:04:05']) AS VARCHAR)),
+    CONCAT_WS('|', sha256(CAST(to_json(['first', file_path, '2026-01-02 03:04:05', vuln_id,
+        CAST(line_number AS VARCHAR)]) AS VARCHAR)),
     vuln_id, category, raw_severity, line_number, line_content, 'open') FROM findings
 UNION ALL
 SELECT 'score_history', id, CONCAT_WS('|', score, lifecycle, 'system', 'Initial scan') FROM scans
@@ -234,7 +235,7 @@ def s4(spark, sf):
     return _stored(spark, folder)
 
 
-@query("t3_scan_arriving_files", _STORED)
+@query("t3_scan_arriving_files", _STORED.replace("'first'", "'batch-0'"))
 def t3(spark, sf):
     folder = new_folder(spark, "arriving")
     documents = spark.readStream.schema(A.TABLES["documents"]).option(
@@ -249,7 +250,7 @@ _SUPPORTED = "suffix(file_path, '.py') OR suffix(file_path, '.js') OR suffix(fil
 @query("s4_repositories_and_store", _STORED.split("scans AS (SELECT")[0] + f"""
 tops AS (SELECT split_part(file_path, '/', 1) AS repo, max(score) AS score, count(*) AS files,
     arg_max(file_path, (score, file_path)) AS top_file FROM scored WHERE {_SUPPORTED} GROUP BY repo),
-scans AS (SELECT *, sha256(CONCAT(repo, '#2026-01-02 03:04:05')) AS id,
+scans AS (SELECT *, sha256(CAST(to_json(['first', repo, '2026-01-02 03:04:05']) AS VARCHAR)) AS id,
     CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium'
         ELSE 'Low' END AS level,
     CASE WHEN score >= 75 THEN 'Critical' WHEN score >= 50 THEN 'Vulnerable'
@@ -258,8 +259,9 @@ SELECT 'scans' AS part, id AS scan_id, CONCAT_WS('|', repo, 'multi', 'github', s
     lifecycle, CONCAT('reports/security_report_', replace(split_part(top_file, '/', 2), '.', '_'),
     '_20260102_030405.html')) AS content FROM scans
 UNION ALL
-SELECT 'vulnerabilities', sha256(CONCAT(repo, '#2026-01-02 03:04:05')),
-    CONCAT_WS('|', sha256(CONCAT_WS('#', file_path, '2026-01-02 03:04:05', vuln_id, line_number)),
+SELECT 'vulnerabilities', sha256(CAST(to_json(['first', repo, '2026-01-02 03:04:05']) AS VARCHAR)),
+    CONCAT_WS('|', sha256(CAST(to_json(['first', repo, '2026-01-02 03:04:05', file_path, vuln_id,
+        CAST(line_number AS VARCHAR)]) AS VARCHAR)),
     vuln_id, CONCAT('[', split_part(file_path, '/', 2), '] ', category), raw_severity, line_number,
     line_content, 'open') FROM findings WHERE {_SUPPORTED}
 UNION ALL

@@ -104,17 +104,14 @@ def j3(spark, sf):
 
 
 @query("j4_scan_details", given("scans", "vulnerabilities") + """
-SELECT s.id, s.risk_score, 0 AS part, count(v.id) AS findings,
-    COALESCE(string_agg(CONCAT(v.id, ':', v.severity), '|' ORDER BY v.id)
-        FILTER (WHERE v.id IS NOT NULL), '') AS listed
-FROM scans s LEFT JOIN vulnerabilities v ON v.scan_id = s.id GROUP BY s.id, s.risk_score""")
+SELECT s.id, s.risk_score, CASE WHEN v.id IS NOT NULL THEN row_number() OVER (PARTITION BY s.id
+    ORDER BY v.id, v.severity) - 1 END AS position, v.id AS finding, v.severity
+FROM scans s LEFT JOIN vulnerabilities v ON v.scan_id = s.id""")
 def j4(spark, sf):
     found = A.vulnerabilities(spark, sf)
     details = views.scan_details(A.scans(spark, sf), found)
-    return details.select(
-        "id", "risk_score", "part", F.size("vulnerabilities").cast("bigint").alias("findings"),
-        F.array_join(F.transform("vulnerabilities", lambda v: F.concat(
-            v["id"], F.lit(":"), v["severity"])), "|").alias("listed"))
+    return details.select("id", "risk_score", "position", F.col("finding.id").alias("finding"),
+                          F.col("finding.severity").alias("severity"))
 
 
 # ---- dashboard -------------------------------------------------------------------------
@@ -301,7 +298,7 @@ def f19(spark, sf):
 
 
 @query("f20_stable_ids", given("scans") + """
-SELECT id, sha256(CONCAT_WS('#', file_path, user_id)) AS stable_id FROM scans""")
+SELECT id, sha256(CAST(to_json([file_path, user_id]) AS VARCHAR)) AS stable_id FROM scans""")
 def f20(spark, sf):
     return A.scans(spark, sf).select(
         "id", texts.stable_id(F.col("file_path"), F.col("user_id")).alias("stable_id"))

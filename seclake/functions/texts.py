@@ -115,8 +115,11 @@ def micros_of_iso(text: Column) -> Column:
 
 
 def stable_id(*keys: Column) -> Column:
-    """Id made from the keys, so that a rerun gives the same id."""
-    return F.sha2(F.concat_ws("#", *[k.cast("string") for k in keys]), 256)
+    """Id made from the keys, so that a rerun gives the same id.
+
+    The keys are written as a JSON list: their borders and nulls can't be mistaken.
+    """
+    return F.sha2(F.to_json(F.array(*[k.cast("string") for k in keys])), 256)
 
 
 def change_line(severity: Column, category: Column, line: Column, advice: Column) -> Column:

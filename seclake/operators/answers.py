@@ -51,10 +51,17 @@ def parsed_answers(answers: DataFrame) -> DataFrame:
         {"allowSingleQuotes": "false"}))
     good = (F.size("_read") == 1) & F.get("_read", F.lit(0)).isNotNull()
     answer = F.get("_read", F.lit(0))
-    lines_ok = F.forall(
+    # Items are read as text, too: one that is no object makes the answer bad.
+    listed = F.get_json_object("_block", "$.analyzed_vulnerabilities")
+    items = F.from_json(listed, "array<string>")
+    items_ok = listed.isNull() | F.coalesce(
+        F.forall(items, lambda i: F.startswith(F.ltrim(i), F.lit("{"))), F.lit(False))
+    score = answer["overall_risk_score"]
+    lines_ok = items_ok & (score.isNull() | score.try_cast("double").isNull() | _fits(score)
+                           ) & F.forall(
         F.coalesce(answer["analyzed_vulnerabilities"],
                    F.array().cast(ANSWER["analyzed_vulnerabilities"].dataType)),
-        lambda v: v["line_number"].isNull() | v["line_number"].try_cast("double").isNotNull())
+        lambda v: v["line_number"].isNull() | _fits(v["line_number"]))
     return read.withColumn(
         "problem",
         F.when((F.col("_block") == "") | F.col("_block").isNull(), NO_JSON_MESSAGE)
@@ -62,8 +69,15 @@ def parsed_answers(answers: DataFrame) -> DataFrame:
     ).withColumn("answer", F.when(F.col("problem").isNull(), answer)).drop("_block", "_read")
 
 
+def _fits(text: Column) -> Column:
+    """Whether the text is a number that an INT can hold; NaN is none."""
+    number = text.try_cast("double")
+    return F.coalesce(~F.isnan(number) & number.between(-(1 << 31), (1 << 31) - 1), F.lit(False))
+
+
 def _whole(text: Column) -> Column:
-    return F.coalesce(text.try_cast("int"), text.try_cast("double").cast("int"))
+    return F.coalesce(text.try_cast("int"),
+                      F.when(_fits(text), text.try_cast("double")).try_cast("int"))
 
 
 def answers_with_defaults(answers: DataFrame) -> DataFrame:

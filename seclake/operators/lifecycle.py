@@ -94,13 +94,24 @@ def replay_status_changes(
 
 
 def score_overrides(scans: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Manual scores: old and new score and status by the override rule."""
+    """Manual scores: old and new score and status by the override rule.
+
+    ``overrides`` has id, scan_id, score, timestamp. They build on each other in order of time
+    and id: what the scan had counts for the first of a scan only.
+    """
     asked = overrides.select(
-        F.col("scan_id"), F.col("score").alias("new_score"), F.col("timestamp"))
-    return asked.join(scans, asked["scan_id"] == scans["id"]).select(
-        "scan_id", F.col("risk_score").alias("old_score"), "new_score",
-        F.col("lifecycle_status").alias("old_status"),
-        lifecycle_at_override(F.col("new_score")).alias("new_status"), "timestamp")
+        "id", "scan_id", F.col("score").alias("new_score"),
+        lifecycle_at_override(F.col("score")).alias("new_status"), "timestamp")
+    chained = previous(asked, ["scan_id"], ["timestamp", "id"],
+                       {"_score": "new_score", "_status": "new_status"}).withColumn(
+        "_first", F.col("_status").isNull())
+    had = scans.select(F.col("id").alias("_scan"), "risk_score", "lifecycle_status")
+    return chained.join(had, F.col("scan_id") == F.col("_scan")).select(
+        "id", "scan_id",
+        F.when(F.col("_first"), F.col("risk_score")).otherwise(F.col("_score")).alias("old_score"),
+        "new_score",
+        F.when(F.col("_first"), F.col("lifecycle_status")).otherwise(F.col("_status")).alias(
+            "old_status"), "new_status", "timestamp")
 
 
 # ---- the state machine (T2) --------------------------------------------------------

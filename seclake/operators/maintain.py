@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seclake.fixed_values import (
     DELETE_DETAILS,
@@ -51,10 +51,10 @@ def without_scans(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, Dat
 
 def deletion_audit(ids: DataFrame, performed_by: str, at: Column) -> DataFrame:
     """One audit row per deleted scan."""
-    return fitted(
-        ids.select("scan_id").distinct(), AUDIT_LOGS,
-        action=F.lit("scan_deleted"), performed_by=F.lit(performed_by), role=F.lit("admin"),
-        details=message(DELETE_DETAILS, F.col("scan_id")), timestamp=at)
+    return audit_rows(ids.select("scan_id").distinct().select(
+        "scan_id", F.lit("scan_deleted").alias("action"),
+        F.lit(performed_by).alias("performed_by"), F.lit("admin").alias("role"),
+        message(DELETE_DETAILS, F.col("scan_id")).alias("details"), at.alias("timestamp")))
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
@@ -72,9 +72,11 @@ def repeated_keys(table: DataFrame, key: str) -> DataFrame:
 def updated(table: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     """New values for rows whose key is in ``updates``; null keeps the old value.
 
-    ``updates`` holds a key once; ``ordered.latest`` makes it so.
+    Of a repeated key one update counts, the greatest by its columns; ``ordered.latest``
+    picks by time.
     """
     changed = [c for c in updates.columns if c != key]
+    updates = updates.groupBy(key).agg(F.max(F.struct(*changed)).alias("_")).select(key, "_.*")
     new = updates.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in changed])
     joined = table.join(new, table[key] == F.col("_key"), "left")
     return joined.select([
@@ -84,25 +86,31 @@ def updated(table: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
 
 # ---- rows to append --------------------------------------------------------------------
 
-def scan_rows(profiles: DataFrame, mode: str, user_id: str, at: Column) -> DataFrame:
-    """Rows for ``scans`` from file profiles (S4). The same file and time give the same id."""
+def fixed_time(spark: SparkSession, at: Column) -> Column:
+    """The time as a value. A column such as the current time would be another in each write."""
+    return F.lit(spark.range(1).select(at.cast("timestamp_ntz")).first()[0]).cast("timestamp_ntz")
+
+
+def scan_rows(profiles: DataFrame, mode: str, user_id: str, run: str, at: Column) -> DataFrame:
+    """Rows for ``scans`` from file profiles (S4). Same run, file and time give the same id."""
     when = at.cast("timestamp_ntz")
     path = F.col("file_path")
     return fitted(
         profiles, SCANS,
-        id=stable_id(path, when), mode=F.lit(mode), user_id=F.lit(user_id),
+        id=stable_id(F.lit(run), path, when), mode=F.lit(mode), user_id=F.lit(user_id),
         lifecycle_status=lifecycle_at_scan(F.col("risk_score")),
         report_path=F.concat(F.lit("reports/"), report_key(path, when), F.lit(".html")),
         created_at=when, updated_at=when)
 
 
-def vulnerability_rows(analyzed: DataFrame, at: Column) -> DataFrame:
+def vulnerability_rows(analyzed: DataFrame, run: str, at: Column) -> DataFrame:
     """Rows for ``vulnerabilities``: every analyzed finding, false positives too."""
     when = at.cast("timestamp_ntz")
-    scan_id = stable_id(F.col("file_path"), when)
+    scan_id = stable_id(F.lit(run), F.col("file_path"), when)
     return fitted(
         analyzed, VULNERABILITIES,
-        id=stable_id(F.col("file_path"), when, F.col("vuln_id"), F.col("line_number")),
+        id=stable_id(F.lit(run), F.col("file_path"), when, F.col("vuln_id"),
+                     F.col("line_number")),
         scan_id=scan_id, status=F.lit("open"), created_at=when)
 
 
@@ -115,16 +123,30 @@ def first_history_rows(scans: DataFrame) -> DataFrame:
 
 
 def history_rows(changes: DataFrame) -> DataFrame:
-    """Rows for ``score_history``; the id comes from what the row says."""
-    keys = [F.col(c) for c in ("scan_id", "timestamp", "score", "lifecycle_status", "reason")]
-    return fitted(changes, SCORE_HISTORY, id=F.xxhash64(*keys))
+    """Rows for ``score_history``.
+
+    The id comes from what the row says and, where ``change_id`` is given, from the change
+    that made it: two like changes at one time are two rows with two ids.
+    """
+    keys = ["scan_id", "timestamp", "score", "lifecycle_status", "reason"]
+    return fitted(changes, SCORE_HISTORY, id=_row_id(changes, keys))
+
+
+def _row_id(changes: DataFrame, keys: list[str]) -> Column:
+    own = [c for c in ("change_id",) if c in changes.columns]
+    return F.xxhash64(stable_id(*[F.col(c) for c in keys + own]))
 
 
 def audit_rows(changes: DataFrame) -> DataFrame:
     """Rows for ``audit_logs`` (S5); the role is system unless given, the rest null."""
-    keys = [F.col(c) for c in ("scan_id", "action", "timestamp", "details")]
+    keys = ["scan_id", "action", "timestamp", "details"]
     role = F.coalesce("role", F.lit("system")) if "role" in changes.columns else F.lit("system")
-    return fitted(changes, AUDIT_LOGS, id=F.xxhash64(*keys), role=role)
+    return fitted(changes, AUDIT_LOGS, id=_row_id(changes, keys), role=role)
+
+
+def change_of(changes: DataFrame) -> list[Column]:
+    """The id of the change, where the rows have one."""
+    return [F.col("id").alias("change_id")] if "id" in changes.columns else []
 
 
 def scan_audit(scans: DataFrame) -> DataFrame:
@@ -141,7 +163,7 @@ def scan_audit(scans: DataFrame) -> DataFrame:
 def move_history(steps: DataFrame, performed_by: str) -> DataFrame:
     """History rows of accepted lifecycle transitions."""
     return history_rows(steps.filter("accepted").select(
-        "scan_id", F.col("new_score").alias("score"),
+        *change_of(steps), "scan_id", F.col("new_score").alias("score"),
         F.col("new_status").alias("lifecycle_status"), F.lit(performed_by).alias("changed_by"),
         message(MOVE_REASON, F.col("old_status"), F.col("new_status")).alias("reason"),
         "timestamp"))
@@ -150,7 +172,7 @@ def move_history(steps: DataFrame, performed_by: str) -> DataFrame:
 def move_audit(steps: DataFrame, performed_by: str, role: str) -> DataFrame:
     """Audit rows of accepted lifecycle transitions."""
     return audit_rows(steps.filter("accepted").select(
-        "scan_id", F.lit("lifecycle_transition").alias("action"),
+        *change_of(steps), "scan_id", F.lit("lifecycle_transition").alias("action"),
         F.lit(performed_by).alias("performed_by"), F.lit(role).alias("role"),
         "old_score", "new_score", "old_status", "new_status",
         F.col("new_status").alias("vulnerability_status"),
@@ -162,7 +184,7 @@ def move_audit(steps: DataFrame, performed_by: str, role: str) -> DataFrame:
 def override_history(overrides: DataFrame, performed_by: str) -> DataFrame:
     """History rows of manual scores."""
     return history_rows(overrides.select(
-        "scan_id", F.col("new_score").alias("score"),
+        *change_of(overrides), "scan_id", F.col("new_score").alias("score"),
         F.col("new_status").alias("lifecycle_status"), F.lit(performed_by).alias("changed_by"),
         F.lit(OVERRIDE_REASON).alias("reason"), "timestamp"))
 
@@ -170,7 +192,7 @@ def override_history(overrides: DataFrame, performed_by: str) -> DataFrame:
 def override_audit(overrides: DataFrame, performed_by: str) -> DataFrame:
     """Audit rows of manual scores."""
     return audit_rows(overrides.select(
-        "scan_id", F.lit("manual_score_override").alias("action"),
+        *change_of(overrides), "scan_id", F.lit("manual_score_override").alias("action"),
         F.lit(performed_by).alias("performed_by"), F.lit("admin").alias("role"),
         "old_score", "new_score", "old_status", "new_status",
         message(OVERRIDE_DETAILS, F.col("old_score"), F.col("new_score")).alias("details"),
@@ -181,7 +203,7 @@ def status_history(replayed: DataFrame, performed_by: str) -> DataFrame:
     """History rows of finding-status changes, from the replay."""
     reason = message(STATUS_REASON, F.col("vuln_id"), F.col("old_status"), F.col("status"))
     return history_rows(replayed.select(
-        "scan_id", "score", "lifecycle_status", F.lit(performed_by).alias("changed_by"),
+        *change_of(replayed), "scan_id", "score", "lifecycle_status", F.lit(performed_by).alias("changed_by"),
         reason.alias("reason"), "timestamp"))
 
 
@@ -190,7 +212,7 @@ def status_audit(replayed: DataFrame, performed_by: str) -> DataFrame:
     details = message(
         STATUS_DETAILS, F.col("vuln_id"), F.col("old_status"), F.col("status"), F.col("score"))
     return audit_rows(replayed.select(
-        "scan_id", F.lit("vulnerability_status_changed").alias("action"),
+        *change_of(replayed), "scan_id", F.lit("vulnerability_status_changed").alias("action"),
         F.lit(performed_by).alias("performed_by"), F.lit("admin").alias("role"),
         "old_status", F.col("status").alias("new_status"),
         F.col("status").alias("vulnerability_status"), F.col("severity").alias("severity_level"),

@@ -24,33 +24,26 @@ def change_log(
     ).alias("change"))
 
 
-def _both_texts(original: DataFrame, secure: DataFrame) -> DataFrame:
-    """One row per file with its text in either snapshot, null where it has none.
-
-    One shuffle by path brings the texts together, each once and not yet as lines.
-    """
-    none = F.lit(None).cast("string")
-    sides = original.select("file_path", F.col("text").alias("before"), none.alias("after")) \
-        .unionByName(secure.select("file_path", none.alias("before"), F.col("text").alias("after")))
-    return sides.groupBy("file_path").agg(
-        F.max("before").alias("before"), F.max("after").alias("after"))
-
-
 def line_changes(original: DataFrame, secure: DataFrame) -> DataFrame:
     """Lines removed (``-``) and added (``+``) per file, with how many times (U4).
 
-    Unchanged files drop out before any text is split. Of the others, a line before counts
-    +1 and a line after -1; what does not cancel out is a change. The rows are already
-    together by file, so the count needs no further shuffle.
+    A path may be there more than once on either side, all its texts count. First only paths
+    and hashes of the texts are matched; texts on both sides cancel out. The others are
+    fetched once each and split; a line before counts +1 and a line after -1 for each time,
+    and what does not cancel out is a change.
     """
-    changed = _both_texts(original, secure).filter(~F.col("before").eqNullSafe(F.col("after")))
+    sides = original.select("file_path", "text", F.lit(1).alias("step")).unionByName(
+        secure.select("file_path", "text", F.lit(-1).alias("step"))).filter(
+        "text IS NOT NULL").withColumn("_hash", F.sha2("text", 256))
+    changed = sides.groupBy("file_path", "_hash").agg(
+        F.sum("step").alias("_times")).filter("_times <> 0")
+    texts = sides.select("file_path", "_hash", "text").join(
+        changed, ["file_path", "_hash"]).dropDuplicates(["file_path", "_hash"])
     # As in the scanner, a generator keeps the split from being copied into filters.
-    steps = changed.selectExpr(
-        "file_path",
-        f"posexplode(array({lines_text('before')}, {lines_text('after')})) AS (side, lines)"
-    ).selectExpr(
-        "file_path", "CASE side WHEN 0 THEN 1 ELSE -1 END AS step", "explode(lines) AS line")
-    net = steps.groupBy("file_path", "line").agg(F.sum("step").alias("net"))
+    steps = texts.selectExpr(
+        "file_path", "_times", f"explode(array({lines_text('text')})) AS lines").selectExpr(
+        "file_path", "_times", "explode(lines) AS line")
+    net = steps.groupBy("file_path", "line").agg(F.sum("_times").alias("net"))
     return net.filter("net <> 0").select(
         "file_path", F.when(F.col("net") > 0, "-").otherwise("+").alias("sign"), "line",
         F.abs("net").alias("copies"))

@@ -21,7 +21,6 @@ from seclake.operators.ordered import ROWS_PER_PIECE, latest, positions
 # A page that ends beyond this row is found by position instead of by one sorted top list.
 DEEP_PAGE_ROWS = 100_000
 # Findings in one nested list of a scan; a scan with more gives several parts.
-FINDINGS_PER_PART = 10_000
 
 
 # ---- projections and filters ---------------------------------------------------------
@@ -122,33 +121,30 @@ def severities_by_user(findings: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def scan_details(
-    scans: DataFrame, findings: DataFrame, per_part: int = FINDINGS_PER_PART
+    scans: DataFrame, findings: DataFrame, limit: int = ROWS_PER_PIECE
 ) -> DataFrame:
-    """Scan rows with the list of their findings, empty when there are none.
+    """A row per finding of each scan, from position 0 in order of id, severity and the other
+    columns; a scan without findings has one row with null position and finding (J4).
 
-    The findings of a scan are spread by id over lists of about ``per_part``; ``part``
-    numbers the lists of a scan. A usual scan has the one part 0.
+    The shape is the same for scans of any size; ``nested_details`` makes lists for some.
     """
-    members = F.struct(*[c for c in findings.columns if c != "scan_id"]).alias("_finding")
-    sizes = findings.groupBy("scan_id").agg(
-        F.ceil(F.count("*") / per_part).cast("int").alias("parts")).filter("parts > 1")
-    if sizes.limit(1).count():
-        big = sizes.withColumnRenamed("scan_id", "_scan")
-        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-        placed = findings.join(big, F.col("scan_id") == F.col("_scan"), "left").select(
-            "scan_id", part, members)
-        grouped = placed.groupBy("scan_id", "part")
-    else:
-        # Grouped by scan alone, the lists are already where the join needs them.
-        grouped = findings.select("scan_id", members).groupBy("scan_id")
-    nested = grouped.agg(F.array_sort(F.collect_list("_finding")).alias("vulnerabilities"))
-    if "part" not in nested.columns:
-        nested = nested.withColumn("part", F.lit(0))
-    empty = F.array().cast(nested.schema["vulnerabilities"].dataType)
-    return scans.join(nested, scans["id"] == nested["scan_id"], "left").select(
-        *[scans[c] for c in scans.columns],
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("vulnerabilities", empty).alias("vulnerabilities"))
+    order = ["id", "severity", *[c for c in findings.columns
+                                 if c not in ("scan_id", "id", "severity")]]
+    placed = positions(
+        findings, ["scan_id"], [F.col(c) for c in order], "position", limit).select(
+        F.col("scan_id").alias("_scan"), "position",
+        F.struct(*[c for c in findings.columns if c != "scan_id"]).alias("finding"))
+    return scans.join(placed, scans["id"] == F.col("_scan"), "left").drop("_scan")
+
+
+def nested_details(details: DataFrame, ids: list[str]) -> DataFrame:
+    """The asked scans, each with the list of its findings, empty when there are none."""
+    own = [c for c in details.columns if c not in ("position", "finding")]
+    listed = F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), F.struct(
+            "position", "finding")))), lambda f: f["finding"])
+    return details.filter(F.col("id").isin(ids)).groupBy(own).agg(
+        listed.alias("vulnerabilities"))
 
 
 # ---- dashboard -----------------------------------------------------------------------

@@ -8,6 +8,7 @@ from seclake.fixed_values import STATIC_SUMMARY
 from seclake.functions.texts import language_by_content
 from seclake.operators.maintain import (
     first_history_rows,
+    fixed_time,
     scan_audit,
     scan_rows,
     vulnerability_rows,
@@ -40,16 +41,17 @@ def scan_and_store(
 ) -> None:
     """Scan files and append to the four tables.
 
-    The hits are written out once and all four tables are made from them. ``files`` needs
-    file_path and text; a missing language is told from the content.
+    The hits are written out once and all four tables are made from them, with one time for
+    all. ``files`` needs file_path and text; a missing language is told from the content.
     """
+    at = fixed_time(files.sparkSession, at)
     if "language" not in files.columns:
         files = files.withColumn("language", language_by_content(F.col("text")))
     scanned = cut(scan_files(files).select("file_path", "language", "hits"))
     profiles = file_profiles(scanned).withColumn("executive_summary", F.lit(STATIC_SUMMARY))
-    scans = scan_rows(profiles, mode, user_id, at)
+    scans = scan_rows(profiles, mode, user_id, run, at)
     append(scans, folder, "scans", run)
     findings = analyzed_of(findings_of(scanned))
-    append(vulnerability_rows(findings, at), folder, "vulnerabilities", run)
+    append(vulnerability_rows(findings, run, at), folder, "vulnerabilities", run)
     append(first_history_rows(scans), folder, "score_history", run)
     append(scan_audit(scans), folder, "audit_logs", run)

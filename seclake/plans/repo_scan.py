@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seclake.fixed_values import REPO_DETAILS, REPO_REASON, RULES
 from seclake.functions.texts import message, report_key, stable_id
-from seclake.operators.maintain import audit_rows, fitted, history_rows
+from seclake.operators.maintain import audit_rows, fitted, fixed_time, history_rows
 from seclake.operators.risk import file_profiles, repo_findings, repo_rollup
 from seclake.operators.scanning import analyzed_of, findings_of, scan_files
 from seclake.schemas import SCANS, VULNERABILITIES
@@ -14,13 +14,13 @@ from seclake.session import cut
 from seclake.sources.tables import append
 
 
-def repo_scan_rows(rollup: DataFrame, user_id: str, at: Column) -> DataFrame:
+def repo_scan_rows(rollup: DataFrame, user_id: str, run: str, at: Column) -> DataFrame:
     """Rows for ``scans`` from repository rollups."""
     when = at.cast("timestamp_ntz")
     report = F.concat(F.lit("reports/"), report_key(F.col("top_file"), when), F.lit(".html"))
     return fitted(
         rollup, SCANS,
-        id=stable_id(F.col("repo"), when), file_path=F.col("repo"), language=F.lit("multi"),
+        id=stable_id(F.lit(run), F.col("repo"), when), file_path=F.col("repo"), language=F.lit("multi"),
         mode=F.lit("github"), user_id=F.lit(user_id), report_path=report,
         created_at=when, updated_at=when)
 
@@ -33,19 +33,20 @@ def scan_repositories_and_store(
     ``files`` has repo, file_path, text and language. A repository without a supported file
     gives no rows.
     """
-    when = at.cast("timestamp_ntz")
+    when = fixed_time(files.sparkSession, at)
     scanned = cut(scan_files(files, rules).select("repo", "file_path", "language", "hits"))
     rollup = cut(repo_rollup(file_profiles(scanned, rules), ["repo"]))
-    scans = repo_scan_rows(rollup, user_id, at)
+    scans = repo_scan_rows(rollup, user_id, run, when)
     append(scans, folder, "scans", run)
     found = repo_findings(analyzed_of(findings_of(scanned, rules)))
     append(fitted(
         found, VULNERABILITIES,
-        id=stable_id(F.col("file_path"), when, F.col("vuln_id"), F.col("line_number")),
-        scan_id=stable_id(F.col("repo"), when), status=F.lit("open"), created_at=when,
+        id=stable_id(F.lit(run), F.col("repo"), when, F.col("file_path"), F.col("vuln_id"),
+                     F.col("line_number")),
+        scan_id=stable_id(F.lit(run), F.col("repo"), when), status=F.lit("open"), created_at=when,
     ), folder, "vulnerabilities", run)
     changes = rollup.select(
-        stable_id(F.col("repo"), when).alias("scan_id"), "risk_score", "lifecycle_status",
+        stable_id(F.lit(run), F.col("repo"), when).alias("scan_id"), "risk_score", "lifecycle_status",
         "risk_level", "files_scanned", F.lit(user_id).alias("user_id"), when.alias("timestamp"))
     append(history_rows(changes.select(
         "scan_id", F.col("risk_score").alias("score"), "lifecycle_status",

@@ -137,14 +137,11 @@ def test_breakdown_and_change_log(spark, sf):
          reports.change_log(found, ["scan_id"], order))
 
 
-def test_scan_details_in_parts(spark, sf):
+def test_scan_details_of_a_large_scan(spark, sf):
     found = A.vulnerabilities(spark, sf).withColumn(
         "scan_id", F.when(F.col("line_number") <= 2, F.lit("1")).otherwise(F.col("scan_id")))
     scans = A.scans(spark, sf)
-    parts = views.scan_details(scans, found, per_part=50)
-    assert parts.agg(F.max(F.size("vulnerabilities"))).first()[0] < 120
-    flat = parts.select("id", F.explode("vulnerabilities").alias("v")).select("id", F.col("v.id").alias("f"))
-    whole = found.join(scans.select(F.col("id").alias("scan_id")), "scan_id", "left_semi").select(
-        "scan_id", F.col("id").alias("f"))
-    assert flat.exceptAll(whole.toDF("id", "f")).count() == 0 and flat.count() == whole.count()
-    assert parts.filter("part > 0").count() > 5
+    same(views.scan_details(scans, found, limit=50), views.scan_details(scans, found))
+    large = views.nested_details(views.scan_details(scans, found, limit=50), ["1"]).first()
+    ids = [f.id for f in large.vulnerabilities]
+    assert ids == sorted(ids) and len(ids) == found.filter("scan_id = '1'").count() > 100

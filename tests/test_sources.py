@@ -65,6 +65,28 @@ def test_store_twice_keeps_one_copy(spark, tmp_path):
     assert {r.scan_id for r in stored["vulnerabilities"].collect()} == {scans["a.py"].id}
     scan_and_store(files, str(tmp_path), "two", at())
     assert tables.read_table(spark, str(tmp_path), "scans").count() == 4
+    assert tables.read_table(spark, str(tmp_path), "vulnerabilities").select("id").distinct().count() == 4
+
+
+def test_stored_keys_fit_together(spark, tmp_path):
+    """With the current time as the time, nothing is an orphan and no id comes twice."""
+    from pyspark.sql import functions as F
+
+    from seclake.operators.maintain import orphans, repeated_keys
+    from seclake.plans.repo_scan import scan_repositories_and_store
+    files = spark.createDataFrame(
+        [("one", "main.py", "eval(x)", "python"), ("two", "main.py", "eval(x)", "python")],
+        "repo STRING, file_path STRING, text STRING, language STRING")
+    scan_repositories_and_store(files, str(tmp_path / "r"), "one", F.current_timestamp())
+    scan_and_store(files.filter("repo = 'one'"), str(tmp_path / "f"), "a", F.current_timestamp())
+    scan_and_store(files.filter("repo = 'two'"), str(tmp_path / "f"), "b", F.current_timestamp())
+    for folder in ("r", "f"):
+        stored = {n: tables.read_table(spark, str(tmp_path / folder), n)
+                  for n in ("scans", "vulnerabilities", "score_history", "audit_logs")}
+        for name, df in stored.items():
+            assert df.count() == 2 and repeated_keys(df, "id").count() == 0
+            if name != "scans":
+                assert orphans(df, stored["scans"], "scan_id").count() == 0
 
 
 CASES = {
@@ -76,6 +98,11 @@ CASES = {
     "two": '{"overall_risk_score": 1} and {"overall_risk_score": 2}',
     "quotes": "{'overall_risk_score': 1}",
     "badline": '{"analyzed_vulnerabilities": [{"line_number": "abc"}]}',
+    "textitem": '{"analyzed_vulnerabilities": ["text"]}',
+    "nolist": '{"analyzed_vulnerabilities": {"category": "X"}}',
+    "hugeline": '{"analyzed_vulnerabilities": [{"line_number": 99999999999}]}',
+    "nanline": '{"analyzed_vulnerabilities": [{"line_number": "NaN"}]}',
+    "hugescore": '{"overall_risk_score": 1e12}',
     "full": json.dumps({"analyzed_vulnerabilities": [{
         "category": "C", "line_number": 3.7, "line_content": "c", "severity": "Low",
         "explanation": "e", "recommendation": "r"}], "overall_risk_level": "Medium",
@@ -87,7 +114,8 @@ def test_answers(spark):
     raw = spark.createDataFrame(list(CASES.items()), "name STRING, raw STRING")
     got = {r.name: r for r in answers.answers_with_defaults(raw).collect()}
     failed = {n for n, r in got.items() if r.analysis_failed}
-    assert failed == {"none", "broken", "two", "quotes", "badline"}
+    assert failed == {"none", "broken", "two", "quotes", "badline", "textitem", "nolist",
+                      "hugeline", "nanline", "hugescore"}
     for name in failed:
         r = got[name]
         assert (r.findings, r.overall_risk_score, r.overall_risk_level) == ([], 50, "Warning")

@@ -19,7 +19,10 @@ def test_empty_tables(spark, sf):
     assert (counters.total_items, counters.total_pages, counters.has_next, counters.has_previous) == (
         0, 1, False, False)
     assert views.audit_page_counters(A.audit_logs(spark, sf).limit(0)).first().total_pages == 1
-    assert views.scan_details(A.scans(spark, sf), found).filter(F.size("vulnerabilities") > 0).count() == 0
+    details = views.scan_details(A.scans(spark, sf), found)
+    assert details.filter("position IS NOT NULL").count() == 0
+    first = A.scans(spark, sf).first().id
+    assert [r.vulnerabilities for r in views.nested_details(details, [first]).collect()] == [[]]
 
 
 def test_unknown_values(spark):
@@ -112,6 +115,29 @@ def test_updates_and_deletes(spark):
     assert sorted(r.id for r in left["vulnerabilities"].collect()) == ["2", "3"]
     audit = maintain.deletion_audit(gone, "1", F.lit("2026-01-01").cast("timestamp_ntz")).collect()
     assert [(r.action, r.details) for r in audit] == [("scan_deleted", "Scan a deleted by admin")]
+    assert audit[0].id is not None
+    twice = spark.createDataFrame([("a", 9, "q"), ("a", 9, None)], "id STRING, n INT, t STRING")
+    assert sorted(map(tuple, maintain.updated(table, twice).collect())) == [("a", 9, "q"), ("b", 2, "y")]
+
+
+def test_overrides_build_on_each_other(spark):
+    from seclake.operators.lifecycle import score_overrides
+    scans = spark.createDataFrame([("s", 80, "Critical")], "id STRING, risk_score INT, lifecycle_status STRING")
+    asked = spark.sql("""SELECT * FROM VALUES (1L, 's', 10, TIMESTAMP_NTZ '2026-01-01'),
+        (2L, 's', 30, TIMESTAMP_NTZ '2026-01-01') AS t(id, scan_id, score, timestamp)""")
+    done = score_overrides(scans, asked)
+    assert sorted((r.id, r.old_score, r.old_status, r.new_score, r.new_status) for r in done.collect()) == [
+        (1, 80, "Critical", 10, "Warning"), (2, 10, "Warning", 30, "Vulnerable")]
+    assert maintain.override_history(done, "1").filter("id IS NOT NULL").select("id").distinct().count() == 2
+    like = asked.union(asked.selectExpr("id + 2", "scan_id", "score", "timestamp"))
+    rows = maintain.override_audit(score_overrides(scans, like), "1")
+    assert rows.select("id").distinct().count() == 4
+
+
+def test_ids_tell_keys_apart(spark):
+    from seclake.functions.texts import stable_id
+    rows = spark.createDataFrame([("a#b", "c"), ("a", "b#c"), (None, "a"), ("a", None)], "x STRING, y STRING")
+    assert rows.select(stable_id(F.col("x"), F.col("y"))).distinct().count() == 4
 
 
 def test_score_history_edges(spark):
@@ -142,6 +168,9 @@ def test_line_changes(spark):
     after = spark.createDataFrame(
         [("a", "x\ny\nw\nz\n"), ("same", "q\n"), ("new", "n"), ("empty", None)], schema)
     got = sorted(map(tuple, line_changes(before, after).collect()))
+    twice = spark.createDataFrame([("p", "1"), ("p", "2")], schema)
+    once = spark.createDataFrame([("p", "2")], schema)
+    assert list(map(tuple, line_changes(twice, once).collect())) == [("p", "-", "1", 1)]
     assert got == [("a", "+", "w", 1), ("a", "-", "y", 1), ("gone", "-", "1", 2), ("new", "+", "n", 1)]
     counts = {r.file_path: (r.line_count_original, r.line_count_secure)
               for r in line_counts(before, after.filter("text is not null")).collect()}
