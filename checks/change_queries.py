@@ -180,15 +180,19 @@ def j5(spark, sf):
 
 
 @query("j6_orphans", given(*_FOUR, "users") + """
-SELECT 'scans' AS child, id, user_id AS missing FROM scans WHERE user_id NOT IN (SELECT id FROM users)
-UNION ALL SELECT 'vulnerabilities', id, scan_id FROM vulnerabilities WHERE scan_id NOT IN (SELECT id FROM scans)
+, people AS (SELECT id FROM users WHERE role <> 'admin'),
+active AS (SELECT id FROM scans WHERE lifecycle_status <> 'Resolved')
+SELECT 'scans' AS child, id, user_id AS missing FROM scans WHERE user_id NOT IN (SELECT id FROM people)
+UNION ALL SELECT 'vulnerabilities', id, scan_id FROM vulnerabilities WHERE scan_id NOT IN (SELECT id FROM active)
 UNION ALL SELECT 'score_history', CAST(id AS VARCHAR), scan_id FROM score_history
-    WHERE scan_id NOT IN (SELECT id FROM scans)""")
+    WHERE scan_id NOT IN (SELECT id FROM active)""")
 def j6(spark, sf):
-    t, users = _four(spark, sf), A.users(spark, sf)
+    """What a delete of admins and of resolved scans would leave without a parent."""
+    t, users = _four(spark, sf), A.users(spark, sf).filter("role <> 'admin'")
+    active = t["scans"].filter("lifecycle_status <> 'Resolved'")
     found = None
-    for name, parent, key in (("scans", users, "user_id"), ("vulnerabilities", t["scans"], "scan_id"),
-                              ("score_history", t["scans"], "scan_id")):
+    for name, parent, key in (("scans", users, "user_id"), ("vulnerabilities", active, "scan_id"),
+                              ("score_history", active, "scan_id")):
         rows = maintain.orphans(t[name], parent, key).select(
             F.lit(name).alias("child"), F.col("id").cast("string").alias("id"),
             F.col(key).alias("missing"))
@@ -196,16 +200,19 @@ def j6(spark, sf):
     return found
 
 
-@query("j6_repeated_keys", given("users", "vulnerabilities") + """
+@query("j6_repeated_keys", given("users", "vulnerabilities", "scans") + """
 SELECT 'users.username' AS key_of, username AS value, count(*) AS rows FROM users GROUP BY username
 HAVING count(*) > 1
-UNION ALL SELECT 'vulnerabilities.id', id, count(*) FROM vulnerabilities GROUP BY id HAVING count(*) > 1""")
+UNION ALL SELECT 'vulnerabilities.id', id, count(*) FROM vulnerabilities GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'scans.user_id', user_id, count(*) FROM scans GROUP BY user_id HAVING count(*) > 1""")
 def j6_keys(spark, sf):
     names = maintain.repeated_keys(A.users(spark, sf), "username").select(
         F.lit("users.username").alias("key_of"), F.col("username").alias("value"), "rows")
     ids = maintain.repeated_keys(A.vulnerabilities(spark, sf), "id").select(
         F.lit("vulnerabilities.id").alias("key_of"), F.col("id").alias("value"), "rows")
-    return names.unionByName(ids)
+    owners = maintain.repeated_keys(A.scans(spark, sf), "user_id").select(
+        F.lit("scans.user_id").alias("key_of"), F.col("user_id").alias("value"), "rows")
+    return names.unionByName(ids).unionByName(owners)
 
 
 @query("j7_keyed_update", given("scans", "score_history") + """
@@ -288,13 +295,15 @@ def s6_overrides(spark, sf):
 
 @query("s8_report_tables", given("scans") + """
 SELECT id, CONCAT('security_report_', replace(split_part(file_path, '/', 2), '.', '_'), '_',
-    strftime(created_at, '%Y%m%d_%H%M%S')) AS report_key, CAST(created_at AS DATE) AS report_date FROM scans""")
+    strftime(created_at, '%Y%m%d_%H%M%S')) AS report_key, CAST(created_at AS DATE) AS report_date,
+    CAST(date_trunc('month', created_at) AS DATE) AS report_month FROM scans""")
 def s8(spark, sf):
     folder = new_folder(spark, "reports")
     rows = reports.report_rows(A.scans(spark, sf), F.col("created_at"))
-    write_reports(rows.withColumn("report_date", F.trunc("created_at", "year")), folder)
-    return spark.read.parquet(folder).select(
-        "id", "report_key", F.col("created_at").cast("date").alias("report_date"))
+    monthly = rows.withColumn("report_month", F.trunc("report_date", "month"))
+    for _ in range(2):  # a run that is started again leaves no copies
+        write_reports(monthly, folder, "first", "report_month")
+    return spark.read.parquet(folder).select("id", "report_key", "report_date", "report_month")
 
 
 # ---- answers ---------------------------------------------------------------------------

@@ -96,10 +96,10 @@ def u2(spark, sf):
 
 
 @query("a12_distinct_findings", given("vulnerabilities") + """
-SELECT scan_id, line_number, category, min(id) AS id FROM vulnerabilities
-GROUP BY scan_id, line_number, category""")
+SELECT scan_id, vuln_id, line_number, min(id) AS id FROM vulnerabilities
+GROUP BY scan_id, vuln_id, line_number""")
 def a12(spark, sf):
-    keys = ["scan_id", "line_number", "category"]
+    keys = ["scan_id", "vuln_id", "line_number"]
     return scanning.distinct_findings(
         A.vulnerabilities(spark, sf), [F.col("id")], keys).select(*keys, "id")
 
@@ -171,10 +171,16 @@ def s1(spark, sf):
         F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
 
 
-@query("s2_file_inventory")
+@query("s2_file_inventory", """
+SELECT source AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes
+FROM documents GROUP BY ROLLUP (source)""")
 def s2(spark, sf):
-    files = list_tree(spark, sf)
-    return files.select("relative_path", "length")
+    root = new_folder(spark, "inventory")
+    A.read(spark, sf, "documents").select("source", F.col("text").alias("value")).write.partitionBy(
+        "source").text(root)
+    files = list_tree(spark, root).withColumn("folder", F.regexp_extract(
+        "relative_path", r"^source=([^/]*)/part-[^/]*\.txt$", 1)).filter("folder <> ''")
+    return files.rollup("folder").agg(F.sum("length").alias("bytes"))
 
 
 _STORED = SCAN + f""",

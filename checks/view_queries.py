@@ -52,6 +52,18 @@ def p5(spark, sf):
         "viewer_id", F.col("id").alias("scan_id"))
 
 
+@query("p5_one_viewer", given("scans") + """
+SELECT 'admin' AS viewer, id FROM scans UNION ALL SELECT 'admin, user 7', id FROM scans WHERE user_id = '7'
+UNION ALL SELECT 'user 7', id FROM scans WHERE user_id = '7'""")
+def p5_viewer(spark, sf):
+    scans = A.scans(spark, sf)
+    seen = [("admin", "1", "admin", None), ("admin, user 7", "1", "admin", "7"),
+            ("user 7", "7", "user", "8")]
+    parts = [views.visible_to(scans, "user_id", user, role, wanted).select(
+        F.lit(name).alias("viewer"), "id") for name, user, role, wanted in seen]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("p7_open_findings", given("vulnerabilities") + """
 SELECT id, status FROM vulnerabilities WHERE status NOT IN ('fixed', 'accepted')""")
 def p7(spark, sf):
@@ -75,6 +87,25 @@ def p10(spark, sf):
     return views.checked(asked).select("id", "valid", "reason")
 
 
+@query("p10_checked_modes", given("scans", "vulnerabilities") + """
+, asked AS (SELECT 'mode' AS field, id, mode AS value FROM scans
+    UNION ALL SELECT 'mode', id, lifecycle_status FROM scans
+    UNION ALL SELECT 'status', id, status FROM vulnerabilities
+    UNION ALL SELECT 'status', id, severity FROM vulnerabilities)
+SELECT field, id, value, CASE WHEN field = 'mode' THEN coalesce(value IN ('paste', 'upload', 'github'), false)
+    ELSE coalesce(value IN ('open', 'mitigated', 'resolved', 'fixed', 'accepted'), false) END AS valid
+FROM asked""")
+def p10_modes(spark, sf):
+    scans, found = A.scans(spark, sf), A.vulnerabilities(spark, sf)
+
+    def rows(df, field, value):
+        return views.checked(df.select(F.col("id").cast("string").alias("id"), F.col(value).alias(
+            field))).select(F.lit(field).alias("field"), "id", F.col(field).alias("value"), "valid")
+
+    return rows(scans, "mode", "mode").union(rows(scans, "mode", "lifecycle_status")).union(
+        rows(found, "status", "status")).union(rows(found, "status", "severity"))
+
+
 @query("p10_checked_scores", """
 SELECT event_id AS id, CAST(floor(value) AS INT) AS score, floor(value) BETWEEN 0 AND 100 AS valid
 FROM events""")

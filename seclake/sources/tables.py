@@ -30,10 +30,13 @@ def append(rows: DataFrame, folder: str, name: str, run: str) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/{name}/run={run}")
 
 
-def write_reports(reports: DataFrame, folder: str) -> None:
-    """Append report rows in one folder per date.
+def write_reports(
+    reports: DataFrame, folder: str, run: str, by: str = "report_date",
+) -> None:
+    """Append report rows as the part ``run``, in one folder per date.
 
+    A part is replaced as a whole, so a job that is started again leaves no copies.
     Rebalancing gives each date few files and splits a date that holds most of the rows.
     """
-    reports.hint("rebalance", F.col("report_date")).write.partitionBy("report_date").mode(
-        "append").parquet(folder)
+    reports.hint("rebalance", F.col(by)).write.partitionBy(by).mode(
+        "overwrite").parquet(f"{folder}/run={run}")
