@@ -9,6 +9,7 @@ from checks.pieces import BREAK, SCAN, WS, lines_sql
 from checks.registry import given, query
 from seclake.functions import texts
 from seclake.operators import answers, scanning
+from seclake.plans.answered_scans import store_answered_scans
 from seclake.plans.file_scan import scan_and_store
 from seclake.plans.repo_scan import scan_repositories_and_store
 from seclake.session import new_folder, spread
@@ -279,3 +280,34 @@ def s4_repositories(spark, sf):
     folder = new_folder(spark, "repositories")
     scan_repositories_and_store(A.source_files(spark, sf), folder, "first", _at())
     return _stored(spark, folder)
+
+
+@query("s4_answered_scans", given("llm_responses") + """
+, files AS (SELECT CONCAT('answers/f', file_id, '.py') AS file_path, raw LIKE '%{%' AS good,
+    json_extract_string(NULLIF(regexp_extract(raw, '(?s)\\{.*\\}', 0), ''),
+        '$.analyzed_vulnerabilities[0].category') AS category, file_id % 50 AS line FROM llm_responses),
+scans AS (SELECT *, sha256(CAST(to_json(['first', file_path, '2026-01-02 03:04:05']) AS VARCHAR)) AS id,
+    CASE WHEN good THEN 41 ELSE 0 END AS score, CASE WHEN good THEN 'Medium' ELSE 'Low' END AS level,
+    CASE WHEN good THEN 'Warning' ELSE 'Safe' END AS lifecycle,
+    CASE WHEN good THEN 'Audit finished.' ELSE 'Analysis Error: AI response contained no valid JSON block.' END
+        AS summary FROM files)
+SELECT 'scans' AS part, id AS scan_id, CONCAT_WS('|', file_path, 'python', 'upload', score, level, lifecycle,
+    CONCAT('reports/security_report_', replace(split_part(file_path, '/', 2), '.', '_'),
+    '_20260102_030405.html')) AS content FROM scans
+UNION ALL SELECT 'summary', id, summary FROM scans
+UNION ALL SELECT 'vulnerabilities', id, CONCAT_WS('|', sha256(CAST(to_json(['first', file_path,
+    '2026-01-02 03:04:05', 'AI-VULN', CAST(line AS VARCHAR), '0']) AS VARCHAR)), 'AI-VULN', category, 'High',
+    line, 'Review code', 'open') FROM scans WHERE good
+UNION ALL SELECT 'score_history', id, CONCAT_WS('|', score, lifecycle, 'system', 'Initial scan') FROM scans
+UNION ALL SELECT 'audit_logs', id, CONCAT_WS('|', 'scan_created', 'system', 'user', score, lifecycle, level,
+    CONCAT('Scan completed — score ', score, ' (', level, ')')) FROM scans""")
+def s4_answered(spark, sf):
+    folder = new_folder(spark, "answered")
+    answers = A.llm_responses(spark, sf).select(
+        F.concat(F.lit("answers/f"), "file_id", F.lit(".py")).alias("file_path"),
+        F.lit("python").alias("language"), "raw")
+    store_answered_scans(answers, folder, "first", _at())
+    summaries = read_table(spark, folder, "scans").select(
+        F.lit("summary").alias("part"), F.col("id").alias("scan_id"),
+        F.col("executive_summary").alias("content"))
+    return _stored(spark, folder).unionByName(summaries)
