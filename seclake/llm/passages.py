@@ -271,9 +271,11 @@ def without_repeats(
         F.min(F.struct("i", "did")).alias("one"), F.count("*").cast("int").alias("copies"),
         F.first("n_words").alias("n_words")).select(
         "k", "t", "one.*", "copies", "n_words"), "texts")
-    several = index.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(
+    # Written, so that the join below can split an anchor that very many places have.
+    several = stored(index.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(
         F.count("*").alias("members")).filter("members > 1").select(
-        "anchor", "members", F.ceil(F.col("members") / GROUP_MEMBERS).cast("int").alias("parts"))
+        "anchor", "members", F.ceil(F.col("members") / GROUP_MEMBERS).cast("int").alias("parts")),
+        "several")
     places = index.select("did", F.explode(F.arrays_zip("anchors", "places")).alias("p")).select(
         "did", F.col("p.anchors").alias("anchor"), F.col("p.places").alias("place"))
     wanted = places.join(several, "anchor").groupBy("did").agg(
