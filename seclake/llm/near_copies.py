@@ -98,7 +98,9 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """
     t = percent / 100
     entries = classes.filter("n > 0").select("cid", "n", F.explode("least").alias("value"))
-    often = entries.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
+    # Written, so that the join below can split a value that very many sets have.
+    often = stored(entries.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1"),
+                   "often")
     size = F.least(F.col("n"), F.lit(RETAINED))
     needed = F.when(F.col("n") > RETAINED, F.lit(least_shared(percent))).otherwise(
         F.greatest(F.lit(1), F.floor(F.col("n") * (2 - 1 / t)).cast("int")))
@@ -156,9 +158,9 @@ def _ties(
     lists = stored(sketched.join(_own_shingles(docs, classes, sketched), "cid").filter(
         F.col("u") * percent <= (F.col("n") - F.col("u")) * (100 - percent)).withColumn(
         "level", level.cast("int")), "lists")
-    tops = lists.groupBy("value").agg(
+    tops = stored(lists.groupBy("value").agg(
         F.max(F.struct((-F.col("u") / F.col("n")).alias("share"), "level", "cid", "n", "u")
-              ).alias("top"), F.count("*").alias("_m")).filter("_m > 1").select("value", "top")
+              ).alias("top"), F.count("*").alias("_m")).filter("_m > 1").select("value", "top"), "tops")
     rows = stored(lists.join(tops, "value"), "members")
     found, tied = None, None
     if given.limit(1).count():
