@@ -267,8 +267,10 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         "cid", F.monotonically_increasing_id()), "lines")
 
     ends = firsts.select("cid", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("lines")).filter("lines > 1")
-    likely = ends.join(shared.select("end"), "end").select("cid").distinct()
+    # Counts are written, so that the joins below can split a key that very many lines have.
+    shared = stored(ends.groupBy("end").agg(F.count("*").alias("lines")).filter(
+        "lines > 1").select("end"), "ends")
+    likely = ends.join(shared, "end").select("cid").distinct()
     likely = stored(firsts.drop("ends").join(likely, "cid"), "likely")
     wanted = likely.groupBy(id_key(F.col("doc_id")).alias("k"), "t").agg(
         F.collect_list(F.struct("cid", "line")).alias("own"))
@@ -277,7 +279,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         else packed(rows, ["k", "t"]).join(wanted, ["k", "t"])
     words = stored(_candidates(texts).dropDuplicates(["cid"]), "words")
     keys = _block_keys(words)
-    alike = keys.groupBy("h1", "h2").agg(F.count("*").alias("lines")).filter("lines > 1")
+    alike = stored(keys.groupBy("h1", "h2").agg(F.count("*").alias("lines")).filter(
+        "lines > 1").select("h1", "h2"), "alike")
     parts = keys.join(alike, ["h1", "h2"]).groupBy("cid").agg(
         F.collect_set("block").alias("parts"))
     lines = stored(likely.join(words, "cid").join(parts, "cid"), "words")
@@ -288,7 +291,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         f"role <> {SAME_LENGTH} OR lines > 1")
     role = F.element_at(F.array(F.lit(SAME_LENGTH), F.lit(SHORTENED), F.lit(WHOLE)),
                         F.col("role") + 1)
-    meets = earliest.select("h1", "h2", role.alias("role"), "first")
+    meets = stored(earliest.select("h1", "h2", role.alias("role"), "first"), "earliest")
     pairs = variants.join(meets, ["h1", "h2", "role"]).filter(
         F.col("first") < F.struct(*ORDER, "cid")).select(
         "cid", F.col("first.cid").alias("other")).filter("cid <> other").distinct()
