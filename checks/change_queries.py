@@ -11,6 +11,7 @@ from seclake import schemas
 from seclake.functions import scores
 from seclake.operators import answers, lifecycle, maintain, reports, views
 from seclake.operators.ordered import latest
+from seclake.plans import changes
 from seclake.plans.answered_scans import answered_profiles
 from seclake.session import new_folder
 from seclake.sources.tables import append, read_answers, read_table, write_reports
@@ -71,8 +72,8 @@ def _starting(changes):
 
 @query("w6_status_replay", _REPLAYED)
 def w6(spark, sf):
-    changes = A.status_changes(spark, sf)
-    return lifecycle.replay_status_changes(changes, _starting(changes)).select(*_REPLAY_COLUMNS)
+    asked = A.status_changes(spark, sf)
+    return lifecycle.replay_status_changes(asked, _starting(asked)).select(*_REPLAY_COLUMNS)
 
 
 @query("t4_live_scores", _REPLAYED)
@@ -171,7 +172,7 @@ def j5(spark, sf):
     tables = _four(spark, sf)
     ids = tables["scans"].filter("lifecycle_status = 'Resolved'").select(F.col("id").alias("scan_id"))
     at = F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
-    audit = maintain.deletion_audit(ids, "1", at).select(
+    audit = maintain.deletion_audit(ids, "1", at).filter("id IS NOT NULL").select(
         F.lit("new audit").alias("part"), F.col("details").alias("id"))
     for name, rest in maintain.without_scans(tables, ids).items():
         audit = audit.unionByName(
@@ -293,6 +294,90 @@ def s6_overrides(spark, sf):
         "details", "timestamp")
 
 
+# ---- whole jobs --------------------------------------------------------------------------
+
+def _parts(frames, content):
+    """part, key and content of every changed table."""
+    parts = [frames[name].select(
+        F.lit(name).alias("part"), F.col(key).cast("string").alias("key"),
+        F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("content"))
+        for name, (key, columns) in content.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("s6_override_job", given("scans", "score_history") + """
+, done AS (SELECT h.id, h.scan_id, h.score, h.timestamp, CASE WHEN h.score = 0 THEN 'Resolved'
+        WHEN h.score <= 24 THEN 'Warning' WHEN h.score <= 49 THEN 'Vulnerable' ELSE 'Critical' END AS status,
+    COALESCE(lag(h.score) OVER w, s.risk_score) AS old_score, s.lifecycle_status
+    FROM score_history h JOIN scans s ON h.scan_id = s.id
+    WINDOW w AS (PARTITION BY h.scan_id ORDER BY h.timestamp, h.id)),
+chained AS (SELECT *, COALESCE(lag(status) OVER (PARTITION BY scan_id ORDER BY timestamp, id),
+    lifecycle_status) AS old_status FROM done),
+last AS (SELECT scan_id, arg_max(score, (timestamp, id)) AS score, arg_max(status, (timestamp, id)) AS status
+    FROM done GROUP BY scan_id)
+SELECT 'scans' AS part, s.id AS key, CONCAT_WS('|', file_path, COALESCE(l.score, risk_score),
+    COALESCE(l.status, lifecycle_status)) AS content FROM scans s LEFT JOIN last l ON l.scan_id = s.id
+UNION ALL SELECT 'score_history', scan_id, CONCAT_WS('|', score, status, '1', 'Manual score override') FROM done
+UNION ALL SELECT 'audit_logs', scan_id, CONCAT_WS('|', 'manual_score_override', 'admin', old_score, score,
+    old_status, status, CONCAT('Score manually changed from ', old_score, ' to ', score)) FROM chained""")
+def s6_job(spark, sf):
+    asked = A.score_history(spark, sf).select("id", "scan_id", "score", "timestamp")
+    return _parts(changes.override_scores(A.scans(spark, sf), asked, "1"), {
+        "scans": ("id", ["file_path", "risk_score", "lifecycle_status"]),
+        "score_history": ("scan_id", ["score", "lifecycle_status", "changed_by", "reason"]),
+        "audit_logs": ("scan_id", ["action", "role", "old_score", "new_score", "old_status",
+                                   "new_status", "details"])})
+
+
+@query("t2_move_job", _MACHINE + """
+, last AS (SELECT scan_id, arg_max(new_status, n) AS status, arg_max(new_score, n) AS score
+    FROM walk WHERE accepted GROUP BY scan_id),
+all_scans AS (SELECT DISTINCT scan_id FROM transition_requests)
+SELECT 'scans' AS part, a.scan_id AS key, CONCAT_WS('|', COALESCE(score, 20), COALESCE(status, 'Safe')) AS content
+FROM all_scans a LEFT JOIN last l ON l.scan_id = a.scan_id
+UNION ALL SELECT 'score_history', scan_id, CONCAT_WS('|', new_score, new_status, 'admin',
+    CONCAT('Transition from ', old_status, ' to ', new_status)) FROM walk WHERE accepted
+UNION ALL SELECT 'audit_logs', scan_id, CONCAT_WS('|', 'lifecycle_transition', 'admin', old_score, new_score,
+    old_status, new_status) FROM walk WHERE accepted""")
+def t2_job(spark, sf):
+    requests = A.transition_requests(spark, sf)
+    scans = _safe_scans(requests).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    return _parts(changes.move_scans(scans, requests, "admin", "admin"), {
+        "scans": ("id", ["risk_score", "lifecycle_status"]),
+        "score_history": ("scan_id", ["score", "lifecycle_status", "changed_by", "reason"]),
+        "audit_logs": ("scan_id", ["action", "role", "old_score", "new_score", "old_status",
+                                   "new_status"])})
+
+
+@query("w6_status_job", _REPLAY + f"""
+, replayed AS (SELECT *, CASE WHEN score = 0 THEN 'Resolved' ELSE {lifecycle_sql('score')} END AS lifecycle
+    FROM scored),
+last_scan AS (SELECT scan_id, arg_max(score, (timestamp, id)) AS score,
+    arg_max(lifecycle, (timestamp, id)) AS lifecycle FROM replayed GROUP BY scan_id),
+last_finding AS (SELECT vuln_id, scan_id, arg_max(status, (timestamp, id)) AS status
+    FROM status_changes GROUP BY vuln_id, scan_id)
+SELECT 'scans' AS part, scan_id AS key, CONCAT_WS('|', score, lifecycle) AS content FROM last_scan
+UNION ALL SELECT 'vulnerabilities', vuln_id, status FROM last_finding
+UNION ALL SELECT 'score_history', scan_id, CONCAT_WS('|', score, lifecycle, '1', CONCAT('Vulnerability ', vuln_id,
+    ' status changed: ', old_status, ' → ', status)) FROM replayed
+UNION ALL SELECT 'audit_logs', scan_id, CONCAT_WS('|', 'vulnerability_status_changed', 'admin', old_status,
+    status, status, severity) FROM replayed""")
+def w6_job(spark, sf):
+    asked = A.status_changes(spark, sf)
+    findings = _starting(asked).withColumnRenamed("vuln_id", "id")
+    scans = asked.select(F.col("scan_id").alias("id")).distinct().select(
+        "id", F.lit("Safe").alias("lifecycle_status"), F.lit(0).alias("risk_score"))
+    return _parts(changes.change_finding_statuses(scans, findings, asked, "1"), {
+        "scans": ("id", ["risk_score", "lifecycle_status"]),
+        "vulnerabilities": ("id", ["status"]),
+        "score_history": ("scan_id", ["score", "lifecycle_status", "changed_by", "reason"]),
+        "audit_logs": ("scan_id", ["action", "role", "old_status", "new_status",
+                                   "vulnerability_status", "severity_level"])})
+
+
 @query("s8_report_tables", given("scans") + """
 SELECT id, CONCAT('security_report_', replace(split_part(file_path, '/', 2), '.', '_'), '_',
     strftime(created_at, '%Y%m%d_%H%M%S')) AS report_key, CAST(created_at AS DATE) AS report_date,
