@@ -19,7 +19,7 @@ RETAINED = 48
 MISS = 1e-9
 MOST_SENT = 200_000  # ids sent to every executor at most; beyond that they are joined
 LEVEL_BITS = 3
-ROUND_PAIRS = 5_000_000
+ROUND_PAIRS = 50_000_000
 
 
 def least_shared(percent: int, of: int = RETAINED, miss: float = MISS) -> int:
@@ -89,7 +89,8 @@ def _sketches(docs: DataFrame, retained: int | None) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """value, cid, n: the inverted lists that can hold a link.
+    """value, cid, n, values: the inverted lists that can hold a link, and all the lists (in
+    the same order for all sets) that a set is in.
 
     Two sets that are alike enough share at least ``needed`` retained values. With values put
     in order of how many sets retain them, rarest first, each set's first
@@ -108,8 +109,8 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"))
     first = size - needed + 1 - (size - F.size("shared"))
     return own.withColumn("_first", first.cast("int")).filter("_first > 0").select(
-        "cid", "n", F.explode(F.slice("shared", F.lit(1), F.col("_first"))).alias("s")).select(
-        F.col("s.value").alias("value"), "cid", "n")
+        "cid", "n", F.slice("shared", F.lit(1), F.col("_first"))["value"].alias("values")).select(
+        F.explode("values").alias("value"), "cid", "n", "values")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def _ties(
                 (F.col("level") >= lowest) & (F.col("level") < done)
                 & (F.col("cid") != F.col("top.cid"))).select(
                 "value", *[F.col(c).alias(f"p_{c}") for c in
-                           ("level", "cid", "n", "u", "root")])
+                           ("level", "cid", "n", "u", "root", "values")])
             done = lowest
         # Neither's own shingles are shared; the rest of the union can be, at the most.
         could = ((F.col("u") + F.col("p_u")) * percent
@@ -200,7 +201,9 @@ def _ties(
                  F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
         pairs = member.join(pivots, "value").filter(could).filter(
             "cid <> p_cid" if first else
-            "root <> p_root AND (level < p_level OR level = p_level AND cid < p_cid)")
+            "root <> p_root AND (level < p_level OR level = p_level AND cid < p_cid) "
+            # Once for a pair: in the first list that both are in.
+            "AND value = element_at(array_intersect(values, p_values), 1)")
         first = False
         pairs = stored(pairs.select(F.col("p_cid").alias("a"), F.col("cid").alias("b")).distinct(),
                        "pairs")
