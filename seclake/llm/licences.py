@@ -5,6 +5,8 @@ Column and Spark ML operations only; no Python runs on the executors.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, NGram, VectorAssembler
@@ -136,6 +138,7 @@ CUES = (r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|creative c
 PIECE_WORDS = 48
 STEP_WORDS = 36
 CONFIRM_FROM = 0.6
+FEW_RUNS = 4
 
 
 def tokens(text: Column) -> Column:
@@ -151,6 +154,25 @@ def _trigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= 3, runs).otherwise(whole))
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, line and words of every piece of every line that has a word."""
+    return docs.select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_line")).select(
+        "doc_id", "line", F.explode(_pieces(tokens(F.col("_line")))).alias("words")).filter(
+        F.size("words") > 0)
+
+
+def _names_a_licence(words: Column) -> Column:
+    """Whether words hold a name of a licence or FEW_RUNS 3-word runs of a passage."""
+    names = sorted({" ".join(re.findall("[a-z0-9]+", n.lower()))
+                    for listed in NAMES.values() for n in listed})
+    runs = sorted({" ".join(w[i:i + 3]) for texts in PASSAGES.values() for text in texts
+                   for w in [re.findall("[a-z0-9]+", text.lower())] for i in range(len(w) - 2)})
+    shared = F.array_intersect(_trigrams(words), F.array(*map(F.lit, runs)))
+    return F.array_join(words, " ").rlike(rf"(?:^| )(?:{'|'.join(names)})(?: |$)") | (
+        F.size(shared) >= FEW_RUNS)
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """family and text of each template: notices from names, passages, and others."""
     rows = [(family, notice.format(name)) for family, names in NAMES.items()
@@ -174,23 +196,25 @@ class LicenceModel:
         self.pipeline, self.families, self.known_from = pipeline, families, known_from
 
     def classified(self, pieces: DataFrame) -> DataFrame:
-        """Adds family, unknown if its probability is below the calibrated one."""
+        """Adds likely, the most probable family, and family, unknown if the probability is
+        below the calibrated one."""
         out = self.pipeline.transform(pieces.withColumnRenamed("words", "_1"))
         names = F.array(*[F.lit(f) for f in self.families])
         chance = F.array_max(vector_to_array("_chance"))
         best = F.element_at(names, F.col("_class").cast("int") + 1)
         return out.select(
             *[F.col("_1").alias("words") if c == "words" else F.col(c) for c in pieces.columns],
-            chance.alias("probability"),
+            chance.alias("probability"), best.alias("likely"),
             F.when(chance >= self.known_from, best).otherwise(F.lit(UNKNOWN)).alias("family"))
 
 
 def train(docs: DataFrame, other_rows: int = 1_500, false_share: float = 0.01) -> LicenceModel:
-    """Fit on the templates and on about ``other_rows`` lines of the table at most.
+    """Fit on the templates and on about ``other_rows`` pieces of the table at most.
 
-    Lines without a licence word are examples of the unknown class, and each template is also
-    put between words of one of them. A fifth of the rows is held out; a family counts as
-    known from the least probability at which at most ``false_share`` of what is called known
+    Pieces as licence_scan judges them are examples of the unknown class, licence words or
+    not, unless they name a licence or hold part of a passage. Most templates are also put
+    between a few words, and between a piece's worth of words, of one of them. A fifth of
+    the rows beside the bare templates is held out; a family counts as known from the least probability at which at most ``false_share`` of what is called known
     there is of another class.
     """
     spark = docs.sparkSession
@@ -198,26 +222,29 @@ def train(docs: DataFrame, other_rows: int = 1_500, false_share: float = 0.01) -
     count = docs.filter("text IS NOT NULL").count()
     share = min(1.0, 3 * other_rows / max(1, count))
     mark = F.pmod(F.xxhash64(F.lit("line"), "text"), F.lit(1 << 20))
-    lines = docs.filter(mark < int(share * (1 << 20)) + 1).select(
-        F.explode(F.split("text", "\n")).alias("line")).filter(
-        ~F.col("line").rlike(CUES) & (F.length("line") > 20)).withColumn(
-        "o", F.xxhash64(F.lit("other"), "line"))
-    plain = stored(lines.orderBy("o", "line").limit(other_rows).select(
-        F.slice(tokens(F.col("line")), 1, PIECE_WORDS).alias("words"), "o"), "plain")
+    pieces = _judged(docs.filter(mark < int(share * (1 << 20)) + 1)).filter(
+        ~_names_a_licence(F.col("words"))).select("words").distinct().withColumn(
+        "o", F.xxhash64(F.lit("other"), "words"))
+    plain = stored(pieces.orderBy("o", "words").limit(other_rows), "plain")
     slots = max(1, plain.count())
-    # Each template beside one line: slot numbers meet.
+    # Each template beside one piece: slot numbers meet.
     numbered = plain.select("words", F.pmod(F.col("o"), F.lit(slots)).alias("slot")).groupBy(
         "slot").agg(F.min("words").alias("around"))
-    wanted = known.withColumn("slot", F.pmod(F.xxhash64("text"), F.lit(slots)))
-    mixed = wanted.join(numbered, "slot").select("family", F.concat(
-        F.slice("around", 1, 6), tokens(F.col("text")), F.slice("around", 7, 6)).alias("words"))
-    rows = known.select("family", tokens(F.col("text")).alias("words")).union(mixed).union(
-        plain.select(F.lit(UNKNOWN).alias("family"), "words"))
+    rows = plain.select(F.lit(UNKNOWN).alias("family"), "words")
+    for beside in (6, 20):
+        wanted = known.withColumn(
+            "slot", F.pmod(F.xxhash64("text", F.lit(beside)), F.lit(slots)))
+        rows = rows.union(wanted.join(numbered, "slot").select("family", F.concat(
+            F.slice("around", 1, beside), tokens(F.col("text")),
+            F.slice("around", beside + 1, beside)).alias("words")))
     families = sorted([*NAMES, UNKNOWN])
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
+    # The bare templates are all learnt; a fifth of the other rows is held out.
+    rows = rows.withColumn("later", F.pmod(F.xxhash64("words"), F.lit(5)) == 0).union(
+        known.select("family", tokens(F.col("text")).alias("words"), F.lit(False)))
     data = stored(rows.select(
-        F.col("words").alias("_1"), label.cast("double").alias("label"),
-        (F.pmod(F.xxhash64("words"), F.lit(5)) == 0).alias("later")), "licence-rows")
+        F.col("words").alias("_1"), label.cast("double").alias("label"), "later"),
+        "licence-rows")
     grams = [NGram(n=n, inputCol="_1", outputCol=f"_{n}") for n in (2, 3)]
     vectors = [CountVectorizer(inputCol=f"_{n}", outputCol=f"_v{n}", minDF=2, binary=True,
                                vocabSize=20_000) for n in (1, 2, 3)]
@@ -247,39 +274,41 @@ def licence_scan(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: LicenceModel | None = None,
 ) -> DataFrame:
     """doc_id, line (from 0), family, probability, template, similarity and confirmed: a row
-    for each line, or piece of a long line, that has a licence word.
+    for each line, or piece of a long line, that has a word.
 
-    A line without such a word has no licence notice. Lines of more than PIECE_WORDS words are
-    judged in overlapping pieces. A family is confirmed if a template of its has at least
-    CONFIRM_FROM of its 3-word runs in the piece, or the piece has them in the template. The
-    unknown class has no template and is never confirmed.
+    Every line is judged by the model; no list of words decides what it sees. Lines of more
+    than PIECE_WORDS words are judged in overlapping pieces. The most probable family is also
+    told below the calibrated probability if the piece holds a template of its whole. A family
+    is confirmed if a template of its has at least CONFIRM_FROM of its 3-word runs in the
+    piece, or the piece has them in the template. The unknown class has no template and is never confirmed.
 
     Null and empty texts give no rows. Repeated rows and null ids are scanned each for itself.
     Other columns are not read. No shuffle of texts: templates are a fixed list.
     """
     narrow = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     model = model or train(narrow)
-    found = narrow.filter(F.col("text").rlike(CUES)).select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_line")).filter(
-        F.col("_line").rlike(CUES)).select(
-        "doc_id", "line", F.explode(_pieces(tokens(F.col("_line")))).alias("words")).filter(
-        F.array_join("words", " ").rlike(CUES))
-    known = templates(docs.sparkSession).filter(F.col("family") != UNKNOWN).select(
+    listed = templates(docs.sparkSession).filter(F.col("family") != UNKNOWN).select(
         "family", F.col("text").alias("template"), _trigrams(tokens(F.col("text"))).alias("grams"))
     # One row per family; the templates are constants of this module.
-    listed = known.groupBy(F.col("family").alias("_family")).agg(
+    listed = listed.groupBy(F.col("family").alias("_family")).agg(
         F.collect_list(F.struct("template", "grams")).alias("_templates"))
-    judged = model.classified(found).withColumn("_own", _trigrams(F.col("words")))
+    judged = model.classified(_judged(narrow)).withColumn(
+        "_own", F.when(F.col("likely") != UNKNOWN, _trigrams(F.col("words"))))
 
     def likeness(t):
         shared = F.size(F.array_intersect(t.grams, F.col("_own")))
         return F.struct(
             F.greatest(shared / F.size(t.grams), shared / F.size("_own")).alias("similarity"),
+            (shared == F.size(t.grams)).alias("whole"),
             F.size(t.grams).alias("runs"), t.template.alias("template"))
 
     best = F.array_max(F.transform("_templates", likeness))
-    joined = judged.join(F.broadcast(listed), F.col("family") == F.col("_family"), "left")
-    return joined.withColumn("_best", best).select(
+    joined = judged.join(F.broadcast(listed), F.col("likely") == F.col("_family"), "left")
+    known = (F.col("family") != UNKNOWN) | F.coalesce(F.col("_best.whole"), F.lit(False))
+    told = joined.withColumn("_best", best).select(
+        "doc_id", "line", F.when(known, F.col("likely")).otherwise(F.lit(UNKNOWN)).alias("family"),
+        "probability", F.when(known, F.col("_best")).alias("_best"))
+    return told.select(
         "doc_id", "line", "family", F.round("probability", 6).alias("probability"),
         F.col("_best.template").alias("template"),
         F.col("_best.similarity").alias("similarity"),

@@ -230,3 +230,24 @@ def test_templates_have_a_licence_word(spark):
         "apache", "bsd", "cc-by", "cc-by-sa", "cc0", "isc", "mit", "mpl", "unlicense", "gpl",
         "lgpl", "agpl", "cc-by-nc"}
     assert lacking.filter("text LIKE '%icens%'").count() == 0
+
+
+def test_every_template_is_judged_and_found(spark, docs_of):
+    """Alone and amid other words; lines with a licence word that are no notice stay unknown."""
+    rng = random.Random(4)
+    known = [(r.family, r.text) for r in licences.templates(spark).collect()]
+    model = licences.train(docs_of(
+        [(i, "\n".join(prose(rng, 20) for _ in range(4))) for i in range(300)]))
+    rows = [(i, text) for i, (_, text) in enumerate(known)]
+    amid = [(1000 + i, f"{prose(rng, 15)} {text} {prose(rng, 15)}")
+            for i, (_, text) in enumerate(known)]
+    got = licences.licence_scan(docs_of(rows + amid), model=model).collect()
+    assert {r.doc_id for r in got} == {k for k, _ in rows + amid}
+    told = {(r.doc_id % 1000, r.doc_id >= 1000, r.family) for r in got if r.confirmed}
+    lacking, amid_lacking = ([t for i, (f, t) in enumerate(known) if f != licences.UNKNOWN and (
+        i, around, f) not in told] for around in (False, True))
+    assert lacking == []
+    # Of a name of one word after "License:", between 30 other words, too little may remain.
+    assert all(t.startswith("License: ") for t in amid_lacking) and len(amid_lacking) <= 12
+    others = {i for i, (f, _) in enumerate(known) if f == licences.UNKNOWN}
+    assert not any(i in others for i, _, _ in told)
