@@ -155,11 +155,28 @@ def _trigrams(words: Column) -> Column:
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    """doc_id, line and words of every piece of every line that has a word."""
-    return docs.select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_line")).select(
-        "doc_id", "line", F.explode(_pieces(tokens(F.col("_line")))).alias("words")).filter(
-        F.size("words") > 0)
+    """doc_id, line and words of every piece of every paragraph that has a word.
+
+    Paragraphs part at blank lines; line is that of the piece's first word.
+    """
+    # Lines go with their numbers in front: a paragraph is then cut out as a string.
+    numbered = F.array_join(F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.when(line.rlike(r"[^\s\p{Z}]"), F.concat(i.cast("string"), F.lit(":"), line))
+        .otherwise(F.lit(""))), "\n")
+    lines = docs.select("doc_id", F.explode(F.split(numbered, "\n\n+")).alias("_paragraph")).select(
+        "doc_id", F.transform(F.split("_paragraph", "\n"), tokens).alias("_lines"))
+    words = lines.select(
+        "doc_id",
+        F.flatten(F.transform("_lines", lambda w: F.slice(
+            w, 2, F.greatest(F.size(w) - 1, F.lit(0))))).alias("_words"),
+        F.flatten(F.transform("_lines", lambda w: F.array_repeat(
+            F.get(w, F.lit(0)), F.greatest(F.size(w) - 1, F.lit(0))))).alias("_at"))
+    last = F.greatest(F.lit(1), F.size("_words") - PIECE_WORDS + STEP_WORDS)
+    pieces = F.transform(F.sequence(F.lit(1), last, F.lit(STEP_WORDS)), lambda i: F.struct(
+        F.get("_at", i - 1).cast("int").alias("line"),
+        F.slice("_words", i, PIECE_WORDS).alias("words")))
+    return words.filter(F.size("_words") > 0).select("doc_id", F.inline(pieces))
 
 
 def _names_a_licence(words: Column) -> Column:
@@ -184,13 +201,6 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(listed))
 
 
-def _pieces(words: Column) -> Column:
-    """A long paragraph in overlapping pieces."""
-    last = F.greatest(F.lit(1), F.size(words) - PIECE_WORDS + STEP_WORDS)
-    return F.transform(F.sequence(F.lit(1), last, F.lit(STEP_WORDS)),
-                       lambda i: F.slice(words, i, PIECE_WORDS))
-
-
 class LicenceModel:
     def __init__(self, pipeline: PipelineModel, families: list[str], known_from: float):
         self.pipeline, self.families, self.known_from = pipeline, families, known_from
@@ -274,10 +284,11 @@ def licence_scan(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: LicenceModel | None = None,
 ) -> DataFrame:
     """doc_id, line (from 0), family, probability, template, similarity and confirmed: a row
-    for each line, or piece of a long line, that has a word.
+    for each paragraph, or piece of a long paragraph, that has a word.
 
-    Every line is judged by the model; no list of words decides what it sees. Lines of more
-    than PIECE_WORDS words are judged in overlapping pieces. The most probable family is also
+    Paragraphs part at blank lines and their lines are joined, so a notice may be wrapped.
+    Each is judged by the model; no list of words decides what it sees. Paragraphs of more
+    than PIECE_WORDS words are judged in overlapping pieces; line is that of a piece's start. The most probable family is also
     told below the calibrated probability if the piece holds a template of its whole. A family
     is confirmed if a template of its has at least CONFIRM_FROM of its 3-word runs in the
     piece, or the piece has them in the template. The unknown class has no template and is never confirmed.

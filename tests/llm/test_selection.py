@@ -251,3 +251,19 @@ def test_every_template_is_judged_and_found(spark, docs_of):
     assert all(t.startswith("License: ") for t in amid_lacking) and len(amid_lacking) <= 12
     others = {i for i, (f, _) in enumerate(known) if f == licences.UNKNOWN}
     assert not any(i in others for i, _, _ in told)
+
+
+def test_wrapped_notices(spark, docs_of):
+    """A notice over two lines is one paragraph's; line tells where a piece starts."""
+    rng = random.Random(5)
+    rows = [
+        (1, "Licensed under the\nApache 2.0 license."),
+        (2, "# a title\n\n# Distributed under the terms of the\r\n# BSD-3-Clause.\r\n\r\nother words"),
+        (3, "\n \n" + "\n".join(prose(rng, 12) for _ in range(6)) + "\n\n\nmore\nand more"),
+        (4, "\n\n"), (5, "12:5 x\n\n\n7")]
+    model = licences.train(docs_of([(i, prose(rng, 80)) for i in range(300)]))
+    got = licences.licence_scan(docs_of(rows), model=model).collect()
+    assert {(r.doc_id, r.line, r.family) for r in got if r.confirmed} == {
+        (1, 0, "apache"), (2, 2, "bsd")}
+    assert sorted((r.doc_id, r.line) for r in got) == [
+        (1, 0), (2, 0), (2, 2), (2, 5), (3, 2), (3, 5), (3, 10), (5, 0), (5, 3)]
