@@ -27,7 +27,13 @@ _POINTS = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _URLSAFE = str.maketrans("-_", "+/")
-_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+# Base64 over line ends, real ones or escaped; a run of 16 letters opens it.
+_LINE_END = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+_WRAPPED = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_LINE_END}[A-Za-z0-9+/_-]++)++(?:{_LINE_END})?={{0,2}}")
+_LINE_ENDS = re.compile(_LINE_END)
+_PARTS = re.compile(r"[A-Za-z0-9+]{16,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 Span = tuple[int, int, int]  # start, end, kind's number
 
@@ -64,17 +70,41 @@ def _inflated(raw: bytes) -> bytes | None:
     return b"".join(parts) or None
 
 
-def _readable(raw: bytes) -> str | None:
-    """Text of decoded bytes, unpacked if compressed; None if it isn't text."""
-    seen = set()
-    while (inner := _inflated(raw)) is not None and (key := hashlib.sha256(raw).digest()) not in seen:
-        seen.add(key)
-        raw = inner
+def _may_inflate(start: bytes) -> bool:
+    """False if a stream that starts so is broken in these bytes, and gives nothing."""
+    stream, given = zlib.decompressobj(47), b""
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _CONTROLS.search(text) else text
+        for k in range(len(start)):
+            given = stream.decompress(start[k:k + 1])
+            if given or stream.eof:
+                return True
+        return True
+    except zlib.error:
+        return False
+
+
+def _texts(raw: bytes) -> list[str]:
+    """Texts that decoded bytes may be: as UTF-8 with what isn't replaced, as UTF-16 of either
+    order if there are NULs, and those of compressed streams that start anywhere in them."""
+    texts, work, seen = [], [raw], set()
+    while work:
+        raw = work.pop()
+        if (key := hashlib.sha256(raw).digest()) in seen:
+            continue
+        seen.add(key)
+        texts.append(raw.decode(errors="replace"))
+        if b"\0" in raw:
+            texts += [raw.decode(order, "replace") for order in ("utf-16-le", "utf-16-be")]
+        starts = {0} | {m.start() for m in _PACKED.finditer(raw)}
+        work += [inner for at in sorted(starts) if _may_inflate(raw[at:at + 256]) and (
+            inner := _inflated(raw[at:])) is not None]
+    return [t for t in texts if t]
+
+
+def _from_base64(body: str) -> bytes:
+    """The bytes of base64 letters; one letter too many at the end is left out."""
+    body = body[:len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
 def _unescaped(m: re.Match) -> str | None:
@@ -89,8 +119,8 @@ def _unescaped(m: re.Match) -> str | None:
         return None
 
 
-def _from_bytes(m: re.Match) -> str | None:
-    return _readable(bytes.fromhex(m[0].replace("%", "").replace("\\x", "")))
+def _run_texts(m: re.Match) -> list[str]:
+    return _texts(bytes.fromhex(m[0].replace("%", "").replace("\\x", "")))
 
 
 class _Layer:
@@ -149,20 +179,50 @@ class _Layer:
     def inner(self) -> Iterator[_Layer]:
         """Layers one decoding step further in."""
         text = self.text
-        if ("%" in text or "\\x" in text) and (new := self.replaced(_BYTES, _from_bytes)):
-            yield new
+        if "%" in text or "\\x" in text:
+            told = {m.start(): _run_texts(m) for m in _BYTES.finditer(text)}
+            for k in range(max(map(len, told.values()), default=0)):
+                yield self.replaced(_BYTES, lambda m: told[m.start()][min(
+                    k, len(told[m.start()]) - 1)])
         if ("\\u" in text or "&#" in text) and (new := self.replaced(_POINTS, _unescaped)):
             yield new
-        for m in _BASE64.finditer(text):
+        for start, end, body in self._encoded():
+            for decoded in _texts(_from_base64(body)):
+                yield _Layer(decoded, *self.span(start, end))
+
+    def _encoded(self) -> Iterator[tuple[int, int, str]]:
+        """Start, end and letters of what may be base64: each run at all four alignments, so
+        that it may start and end inside, its parts between "/", "_" and "-", and lines that
+        only line ends part, as a whole and those of one width."""
+        for m in _BASE64.finditer(self.text):
             body = m[0].rstrip("=").translate(_URLSAFE)
-            if len(body) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except binascii.Error:
-                continue
-            if (decoded := _readable(raw)) is not None:
-                yield _Layer(decoded, *self.span(m.start(), m.end()))
+            for shift in range(4):
+                yield m.start(), m.end(), body[shift:]
+            if len(parts := list(_PARTS.finditer(m[0]))) > 1 or parts and len(parts[0][0]) < len(body):
+                for part in parts:
+                    yield m.start() + part.start(), m.start() + part.end(), part[0]
+        for m in _WRAPPED.finditer(self.text):
+            lines, at = [], m.start()
+            for cut in [*_LINE_ENDS.finditer(self.text, m.start(), m.end()), None]:
+                upto = cut.start() if cut else m.end()
+                if line := self.text[at:upto].rstrip("=").translate(_URLSAFE):
+                    lines.append((at, upto, line))
+                at = cut.end() if cut else upto
+            body = "".join(line for _, _, line in lines)
+            for shift in range(4):
+                yield m.start(), m.end(), body[shift:]
+            first = 0
+            while first < len(lines):
+                last = first
+                while last + 1 < len(lines) and len(lines[last][2]) == len(lines[first][2]):
+                    last += 1
+                    if len(lines[last][2]) > len(lines[first][2]):
+                        last -= 1
+                        break
+                if last > first and (first > 0 or last + 1 < len(lines)):
+                    yield (lines[first][0], lines[last][1],
+                           "".join(line for _, _, line in lines[first:last + 1]))
+                first = max(first + 1, last)
 
 
 def _order(span: Span) -> tuple[int, int, int]:
@@ -200,6 +260,9 @@ def secret_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ``found`` lists kind, start and end (code points, end exclusive) and whether the plain
     text shows the secret or a decoded layer does: URL and Unicode escapes, base64, gzip and
     zlib, nested in any order. A span of a decoded layer covers the encoded text it came from.
+    Decoded bytes need not be clean text: what isn't UTF-8 is replaced, and UTF-16 is tried.
+    Base64 may go over line ends and may be a part of a longer run, as of a path; a secret that
+    is read from a run and from a part of it is told with both spans.
 
     One row for each input row. Null and empty texts have no findings. Repeated rows and null
     ids are scanned each for itself; other columns are not read. No shuffle.

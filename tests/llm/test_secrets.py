@@ -72,6 +72,31 @@ def test_encodings_that_lead_back_end():
     assert {k for _, _, k in every} == {0, 1}
 
 
+def test_layers_that_are_no_clean_text():
+    secret = "password=hunter2hunter2"
+    long = "".join(random.Random(k).choice("abcdefgh ") for k in range(900))
+    wrapped = [base64.encodebytes(gzip.compress((long + secret).encode())).decode(),
+               base64.encodebytes((long + secret + long).encode()).decode()]
+    path = base64.urlsafe_b64encode((secret + "?>?>").encode()).decode()
+    for text in (
+            base64.b64encode(f"A=1\0{secret}\0B=2".encode()).decode(),
+            base64.b64encode(secret.encode("utf-16")).decode(),
+            base64.b64encode(secret.encode("utf-16-be")).decode(),
+            base64.b64encode(gzip.compress(b"\x1b[31mred " + secret.encode())).decode(),
+            base64.b64encode(("caf\u00e9 " + secret).encode("latin-1")).decode(),
+            "caf%E9%20" + "".join(f"%{b:02x}" for b in secret.encode()),
+            *wrapped, *(w.replace("\n", "\r\n") for w in wrapped),
+            *(w.replace("\n", "\\n") for w in wrapped),
+            *(f"see internationalization\n{w}" for w in wrapped),
+            *("key: " + w.replace("\n", "\n  ") for w in wrapped),
+            "/api/v1/" + base64.b64encode(secret.encode()).decode(),
+            "/api/v1/x/" + base64.b64encode(gzip.compress(secret.encode())).decode(),
+            f"/api/v12/{path}/and_more-of-it"):
+        base, every = scan(f"{text} end")
+        assert base == [], text
+        assert any(k == 0 and e <= len(text) for _, e, k in every), text
+
+
 def test_rows(docs_of):
     frame = docs_of([(1, None), (None, ""), (2, "token=12345678"), (2, "token=12345678")])
     got = sorted((r.doc_id or 0, [tuple(x) for x in r.found])
