@@ -28,7 +28,7 @@ from seclake.functions.lookup import quoted
 from seclake.functions.texts import lines_text, split_lines, strip
 from seclake.schemas import RULES as RULE_SCHEMA
 
-# Rule frames up to this many rows become literal patterns, compiled once per task.
+# This many rules at most become literal patterns of one scan; longer tables take more scans.
 MAX_LITERAL_RULES = 2000
 
 _FLAGS = "(?iU)"
@@ -245,24 +245,43 @@ def check_rules(rules: Sequence[Rule]) -> None:
             raise ValueError(f"pattern of rule {rule.vuln_id}: {problem}") from problem
 
 
-def rules_from(frame: DataFrame) -> list[Rule] | None:
-    """The rules of a frame as literals, or None when there are too many."""
-    rows = frame.select(*RULE_SCHEMA.fieldNames()).limit(MAX_LITERAL_RULES + 1).collect()
-    if len(rows) > MAX_LITERAL_RULES:
-        return None
-    return [Rule(*row) for row in rows]
+def rules_from(frame: DataFrame) -> list[Rule]:
+    """The rules of a frame as literals, in its order."""
+    return [Rule(*row) for row in frame.select(*RULE_SCHEMA.fieldNames()).collect()]
+
+
+def scan_in_chunks(
+    files: DataFrame, rules: Sequence[Rule], structural: bool = True, width: int = CONTEXT_LINES,
+) -> DataFrame:
+    """As scan_files, by scans of MAX_LITERAL_RULES rules each; same hits in the same order.
+
+    The hits of a file are merged in its row.
+    """
+    check_rules(rules)
+    if len(rules) <= MAX_LITERAL_RULES:
+        return scan_files(files, rules, structural, width)
+    columns, scanned, found = files.columns, files, []
+    for first in range(0, len(rules), MAX_LITERAL_RULES):
+        chunk = rules[first:first + MAX_LITERAL_RULES]
+        scanned = scan_files(scanned, chunk, False, width).withColumnRenamed(
+            "hits", name := f"_hits{len(found)}")
+        found.append(name)
+    scanned = scan_files(scanned, [], structural, width)
+    # By line, then by chunk, then as found in it.
+    keyed = ", ".join(
+        f"transform({name}, (h, i) -> named_struct('n', h.line_number, 'k', {k}, 'i', i, 'h', h))"
+        for k, name in enumerate(found))
+    merged = f"transform(array_sort(concat({keyed})), s -> s.h)"
+    return scanned.selectExpr(*columns, f"concat({merged}, hits) AS hits")
 
 
 def scan_with_rule_frame(files: DataFrame, rules: DataFrame, **options) -> DataFrame:
-    """Findings for a caller's rule table.
+    """Findings for a caller's rule table (X1), which becomes literal patterns.
 
-    A table of usual size is turned into literal patterns. A larger one is joined by
-    ``join_rules``, which never broadcasts it.
+    The driver holds the table. However long it is, the findings have the same columns.
     """
     literal = rules_from(rules)
-    if literal is not None:
-        return findings_of(scan_files(files, literal, **options), literal)
-    return join_rules(files, rules)
+    return findings_of(scan_in_chunks(files, literal, **options), literal)
 
 
 def join_rules(files: DataFrame, rules: DataFrame, salts: int = 16) -> DataFrame:

@@ -125,6 +125,20 @@ def test_user_rules(spark):
         assert [(r.file_path, r.vuln_id, r.line_number) for r in hits.collect()] == want
 
 
+@pytest.mark.parametrize("options", [{}, {"structural": False, "width": 2}])
+def test_more_user_rules_than_the_limit(spark, sf, monkeypatch, options):
+    from checks.adapters import source_files
+    text = "\n".join(["assert eval(x)", "md5(a)", "eval(pickle.load(f))", "except: pass"])
+    source = source_files(spark, sf).select("file_path", "text", "language").limit(300).union(
+        files(spark, ("many", text, "python"), ("none", None, "python")))
+    frame = spark.createDataFrame(RULES, RULE_SCHEMA)
+    want = scanning.scan_with_rule_frame(source, frame, **options)
+    monkeypatch.setattr(scanning, "MAX_LITERAL_RULES", 3)
+    got = scanning.scan_with_rule_frame(source, frame, **options)
+    assert got.columns == want.columns and want.count() > 0
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+
+
 def test_bad_user_rules(spark):
     good = Rule("A", "python", "", "x", "", "", "", "", "Low")
     with pytest.raises(ValueError, match="not unique"):
