@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seclake.llm import attention, contamination, licences, lines, mixing, near_copies, passages, repetition, secrets, toxicity
+from seclake.llm import (
+    attention, contamination, conversations, licences, lines, mixing, near_copies, negatives, passages,
+    repetition, secrets, toxicity,
+)
 from seclake.llm.blocks import read_table
 from seclake.llm.registry import query
 
@@ -275,3 +278,115 @@ GROUP BY w.doc_id, n
 @query("op10_near_copies", _OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(read_table(spark, sf_dir, "documents"), percent=85).drop("t")
+
+
+_OP12 = r"""
+WITH RECURSIVE lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+bytes AS (SELECT name, range AS i, ord(name[range]) AS b
+  FROM (SELECT DISTINCT name FROM lots), range(1, 60) WHERE range <= len(name)),
+crc AS (
+  SELECT DISTINCT name, 0 AS i, 0 AS bit, 4294967295::BIGINT AS c FROM lots
+  UNION ALL
+  SELECT crc.name, CASE WHEN bit = 7 THEN crc.i + 1 ELSE crc.i END, (bit + 1) % 8,
+    CASE WHEN (CASE WHEN bit = 0 THEN xor(c, b) ELSE c END) & 1 = 1
+      THEN xor((CASE WHEN bit = 0 THEN xor(c, b) ELSE c END) >> 1, 3988292384)
+      ELSE (CASE WHEN bit = 0 THEN xor(c, b) ELSE c END) >> 1 END
+  FROM crc JOIN bytes ON bytes.name = crc.name AND bytes.i = crc.i + 1),
+lot AS (SELECT name, xor(max_by(c, i * 8 + bit), 4294967295) % 20 AS lot FROM crc GROUP BY name),
+harmed AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM lots JOIN lot USING (name), range(2) WHERE lot <> 0 AND (range = 0 OR lot = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM harmed),
+judged AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN body = '' THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM numbered),
+inserted(q, nq) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+ahead AS (
+  SELECT q, q AS at, '' AS edits, 0 AS price, '' AS said FROM inserted
+  UNION ALL SELECT q, nq, 'I', 2, CASE nq WHEN 2 THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END
+  FROM inserted
+  UNION ALL SELECT a.q, b.nq, 'II', 4, CASE a.nq WHEN 2 THEN chr(10) || 'user:' || chr(10) || 'assistant:'
+    ELSE chr(10) || 'assistant:' || chr(10) || 'user:' END
+  FROM inserted a JOIN inserted b ON b.q = a.nq),
+kept(q, letter, nq) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+way AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS q, 0 AS cost, '' AS audit, '' AS said FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n, nq, min(cost), arg_min(audit, (cost, audit)), arg_min(said, (cost, audit)) FROM (
+    SELECT w.conv_id, j.n, CASE e.edit WHEN 'D' THEN a.at WHEN 'K' THEN k.nq ELSE i.nq END AS nq,
+      w.cost + a.price + CASE e.edit WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END
+        + CASE WHEN e.edit <> 'D' AND j.fault = 3 THEN 1 ELSE 0 END AS cost,
+      w.audit || a.edits || e.edit AS audit,
+      w.said || a.said || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || j.role || ':' || j.text
+        ELSE chr(10) || CASE i.nq WHEN 2 THEN 'user:' ELSE 'assistant:' END || j.text END AS said
+    FROM way w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.n = w.n + 1
+    JOIN ahead a ON a.q = w.q JOIN inserted i ON i.q = a.at
+    CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(edit)
+    LEFT JOIN kept k ON k.q = a.at AND k.letter = j.initial
+    WHERE e.edit = 'D' OR (j.fault IN (0, 3) AND (e.edit = 'R' OR k.nq IS NOT NULL)))
+  GROUP BY conv_id, n, nq),
+ended AS (
+  SELECT w.conv_id, min(w.cost + a.price) AS cost,
+    arg_min(w.audit || a.edits, (w.cost + a.price, w.audit || a.edits)) AS audit,
+    arg_min(w.said || a.said, (w.cost + a.price, w.audit || a.edits)) AS said
+  FROM way w JOIN ahead a ON a.q = w.q
+  LEFT JOIN (SELECT conv_id, max(n) AS n FROM judged GROUP BY conv_id) l
+    ON l.conv_id IS NOT DISTINCT FROM w.conv_id
+  WHERE w.n = coalesce(l.n, 0) AND a.at IN (0, 3) GROUP BY w.conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(cost AS BIGINT) AS cost, audit, sha256(CASE WHEN said = '' THEN '' ELSE substr(said, 2) END) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op12_conversation_repair", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, present = conversations.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversations.conversation_report(rows, present)
+
+
+_OP13 = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id,
+       positive_score, s.score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+@query("op13_hard_negatives", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        rows.select(F.col("vec_id").alias("row_id"), label.alias("label"),
+                    negatives.whole_numbers(F.col("embedding")).alias("vector"))
+        .filter(negatives.usable(F.col("vector"))), F.col("row_id") % 100 == 0)
