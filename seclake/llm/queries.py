@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seclake.llm import (
-    attention, contamination, conversations, licences, lines, mixing, near_copies, negatives, passages,
-    repetition, secrets, toxicity,
+    attention, byte_repeats, contamination, conversations, licences, lines, mixing, near_copies,
+    negatives, passages, repetition, secrets, toxicity,
 )
 from seclake.llm.blocks import read_table
 from seclake.llm.registry import query
@@ -390,3 +390,37 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.select(F.col("vec_id").alias("row_id"), label.alias("label"),
                     negatives.whole_numbers(F.col("embedding")).alias("vector"))
         .filter(negatives.usable(F.col("vector"))), F.col("row_id") % 100 == 0)
+
+
+_OP11 = r"""
+WITH bytes AS (
+  SELECT doc_id, unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '..')) AS b,
+         generate_subscripts(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), 1) AS pos
+  FROM documents),
+n1 AS (SELECT doc_id, pos, b, hash(b) AS v FROM bytes),
+n2 AS (SELECT * REPLACE (hash(v, lead(v, 1) OVER w) AS v) FROM n1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n4 AS (SELECT * REPLACE (hash(v, lead(v, 2) OVER w) AS v) FROM n2 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n8 AS (SELECT * REPLACE (hash(v, lead(v, 4) OVER w) AS v) FROM n4 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n16 AS (SELECT * REPLACE (hash(v, lead(v, 8) OVER w) AS v) FROM n8 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n32 AS (SELECT * REPLACE (hash(v, lead(v, 16) OVER w) AS v) FROM n16 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n64 AS (SELECT * REPLACE (hash(v, lead(v, 32) OVER w) AS v) FROM n32 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n128 AS (SELECT * REPLACE (hash(v, lead(v, 64) OVER w) AS v) FROM n64 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n200 AS (SELECT doc_id, pos, b, CASE WHEN lead(pos, 199) OVER w IS NOT NULL
+    THEN hash(v, lead(v, 72) OVER w) END AS v FROM n128 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+often AS (SELECT v FROM n200 WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1),
+marked AS (SELECT doc_id, pos, b, max(CASE WHEN o.v IS NOT NULL THEN 1 ELSE 0 END) OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone
+  FROM n200 LEFT JOIN often o USING (v)),
+spans AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS first FROM marked),
+told AS (SELECT doc_id, count(*) AS n_bytes, sum(gone)::BIGINT AS n_removed, count(*) FILTER (first) AS n_spans,
+    coalesce(string_agg(b, '' ORDER BY pos) FILTER (gone = 0), '') AS kept FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id
+"""
+
+
+@query("op11_suffix_array_dedup", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats.without_repeated_bytes(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
