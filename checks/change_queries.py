@@ -16,7 +16,7 @@ from seclake.plans.answered_scans import answered_profiles
 from seclake.session import new_folder
 from seclake.sources.tables import append, read_answers, read_table, write_reports
 from seclake.streaming.feed import event_feed, run_to_end
-from seclake.streaming.lifecycle import lifecycle_stream
+from seclake.streaming.lifecycle import run_lifecycle_stream
 from seclake.streaming.scores import run_live_scores
 
 _MOVES = """(VALUES ('Safe', 'Warning'), ('Safe', 'Resolved'), ('Warning', 'Safe'), ('Warning', 'Vulnerable'),
@@ -80,7 +80,7 @@ def w6(spark, sf):
 def t4(spark, sf):
     arriving = A.stream(spark, sf, "events", A._STATUS_CHANGES)
     findings = _starting(A.status_changes(spark, sf))
-    return run_live_scores(spark, arriving, findings, new_folder(spark, "scores")).select(
+    return run_live_scores(arriving, findings, new_folder(spark, "scores")).select(
         *_REPLAY_COLUMNS)
 
 
@@ -122,12 +122,10 @@ def t2_batch(spark, sf):
 
 @query("t2_lifecycle_stream", _STEPS)
 def t2_stream(spark, sf):
-    folder = new_folder(spark, "lifecycle")
-    steps = lifecycle_stream(
+    return run_lifecycle_stream(
         A.stream(spark, sf, "events", A._TRANSITION_REQUESTS),
-        _safe_scans(A.transition_requests(spark, sf)))
-    run_to_end(steps, f"{folder}/steps", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/steps").select(*_MACHINE_COLUMNS)
+        _safe_scans(A.transition_requests(spark, sf)), new_folder(spark, "lifecycle")).select(
+        *_MACHINE_COLUMNS)
 
 
 _FEED = given("audit_logs") + """

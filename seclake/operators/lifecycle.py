@@ -93,6 +93,35 @@ def replay_status_changes(
         *columns, "old_status", "open_weight", "open_critical"))
 
 
+def replay_from(
+    changes: DataFrame, statuses: DataFrame, totals: DataFrame, limit: int = ROWS_PER_PIECE
+) -> DataFrame:
+    """The same as ``replay_status_changes``, going on from an earlier replay.
+
+    ``statuses`` (scan_id, vuln_id, status) has the last status of each known finding, ``totals``
+    (scan_id, start_weight, start_critical) what was open in each scan; a scan without a row had nothing
+    open. Both go in as rows that sort before all changes.
+    """
+    columns = ["id", "vuln_id", "scan_id", "severity", "status", "timestamp"]
+    order = ["kind", *TIME_ORDER]
+    by = [F.col(c) for c in order]
+    rows = changes.select(*columns, F.lit(1).alias("kind"), F.lit(0).alias("_start")).unionByName(
+        statuses.select("scan_id", "vuln_id", "status", F.lit(0).alias("kind"), F.lit(1).alias("_start")),
+        allowMissingColumns=True)
+    finding = ["scan_id", "vuln_id"]
+    with_old = previous(rows, finding, order, {"old_status": "status"}, limit)
+    known = running_sums(with_old, finding, by, {"_known": "_start"}, limit).filter(
+        "kind = 1 AND _known > 0").drop("_start", "_known")
+    summed = running_sums(
+        status_deltas(known, F.col("old_status")).unionByName(totals.select(
+            "scan_id", F.col("start_weight").alias("weight_change"),
+            F.col("start_critical").alias("critical_change"), F.lit(0).alias("kind")),
+            allowMissingColumns=True),
+        ["scan_id"], by, {"open_weight": "weight_change", "open_critical": "critical_change"}, limit)
+    return scored(summed.filter("kind = 1").select(
+        *columns, "old_status", "open_weight", "open_critical"))
+
+
 def score_overrides(scans: DataFrame, overrides: DataFrame) -> DataFrame:
     """Manual scores: old and new score and status by the override rule.
 

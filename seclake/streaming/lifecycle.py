@@ -2,45 +2,48 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from seclake.operators.lifecycle import STEP_SCHEMA, apply_requests, steps_frame
-
-_STATE = "status STRING, score INT"
-
-
-def _steps(key, batches, state):
-    """Outcomes of one scan's new requests, in time order; its state is status and score.
-
-    Rows of one micro-batch may come in any order, so they are sorted first. Between
-    micro-batches requests must arrive in time order, as in a log.
-    """
-    requests = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "id"])
-    if state.exists:
-        status, score = state.get
-    else:
-        first = requests.iloc[0]
-        status = None if pd.isna(first["start_status"]) else first["start_status"]
-        score = None if pd.isna(first["start_score"]) else int(first["start_score"])
-    outcomes, (_, status, score) = apply_requests(
-        requests["scan_id"].tolist(), requests["target"].tolist(), status, score, key[0])
-    if status is not None:
-        state.update((status, score))
-    yield steps_frame(requests, outcomes)
-
-
-def lifecycle_stream(requests: DataFrame, scans: DataFrame) -> DataFrame:
-    """Accept or reject each arriving transition request.
-
-    ``scans`` (id, lifecycle_status, risk_score) gives the state a scan starts in. The
-    rows of a micro-batch are bounded by the source's own limits per trigger.
+from seclake.operators.lifecycle import run_lifecycle
+from seclake.operators.ordered import ROWS_PER_PIECE
+from seclake.session import spread
+from seclake.streaming.feed import finish
+from seclake.streaming.state_table import StateTable
+
+
+def run_lifecycle_stream(
+    requests: DataFrame, scans: DataFrame, folder: str, limit: int = ROWS_PER_PIECE,
+    timeout: int = 3600,
+) -> DataFrame:
+    """Accept or reject each arriving transition request; all outcomes so far.
+
+    ``scans`` (id, lifecycle_status, risk_score) is read once, when the stream first starts:
+    later micro-batches find the states of their scans in a small table by scan. A micro-batch
+    is one run of the batch operator, so a scan with more than ``limit`` of its requests
+    spreads over many tasks, each of which maps states for its piece. Requests must arrive in
+    time order from one micro-batch to the next, as in a log; inside one they may come in
+    any order. Outcomes are written once per micro-batch; a repeated one replaces its own part.
     """
-    start = scans.select(
-        F.col("id").alias("_scan"), F.col("lifecycle_status").alias("start_status"),
-        F.col("risk_score").cast("int").alias("start_score"))
-    asked = requests.select("id", "scan_id", "target", "timestamp").join(
-        start, F.col("scan_id") == F.col("_scan"), "left").drop("_scan")
-    return asked.groupBy("scan_id").applyInPandasWithState(
-        _steps, STEP_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    spark = requests.sparkSession
+    first = scans.select(
+        F.col("id").alias("scan_id"), F.col("lifecycle_status").alias("status"),
+        F.col("risk_score").cast("int").alias("score"))
+    states = StateTable(spark, f"{folder}/states", ["scan_id"], first.schema)
+    states.start(first)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        asked = spread(batch.select("id", "scan_id", "target", "timestamp")).persist()
+        known = states.rows_for(batch_id, asked)
+        out = f"{folder}/steps/batch={batch_id}"
+        run_lifecycle(asked, known.select(
+            F.col("scan_id").alias("id"), F.col("status").alias("lifecycle_status"),
+            F.col("score").alias("risk_score")), limit).write.mode("overwrite").parquet(out)
+        done = spark.read.parquet(out).filter("old_status IS NOT NULL")
+        states.put(batch_id, done.groupBy("scan_id").agg(F.max_by(
+            F.struct(F.col("new_status").alias("status"), F.col("new_score").alias("score")),
+            F.struct("timestamp", "id")).alias("last")).select("scan_id", "last.*"))
+        asked.unpersist()
+
+    finish(requests.writeStream.foreachBatch(step).option(
+        "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(), timeout)
+    return spark.read.parquet(f"{folder}/steps").drop("batch")

@@ -1,89 +1,53 @@
-"""Live scores after finding-status changes (T4).
-
-Two streams in a row, so that no state grows with a scan's findings: the first keeps the
-last status of each finding and writes what each change adds; the second keeps two sums
-per scan.
-"""
+"""Live scores after finding-status changes (T4)."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from seclake.operators.lifecycle import open_totals, scored, status_deltas
-from seclake.schemas import STATUS_CHANGES
-from seclake.streaming.feed import run_to_end
-
-_CHANGE = (
-    "id BIGINT, vuln_id STRING, scan_id STRING, severity STRING, status STRING, "
-    "timestamp TIMESTAMP_NTZ, old_status STRING")
-_DELTA = _CHANGE + ", weight_change BIGINT, critical_change BIGINT"
-_SUMS = _CHANGE + ", open_weight BIGINT, open_critical BIGINT"
-_COLUMNS = STATUS_CHANGES.fieldNames()
-
+from pyspark.sql import DataFrame, functions as F
 
-def _old_status(key, batches, state):
-    changes = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "id"])
-    before = state.get[0] if state.exists else changes.iloc[0]["start_status"]
-    statuses = changes["status"].tolist()
-    state.update((statuses[-1],))
-    yield changes[_COLUMNS].assign(old_status=[before, *statuses[:-1]])
-
-
-def change_deltas(changes: DataFrame, findings: DataFrame) -> DataFrame:
-    """What each arriving status change adds to its scan; state per finding is one status.
-
-    A change of an unknown finding is left out.
-    """
-    start = findings.select(
-        F.col("scan_id").alias("_scan"), F.col("vuln_id").alias("_vuln"),
-        F.col("status").alias("start_status"))
-    joined = changes.join(
-        start, (F.col("scan_id") == F.col("_scan")) & (F.col("vuln_id") == F.col("_vuln")),
-    ).drop("_scan", "_vuln")
-    with_old = joined.groupBy("scan_id", "vuln_id").applyInPandasWithState(
-        _old_status, _CHANGE, "status STRING", "append", GroupStateTimeout.NoTimeout)
-    deltas = status_deltas(with_old, F.col("old_status"))
-    return deltas.withColumn("critical_change", F.col("critical_change").cast("bigint"))
-
-
-def _sums(key, batches, state):
-    changes = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "id"])
-    if state.exists:
-        weight, critical = state.get
-    else:
-        weight, critical = (int(changes.iloc[0][c]) for c in ("start_weight", "start_critical"))
-    sums = changes[[*_COLUMNS, "old_status"]].assign(
-        open_weight=weight + changes["weight_change"].cumsum(),
-        open_critical=critical + changes["critical_change"].cumsum())
-    state.update((int(sums["open_weight"].iloc[-1]), int(sums["open_critical"].iloc[-1])))
-    yield sums
-
-
-def live_scores(deltas: DataFrame, findings: DataFrame) -> DataFrame:
-    """Score and lifecycle of the scan after each change; state per scan is two sums."""
-    totals = open_totals(findings).withColumnRenamed("scan_id", "_scan")
-    joined = deltas.join(totals, F.col("scan_id") == F.col("_scan"), "left").drop("_scan")
-    filled = joined.withColumns({
-        c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("start_weight", "start_critical")})
-    summed = filled.groupBy("scan_id").applyInPandasWithState(
-        _sums, _SUMS, "weight BIGINT, critical BIGINT", "append", GroupStateTimeout.NoTimeout)
-    return scored(summed)
+from seclake.operators.lifecycle import open_totals, replay_from
+from seclake.operators.ordered import ROWS_PER_PIECE
+from seclake.session import spread
+from seclake.streaming.feed import finish
+from seclake.streaming.state_table import StateTable
 
 
 def run_live_scores(
-    spark: SparkSession, changes: DataFrame, findings: DataFrame, folder: str, timeout: int = 3600
+    changes: DataFrame, findings: DataFrame, folder: str, limit: int = ROWS_PER_PIECE,
+    timeout: int = 3600,
 ) -> DataFrame:
-    """Take both streams to their end; the scored changes as a table.
-
-    The second stream takes all the first has written since its last run, since part of a
-    micro-batch would be out of order. Run it as changes arrive; a long backlog is better
-    replayed with ``replay_status_changes``, which also spreads a large scan over tasks.
+    """Score and lifecycle of the scan after each arriving status change; all of them so far.
+
+    ``findings`` (vuln_id, scan_id, severity, status) is read once, when the stream first
+    starts. Two tables go from micro-batch to micro-batch: the last status of each finding and
+    two sums per scan; a micro-batch reads the buckets its keys lie in. It is one run
+    of the batch operator, so a scan with more than ``limit`` of its changes is cut into
+    pieces and no worker holds more than a piece. The source's own options bound a
+    micro-batch. Changes must arrive in time order from one micro-batch to the next; inside one
+    they may come in any order. A change of an unknown finding is left out. A repeated
+    micro-batch replaces its own part.
     """
-    run_to_end(change_deltas(changes, findings), f"{folder}/deltas", f"{folder}/state-deltas",
-               timeout=timeout)
-    deltas = spark.readStream.schema(_DELTA).parquet(f"{folder}/deltas")
-    run_to_end(live_scores(deltas, findings), f"{folder}/scores", f"{folder}/state-scores",
-               timeout=timeout)
-    return spark.read.parquet(f"{folder}/scores")
+    spark = changes.sparkSession
+    first = findings.select("scan_id", "vuln_id", "status")
+    statuses = StateTable(spark, f"{folder}/statuses", ["scan_id", "vuln_id"], first.schema)
+    statuses.start(first)
+    sums = open_totals(findings)
+    totals = StateTable(spark, f"{folder}/totals", ["scan_id"], sums.schema)
+    totals.start(sums)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        new = spread(batch).persist()
+        out = f"{folder}/scores/batch={batch_id}"
+        replay_from(new, statuses.rows_for(batch_id, new), totals.rows_for(batch_id, new),
+                    limit).write.mode("overwrite").parquet(out)
+        done = spark.read.parquet(out)
+        at = F.struct("timestamp", "id")
+        statuses.put(batch_id, done.groupBy("scan_id", "vuln_id").agg(
+            F.max_by("status", at).alias("status")))
+        totals.put(batch_id, done.groupBy("scan_id").agg(F.max_by(F.struct(
+            F.col("open_weight").alias("start_weight"), F.col("open_critical").alias("start_critical")),
+            at).alias("last")).select("scan_id", "last.*"))
+        new.unpersist()
+
+    finish(changes.writeStream.foreachBatch(step).option(
+        "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(), timeout)
+    return spark.read.parquet(f"{folder}/scores").drop("batch")

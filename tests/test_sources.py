@@ -13,9 +13,9 @@ from seclake.plans.file_scan import scan_and_store
 from seclake.sources import tables
 from seclake.sources.tree import list_tree, read_tree, tree_total
 from seclake.streaming.arriving import scan_arriving
-from seclake.streaming.feed import run_to_end
-from seclake.streaming.lifecycle import lifecycle_stream
-from seclake.streaming.scores import change_deltas, run_live_scores
+from seclake.streaming.lifecycle import run_lifecycle_stream
+from seclake.streaming.scores import run_live_scores
+from seclake.streaming.state_table import StateTable
 
 def at():
     return F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
@@ -164,44 +164,63 @@ def _feed_in_turn(spark, paths, inbox, step):
         step()
 
 
-def test_lifecycle_over_several_batches(spark, sf, tmp_path):
+def _hot(rows, scan="1"):
+    """Half of all rows belong to one scan."""
+    return rows.withColumn("scan_id", F.when(F.col("id") % 2 == 0, scan).otherwise(F.col("scan_id")))
+
+
+@pytest.mark.parametrize("limit", [5_000_000, 40])
+def test_lifecycle_over_several_batches(spark, sf, tmp_path, limit):
     events = A.read(spark, sf, "events")
-    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
-    requests = A.transition_requests(spark, sf)
+    inbox, folder = str(tmp_path / "in"), str(tmp_path / "work")
+    requests = _hot(A.transition_requests(spark, sf))
     scans = _safe_scans(requests).filter("id <> '3'")
 
     def step():
         arriving = spark.readStream.schema(A.TABLES["events"]).parquet(inbox).selectExpr(
             *A._TRANSITION_REQUESTS)
-        run_to_end(lifecycle_stream(arriving, scans), out, str(tmp_path / "state"))
+        run_lifecycle_stream(_hot(arriving), scans, folder, limit)
 
     _feed_in_turn(spark, _log(events, str(tmp_path / "log")), inbox, step)
-    _same(spark.read.parquet(out), lifecycle.run_lifecycle(requests, scans))
+    _same(spark.read.parquet(f"{folder}/steps").drop("batch"), lifecycle.run_lifecycle(requests, scans))
 
 
-def test_live_scores_over_several_batches(spark, sf, tmp_path):
+@pytest.mark.parametrize("limit", [5_000_000, 40])
+def test_live_scores_over_several_batches(spark, sf, tmp_path, limit):
     events = A.read(spark, sf, "events")
     inbox, folder = str(tmp_path / "in"), str(tmp_path / "work")
-    changes = A.status_changes(spark, sf)
-    found = _starting(changes)
+    changes = _hot(A.status_changes(spark, sf))
+    found = _starting(changes).filter("vuln_id <> '5'")
 
     def step():
         arriving = spark.readStream.schema(A.TABLES["events"]).parquet(inbox).selectExpr(
             *A._STATUS_CHANGES)
-        run_live_scores(spark, arriving, found, folder)
+        run_live_scores(_hot(arriving), found, folder, limit)
 
     _feed_in_turn(spark, _log(events, str(tmp_path / "log")), inbox, step)
-    _same(spark.read.parquet(f"{folder}/scores"), lifecycle.replay_status_changes(changes, found))
-
-
-def test_unknown_findings_change_nothing(spark, sf, tmp_path):
-    changes = A.status_changes(spark, sf)
-    found = _starting(changes).filter("vuln_id <> '5'")
-    replayed = lifecycle.replay_status_changes(changes, found)
-    assert replayed.filter("vuln_id = '5'").count() == 0
-    arriving = A.stream(spark, sf, "events", A._STATUS_CHANGES)
-    run_to_end(change_deltas(arriving, found), str(tmp_path / "d"), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "d")).filter("vuln_id = '5'").count() == 0
+    scores = spark.read.parquet(f"{folder}/scores").drop("batch")
+    _same(scores, lifecycle.replay_status_changes(changes, found))
+    assert scores.filter("vuln_id = '5'").count() == 0
+
+
+def test_state_table_over_merges(spark, tmp_path):
+    """Any micro-batch finds the rows as of its start, also when it is repeated after a merge."""
+    first = spark.createDataFrame([(k, "start") for k in range(30)], "key long, value string")
+    table = StateTable(spark, str(tmp_path), ["key"], first.schema, buckets=4, merge_every=3)
+    table.start(first)
+    table.start(first.limit(0))  # a stream that goes on keeps what it has
+    now = {k: "start" for k in range(30)}
+    for batch in range(8):
+        asked = first.filter(F.col("key") % 5 == batch % 5).select("key")
+        for _ in range(2):
+            got = {r.key: r.value for r in table.rows_for(batch, asked).collect()}
+            assert got == {k: v for k, v in now.items() if k % 5 == batch % 5}
+            table.put(batch, asked.filter("key <> 7").withColumn("value", F.lit(f"b{batch}")))
+        now.update({k: f"b{batch}" for k in now if k % 5 == batch % 5 and k != 7})
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert [n for n in names if n.startswith("whole")] == ["whole-3", "whole-6"]
+    plan = table.rows_for(8, first.filter("key = 1"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
 def test_arriving_files_once(spark, tmp_path):
