@@ -6,6 +6,8 @@ from the same rows. ``spark_*`` builds the DataFrame, ``SQL`` holds the query te
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seclake.functions.texts import language_by_path
@@ -269,3 +271,18 @@ def source_files(spark, sf):
 
 def secure_files(spark, sf):
     return with_plants(spread(read(spark, sf, "documents"), "doc_id"), "miss")
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each text to its path below root, by tasks."""
+    def run(batches):
+        from pyarrow import fs
+        for batch in batches:
+            for path, text in zip(batch["file_path"], batch["text"]):
+                system, inside = fs.FileSystem.from_uri(f"{root}/{path}")
+                system.create_dir(os.path.dirname(inside))
+                with system.open_output_stream(inside) as out:
+                    out.write((text or "").encode())
+            yield batch[["file_path"]].iloc[:0]
+
+    files.select("file_path", "text").mapInPandas(run, "file_path STRING").count()

@@ -14,9 +14,9 @@ from seclake.plans.file_scan import scan_and_store
 from seclake.plans.repo_scan import scan_repositories_and_store
 from seclake.session import new_folder, spread
 from seclake.sources.tables import read_table
-from seclake.sources.tree import list_tree, read_tree
-from seclake.streaming.arriving import scan_arriving
-from seclake.fixed_values import RULES, Rule
+from seclake.sources.tree import list_tree, read_tree, tree_total
+from seclake.streaming.arriving import scan_arriving, scan_growing_tree
+from seclake.fixed_values import LANGUAGE_SNIFF_CHARS, RULES, Rule
 from seclake.schemas import RULES as RULE_SCHEMA
 
 _HIT = "file_path, line_number, vuln_id, line_content, category, description, cwe_id, " \
@@ -184,6 +184,22 @@ def s2(spark, sf):
     return files.rollup("folder").agg(F.sum("length").alias("bytes"))
 
 
+@query("s2_flat_folder", """
+WITH files AS (SELECT CAST(doc_id AS VARCHAR) || '.txt' AS relative_path,
+    CAST(strlen(coalesce(text, '')) AS BIGINT) AS length FROM documents)
+SELECT relative_path, length, 1 AS files FROM files
+UNION ALL SELECT NULL, CAST(sum(length) AS BIGINT), count(*) FROM files""")
+def s2_flat(spark, sf):
+    """One folder with a file per document, listed in parts, and its total."""
+    root = new_folder(spark, "flat")
+    A.write_files(A.read(spark, sf, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), "text"), root)
+    files = list_tree(spark, root, names_per_task=100)
+    return files.select("relative_path", "length", F.lit(1).cast("bigint").alias("files")).unionByName(
+        tree_total(files).select(
+            F.lit(None).cast("string").alias("relative_path"), F.col("bytes").alias("length"), "files"))
+
+
 _STORED = SCAN + f""",
 per_file AS (
     SELECT s.file_path, s.language,
@@ -251,6 +267,32 @@ def t3(spark, sf):
     return _stored(spark, folder)
 
 
+_RUN = ("CASE WHEN CAST(regexp_extract(file_path, 'f([0-9]+)[.]', 1) AS BIGINT) % 2 = 0 "
+        "THEN 'batch-0' ELSE 'batch-1' END")
+_HEAD = f"substr(trim(text, {WS}), 1, {LANGUAGE_SNIFF_CHARS})"
+_GROWING = _STORED.replace("'first'", _RUN).replace(
+    f"({A.SQL['source_files']})", f"""(
+    SELECT * REPLACE (regexp_replace(file_path, '/f', CASE WHEN doc_id % 3 = 0 THEN '/.f' ELSE '/f' END)
+            AS file_path,
+        CASE WHEN contains({_HEAD}, '#include') OR contains({_HEAD}, 'int main(') THEN 'cpp'
+            WHEN contains({_HEAD}, 'const ') OR contains({_HEAD}, 'let ') THEN 'javascript'
+            ELSE 'python' END AS language)
+    FROM ({A.SQL['source_files']})
+    WHERE suffix(file_path, '.py') OR suffix(file_path, '.js') OR suffix(file_path, '.cpp'))""", 1)
+
+
+@query("t3_growing_tree", _GROWING)
+def t3_tree(spark, sf):
+    """A tree with hidden names that grows between two runs; languages told from the content."""
+    folder, root = new_folder(spark, "scanned"), new_folder(spark, "growing")
+    files = A.source_files(spark, sf).withColumn("file_path", F.when(
+        F.col("doc_id") % 3 == 0, F.regexp_replace("file_path", "/f", "/.f")).otherwise(F.col("file_path")))
+    for half in (0, 1):
+        A.write_files(files.filter(F.col("doc_id") % 2 == half), root)
+        scan_growing_tree(spark, root, folder, f"{folder}-state", _at(), lists_per_trigger=10_000)
+    return _stored(spark, folder)
+
+
 _SUPPORTED = "suffix(file_path, '.py') OR suffix(file_path, '.js') OR suffix(file_path, '.cpp')"
 
 

@@ -2,65 +2,106 @@
 
 from __future__ import annotations
 
+import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seclake.fixed_values import SCANNED_EXTENSIONS
 from seclake.session import cut
 
-_LISTED = "path STRING, is_folder BOOLEAN, length BIGINT"
+_LISTED = (
+    "path STRING, is_folder BOOLEAN, length BIGINT, modified BIGINT, part INT, parts INT")
+_COLUMNS = ["path", "is_folder", "length", "modified", "part", "parts"]
+_ROWS = 5_000
+NAMES_PER_TASK = 10_000
+BYTES_PER_TASK = 128 << 20
 _READ_BYTES = 32 * 1024 * 1024
 
 
-def _list_folders(batches: Iterator[pd.DataFrame]):
+def _file_system(folder: str):
+    """File system, path inside it, and what comes before that path."""
     from pyarrow import fs
-    for batch in batches:
-        for folder in batch["path"]:
-            system, inside = fs.FileSystem.from_uri(folder)
-            prefix = folder[: len(folder) - len(inside)]
-            entries = system.get_file_info(fs.FileSelector(inside))
-            yield pd.DataFrame({
-                "path": [prefix + e.path for e in entries],
-                "is_folder": [e.type == fs.FileType.Directory for e in entries],
-                "length": [e.size for e in entries],
-            }).astype({"path": "object", "is_folder": "bool", "length": "Int64"})
+    system, inside = fs.FileSystem.from_uri(folder)
+    return system, inside, folder[: len(folder) - len(inside)]
 
 
-def _plain_root(root: str) -> str:
-    return re.sub(r"^file:/+", "/", root).rstrip("/")
+def _names(folder: str) -> Iterator[str]:
+    """Names in a folder, one by one where the file system allows it."""
+    from pyarrow import fs
+    system, inside, _ = _file_system(folder)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(inside) as entries:
+            for entry in entries:
+                yield entry.name
+    else:
+        for entry in system.get_file_info(fs.FileSelector(inside)):
+            yield entry.base_name
+
 
+def _list_folders(names_per_task: int):
+    """List folders, or one part of the names of a large one.
 
-def _plain_path(path: Column) -> Column:
-    """Path as its folder lists it; Spark hands it out URL-encoded, but leaves ``+`` alone."""
-    return F.url_decode(F.replace(
-        F.regexp_replace(path, r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    A folder with more names than a task should look up is handed back in parts.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        def frame(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=_COLUMNS).astype({
+                "path": "object", "is_folder": "bool", "length": "Int64", "modified": "Int64",
+                "part": "int32", "parts": "int32"})
+
+        for batch in batches:
+            for folder, part, parts in zip(batch["path"], batch["part"], batch["parts"]):
+                if parts == 1:
+                    parts = -(-sum(1 for _ in _names(folder)) // names_per_task)
+                    if parts > 1:
+                        yield frame([(folder, True, None, None, k, parts) for k in range(parts)])
+                        continue
+                system, inside, prefix = _file_system(folder)
+                own = [f"{inside.rstrip('/')}/{name}" for name in _names(folder)
+                       if parts < 2 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % parts == part]
+                for lo in range(0, len(own), _ROWS):
+                    yield frame([
+                        (prefix + e.path, e.type == fs.FileType.Directory, e.size, e.mtime_ns, 0, 1)
+                        for e in system.get_file_info(own[lo:lo + _ROWS])
+                        if e.type != fs.FileType.NotFound])
+
+    return run
+
+
+def _plain_root(root: str) -> str:
+    return re.sub(r"^file:/+", "/", root).rstrip("/")
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: path, path relative to root, length.
+def list_tree(spark: SparkSession, root: str, names_per_task: int = NAMES_PER_TASK) -> DataFrame:
+    """Every file below ``root``: path, path relative to root, length, time of change.
 
-    Folders are listed by tasks, one level of the tree at a time. Unlike Spark's own
-    listing this also sees names that start with ``_`` or ``.``, such as ``__init__.py``.
+    Folders are listed by tasks, one level of the tree at a time; a folder with more than
+    ``names_per_task`` names is divided by a hash of the name, and each part looked up by
+    a task of its own. Unlike Spark's own listing this also sees names that start with ``_`` or
+    ``.``, such as ``__init__.py``. A file that goes while it runs may be left out.
     """
     root = _plain_root(root)
-    level = spark.createDataFrame([(root,)], "path STRING")
+    level = spark.createDataFrame([(root, 0, 1)], "path STRING, part INT, parts INT")
     levels = []
     while True:
-        listed = cut(level.mapInPandas(_list_folders, _LISTED))
+        listed = cut(level.mapInPandas(_list_folders(names_per_task), _LISTED))
         levels.append(listed.filter("not is_folder"))
-        folders = listed.filter("is_folder").select("path")
+        folders = listed.filter("is_folder").select("path", "part", "parts")
         if folders.limit(1).count() == 0:
             break
         tasks = max(listed.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-        level = folders.repartition(tasks, "path")
+        level = folders.repartition(tasks, "path", "part")
     files = reduce(DataFrame.unionByName, levels)
     return files.select(
         "path", F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("relative_path"),
-        "length")
+        "length", "modified")
 
 
 def tree_total(files: DataFrame) -> DataFrame:
@@ -69,22 +110,38 @@ def tree_total(files: DataFrame) -> DataFrame:
         F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
-def _read_whole(batches: Iterator[pd.DataFrame]):
-    from pyarrow import fs
-    paths, texts, held = [], [], 0
+def _read_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, texts, held = [], [], 0
     for batch in batches:
-        for path in batch["path"]:
-            system, inside = fs.FileSystem.from_uri(path)
+        for path, name in zip(batch["path"], batch["relative_path"]):
+            system, inside, _ = _file_system(path)
             with system.open_input_stream(inside) as stream:
                 text = stream.read().decode("utf-8", errors="replace")
-            paths.append(path)
+            names.append(name)
             texts.append(text)
             held += len(text)
             if held > _READ_BYTES:
-                yield pd.DataFrame({"path": paths, "text": texts})
-                paths, texts, held = [], [], 0
-    if paths:
-        yield pd.DataFrame({"path": paths, "text": texts})
+                yield pd.DataFrame({"file_path": names, "text": texts})
+                names, texts, held = [], [], 0
+    if names:
+        yield pd.DataFrame({"file_path": names, "text": texts})
+
+
+def read_files(files: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
+    """Relative path (as file_path) and whole text of listed files.
+
+    Tasks get about as many bytes each; their number follows from the bytes in the list.
+    """
+    total, n = files.agg(F.coalesce(F.sum(F.col("length") + 4096), F.lit(0)), F.count("*")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(cores, -(-total // bytes_per_task))))
+    return files.select("path", "relative_path").repartition(
+        tasks, F.xxhash64("path")).mapInPandas(_read_whole, "file_path STRING, text STRING")
+
+
+def with_suffix(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    return files.filter(reduce(
+        lambda a, b: a | b, [F.col("relative_path").endswith(s) for s in suffixes]))
 
 
 def read_tree(
@@ -92,23 +149,6 @@ def read_tree(
 ) -> DataFrame:
     """Files below ``root`` with one of the suffixes: file_path and whole text.
 
-    Spark's text source reads them, except those it never shows because they, or a folder
-    above them, start with ``_`` or ``.``; these are read by tasks.
+    Tasks list the tree and tasks read it; the driver holds no list of files.
     """
-    root = _plain_root(root)
-    names = ",".join(s.lstrip(".") for s in suffixes)
-    seen = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + names + "}")
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .select(_plain_path(F.col("path")).alias("path"), "text")
-    )
-    ends = reduce(lambda a, b: a | b, [F.col("path").endswith(s) for s in suffixes])
-    unseen = list_tree(spark, root).filter(F.col("relative_path").rlike(r"(^|/)[_.]") & ends)
-    hidden = unseen.select("path").repartition(
-        spark.sparkContext.defaultParallelism, "path").mapInPandas(
-        _read_whole, "path STRING, text STRING")
-    both = seen.unionByName(hidden)
-    return both.select(
-        F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("file_path"), "text")
+    return read_files(with_suffix(list_tree(spark, root), suffixes))

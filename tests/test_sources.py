@@ -12,7 +12,7 @@ from seclake.operators import answers, lifecycle
 from seclake.plans.file_scan import scan_and_store
 from seclake.sources import tables
 from seclake.sources.tree import list_tree, read_tree, tree_total
-from seclake.streaming.arriving import scan_arriving
+from seclake.streaming.arriving import scan_arriving, scan_growing_tree
 from seclake.streaming.lifecycle import run_lifecycle_stream
 from seclake.streaming.scores import run_live_scores
 from seclake.streaming.state_table import StateTable
@@ -234,3 +234,47 @@ def test_arriving_files_once(spark, tmp_path):
     scans = tables.read_table(spark, str(tmp_path / "out"), "scans")
     assert sorted((r.file_path, r.language, r.risk_score) for r in scans.collect()) == [
         ("f0.py", "python", 65), ("f1.py", "python", 65)]
+
+
+def test_large_flat_folder_is_listed_in_parts(spark, tmp_path):
+    root = tmp_path / "flat"
+    (root / "sub").mkdir(parents=True)
+    for i in range(20_000):
+        (root / f"{i}.py").write_bytes(b"x" * (i % 7))
+    (root / "sub" / "_one.py").write_bytes(b"1234")
+    files = list_tree(spark, str(root), names_per_task=1_000)
+    got = {r.relative_path: r.length for r in files.collect()}
+    assert got == {**{f"{i}.py": i % 7 for i in range(20_000)}, "sub/_one.py": 4}
+    total = tree_total(files).first()
+    assert (total.files, total.bytes) == (20_001, sum(got.values()))
+
+
+def test_tree_that_grows_and_changes(spark, tmp_path):
+    root, out, state = tmp_path / "tree", str(tmp_path / "out"), str(tmp_path / "state")
+
+    def put(name, text):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+    def step():
+        scan_growing_tree(spark, str(root), out, state, at(), files_per_list=2, lists_per_trigger=1)
+        return sorted((r.file_path, r.language, r.risk_score) for r in tables.read_table(
+            spark, out, "scans").collect())
+
+    put("a.py", "eval(x)\n")
+    put(".hidden/_b.py", "eval(y)\n")
+    put("c.txt", "eval(z)\n")
+    first = [(".hidden/_b.py", "python", 65), ("a.py", "python", 65)]
+    assert step() == first
+    assert step() == first  # nothing new
+    put("deep/er/d.js", "const a = 1;\n")
+    for i in range(5):
+        put(f"many/{i}.cpp", "#include <x>\n")
+    put("a.py", "x = 1\n")  # a new version is a new scan
+    more = first + [("a.py", "python", 0), ("deep/er/d.js", "javascript", 0)] + [
+        (f"many/{i}.cpp", "cpp", 0) for i in range(5)]
+    assert step() == sorted(more)
+    batches = tables.read_table(spark, out, "scans").select("created_at").count()
+    assert batches == len(more)
+    lists = spark.read.parquet(f"{state}/lists")
+    assert lists.count() == len(more)
