@@ -7,10 +7,10 @@ when it holds a word that some rule needs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seclake.fixed_values import (
     ASSERT_RULE,
@@ -25,6 +25,7 @@ from seclake.fixed_values import (
     WHITESPACE,
 )
 from seclake.functions.lookup import quoted
+from seclake.functions.patterns import needed_words
 from seclake.functions.texts import lines_text, split_lines, strip
 from seclake.schemas import RULES as RULE_SCHEMA
 
@@ -34,45 +35,27 @@ MAX_LITERAL_RULES = 2000
 _FLAGS = "(?iU)"
 _HIT = "struct<vuln_id:string,line_number:int,line_content:string,context_lines:array<string>>"
 
-# Words, in lower case, of which a line must hold one before the rule can match it.
-# Looking for a word costs a fraction of a regular expression; the pattern decides.
-NEEDED_WORDS = {
-    "SQL-001": ["execute"],
-    "SQL-002": ["execute"],
-    "CMD-001": ["os.system", "subprocess."],
-    "CMD-002": ["eval"],
-    "SEC-001": ["passw", "pwd", "secret", "api_key", "apikey", "token"],
-    "CRYPTO-001": ["md5", "sha1"],
-    "CRYPTO-002": ["hashlib."],
-    "DESER-001": ["pickle.load"],
-    "DESER-002": ["yaml.load"],
-    "PATH-001": ["open"],
-    "XSS-001": ["render"],
-    "RAND-001": ["random."],
-    "DBG-001": ["debug"],
-    "SSRF-001": ["requests."],
-    "XXE-001": ["etree."],
-    "JS-SQL-001": ["${"],
-    "JS-XSS-001": ["innerhtml"],
-    "JS-EVAL-001": ["eval"],
-    "JS-SEC-001": ["password", "secret", "apikey", "api_key", "token"],
-    "JS-PROTO-001": ["__proto__", "prototype["],
-    "PHP-SQL-001": ["mysql_query"],
-    "PHP-XSS-001": ["echo"],
-    "PHP-CMD-001": ["system", "exec", "passthru"],
-    "JAVA-SQL-001": ["createquery"],
-    "JAVA-XXE-001": ["documentbuilderfactory.newinstance"],
-    "JAVA-DESER-001": ["objectinputstream"],
-}
 # Letters that equal an ASCII letter when case is ignored, and that letter. Lower-casing
 # alone would not turn all of them into it.
 _ODD_LETTERS = "\u017f\u0131\u0130\u212a"
 _PLAIN_LETTERS = "siik"
 
+# One pass over Python text: strings become their first quote, comments go, lines that a
+# backslash continues are joined. Every line starts with its number between _MARK and _AFTER.
+_MARK, _AFTER = "\x01", "\x02"
+_NUMBER = _MARK + r"\d++" + _AFTER
+_LONG = r'QQQ[^Q\\]*+(?:(?:\\.|Q{1,2}(?!Q))[^Q\\]*+)*+(?:QQQ|\z)'
+_SHORT = r'Q[^Q\\\n]*+(?:\\.[^Q\\\n]*+)*+Q?'
+_LEXEME = (
+    "(?s)(?=([\"']))(?:" + "|".join(p.replace("Q", q) for p in (_LONG, _SHORT) for q in "\"'")
+    + r")|#[^\n]*+|\\\n(" + _NUMBER + ")")
+# Brackets with none inside, and the number of the last line in them.
+_BRACKETS = r"[(\[{](?:[^()\[\]{}]*(" + _NUMBER + r"))?[^()\[\]{}]*+[)\]}]"
+# What comes before the first statement of a line that may hold several.
+_HEAD = (r"^((?:async\s+)?(?:if|elif|else|for|while|try|except|finally|with|def|class|match|case)\b"
+         r"(?:lambda\b[^:]*+:|:=|[^:])*?:(?!=))")
 _ASSERT = r"^assert\b"
-_BARE_EXCEPT = r"^except\s*:\s*(#.*)?$"
-_BARE_EXCEPT_PASS = r"^except\s*:\s*pass\s*(#.*)?$"
-_PASS = r"^pass\s*(#.*)?$"
+_BARE_EXCEPT = r"^except\s*:$"
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -103,10 +86,14 @@ def _by_language(rules: Sequence[Rule], of_rules, otherwise: str) -> str:
 
 
 def _may_match(rules: Sequence[Rule], lowered: str) -> str:
-    """False only when no rule can match the text; a rule without words may always match."""
-    if any(r.vuln_id not in NEEDED_WORDS or r not in RULES for r in rules):
+    """False only when no rule can match the text; a rule without words may always match.
+
+    Looking for a word costs a fraction of a regular expression; the pattern decides.
+    """
+    needed = [needed_words(r.pattern) for r in rules]
+    if None in needed:
         return "true"
-    words = dict.fromkeys(w for r in rules for w in NEEDED_WORDS[r.vuln_id])
+    words = dict.fromkeys(word for of_rule in needed for word in of_rule)
     return "(" + " OR ".join(f"contains({lowered}, {quoted(w)})" for w in words) + ")"
 
 
@@ -138,40 +125,81 @@ def _pattern_hits(rules: Sequence[Rule], width: int) -> str:
         f"THEN transform({_hit_ids(rules)}, id -> {hit}) END), 1))))")
 
 
+def _bound(value: str, name: str, result: str) -> str:
+    """SQL text that works out ``value`` once and uses it as ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {result}), 1)"
+
+
+def _statement_lines() -> str:
+    """Lines of statements of ``_lines``: number, indent, and the statements on the line.
+
+    Strings, comments and what stands in brackets are blanked first, so a line is one that
+    Python sees. A statement behind ``if x:`` or ``;`` is one of its line's; the first item
+    is what comes before a colon, if anything does.
+    """
+    marked = (
+        "array_join(transform(_lines, (line, at) -> concat('\n', "
+        f"{quoted(_MARK)}, cast(at + 1 AS string), {quoted(_AFTER)}, "
+        f"translate(line, {quoted(_MARK + _AFTER)}, '  '))), '')")
+    lexed = f"regexp_replace({marked}, {quoted(_LEXEME)}, '$1$2')"
+    deepest = (
+        r"aggregate(split(regexp_replace(t, '[^()\\[\\]{}]++', ''), ''), "
+        "named_struct('now', 0, 'most', 0), (s, c) -> "
+        + _bound("CASE WHEN c IN ('(', '[', '{') THEN s.now + 1 WHEN c = '' THEN s.now "
+                 "ELSE greatest(s.now - 1, 0) END", "n",
+                 "named_struct('now', n, 'most', greatest(s.most, n))") + ", s -> s.most)")
+    flat = _bound(lexed, "t", _bound(
+        deepest, "d", "CASE WHEN d = 0 THEN t ELSE aggregate(sequence(1, d), t, (u, k) -> "
+        f"regexp_replace(u, {quoted(_BRACKETS)}, '~$1')) END"))
+    first, numbers = quoted("^" + _NUMBER), quoted(_NUMBER)
+    rest = f"regexp_replace(l, {first}, '')"
+    bare = f"btrim(regexp_replace(l, {numbers}, ''), {quoted(WHITESPACE)})"
+    rows = (
+        f"transform(filter(split({flat}, '\n'), l -> {bare} <> ''), l -> named_struct("
+        f"'n', cast(substring_index(substr(l, 2), {quoted(_AFTER)}, 1) AS int), "
+        f"'indent', length({rest}) - length(ltrim({quoted(WHITESPACE)}, {rest})), "
+        f"'parts', split(regexp_replace(btrim({rest}, {quoted(WHITESPACE)}), "
+        f"{quoted(_HEAD)}, '$1;'), ';')))")
+    return rows
+
+
 def _structural_hits() -> str:
     """Asserts, and bare excepts whose only statement is ``pass``.
 
-    Works on the sequence of lines that hold a statement. It does not parse: text inside
-    a multi-line string can look like a statement.
+    Works on the lines of statements in native functions. Files that Python could not parse
+    are judged as far as their lines go.
     """
-    space = quoted(WHITESPACE)
-    statements = (
-        "filter(transform(_lines, (line, at) -> named_struct('n', at + 1, "
-        f"'code', btrim(line, {space}), "
-        f"'indent', length(line) - length(ltrim({space}, line)))), "
-        "s -> s.code <> '' AND NOT startswith(s.code, '#'))")
+    numbers = quoted(_NUMBER)
+
+    def plain(part: str) -> str:
+        return f"btrim(regexp_replace({part}, {numbers}, ''), {quoted(WHITESPACE)})"
+
+    # A statement behind brackets that end on a later line stands on that line.
+    behind = f"regexp_extract(array_join(slice(s.parts, 1, k), ''), {quoted('(?s).*' + _MARK + r'(\d++)' + _AFTER)}, 1)"
+    asserts = (
+        "flatten(transform(filter(all_s, s -> exists(s.parts, p -> contains(p, 'assert'))), s -> "
+        "transform(filter(sequence(0, size(s.parts) - 1), "
+        f"k -> {plain('get(s.parts, k)')} RLIKE {quoted(_ASSERT)}), "
+        f"k -> coalesce(try_cast(CASE WHEN k > 0 THEN {behind} END AS int), s.n))))")
+    said = f"filter(transform(s.parts, p -> {plain('p')}), p -> p <> '')"
+    body = said.replace("s.parts", "get(all_s, at + 1).parts")
     only_pass = (
-        f"get(all_s, at + 1).code RLIKE {quoted(_PASS)} "
-        "AND get(all_s, at + 1).indent > s.indent "
+        f"{body} = array('pass') AND get(all_s, at + 1).indent > s.indent "
         "AND (get(all_s, at + 2) IS NULL OR get(all_s, at + 2).indent < get(all_s, at + 1).indent)")
     silent = (
-        "filter(all_s, (s, at) -> startswith(s.code, 'except') AND "
-        f"(s.code RLIKE {quoted(_BARE_EXCEPT_PASS)} OR "
-        f"(s.code RLIKE {quoted(_BARE_EXCEPT)} AND coalesce({only_pass}, false))))")
-    asserts = (
-        "filter(all_s, s -> startswith(s.code, 'assert') AND "
-        f"s.code RLIKE {quoted(_ASSERT)})")
+        "transform(filter(all_s, (s, at) -> "
+        f"{plain('get(s.parts, 0)')} RLIKE {quoted(_BARE_EXCEPT)} AND "
+        f"(slice({said}, 2, 2) = array('pass') OR (size({said}) = 1 AND coalesce({only_pass}, false)))), "
+        "s -> s.n)")
 
     def as_hits(found: str, rule: Rule) -> str:
         return (
-            f"transform({found}, s -> named_struct('vuln_id', {quoted(rule.vuln_id)}, "
-            "'line_number', s.n, 'line_content', s.code, "
+            f"transform(array_distinct({found}), n -> named_struct('vuln_id', {quoted(rule.vuln_id)}, "
+            f"'line_number', n, 'line_content', btrim(get(_lines, n - 1), {quoted(WHITESPACE)}), "
             "'context_lines', cast(array() as array<string>)))")
 
-    # The statement list is bound once by a one-element transform.
-    return (
-        f"flatten(transform(array({statements}), all_s -> "
-        f"concat({as_hits(asserts, ASSERT_RULE)}, {as_hits(silent, SILENT_EXCEPT_RULE)})))")
+    return _bound(_statement_lines(), "all_s",
+                  f"concat({as_hits(asserts, ASSERT_RULE)}, {as_hits(silent, SILENT_EXCEPT_RULE)})")
 
 
 def scan_files(
@@ -233,15 +261,17 @@ def findings_of(scanned: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def check_rules(rules: Sequence[Rule]) -> None:
-    """Ids must be unique and patterns must compile."""
-    seen = set()
+    """Ids must be unique and patterns must compile in the engine that runs them."""
+    seen, spark = set(), SparkSession.active()
     for rule in rules:
         if rule.vuln_id in seen:
             raise ValueError(f"rule id {rule.vuln_id} is not unique")
         seen.add(rule.vuln_id)
+        if rule in RULES:
+            continue
         try:
-            re.compile(rule.pattern)
-        except re.error as problem:
+            spark._jvm.java.util.regex.Pattern.compile(_FLAGS + rule.pattern)
+        except IllegalArgumentException as problem:
             raise ValueError(f"pattern of rule {rule.vuln_id}: {problem}") from problem
 
 

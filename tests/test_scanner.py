@@ -5,6 +5,7 @@ import re
 import pytest
 from checks.adapters import PLANTS
 from seclake.fixed_values import RULES, Rule
+from seclake.functions.patterns import needed_words
 from seclake.functions.texts import split_lines
 from seclake.operators import risk, scanning
 from seclake.schemas import RULES as RULE_SCHEMA
@@ -36,7 +37,7 @@ def test_each_plant_hits_and_its_twin_misses(spark):
 
 def test_words_are_needed(spark):
     """A text that matches a pattern holds one of the rule's words."""
-    assert set(scanning.NEEDED_WORDS) == {r.vuln_id for r in RULES}
+    assert all(needed_words(r.pattern) for r in RULES)
     by_id = {rule: hit for _, _, rule, hit, _ in PLANTS}
     more = {
         "SEC-001": ["PASSWD = 'aaaa'", "pwd='aaaa'", "secret= 'aaaa'", "API_KEY='aaaa'", "apikey='aaaa'",
@@ -51,7 +52,7 @@ def test_words_are_needed(spark):
         for text in [by_id[rule.vuln_id], *more.get(rule.vuln_id, [])]:
             for form in (text, text.upper() if rule.vuln_id not in ("JS-SQL-001",) else text):
                 if re.search(rule.pattern, form, re.IGNORECASE):
-                    assert any(w in form.lower() for w in scanning.NEEDED_WORDS[rule.vuln_id])
+                    assert any(w in form.lower() for w in needed_words(rule.pattern))
 
 
 def test_same_hits_as_plain_regular_expressions(spark):
@@ -112,6 +113,80 @@ def test_structural_checks(spark, text, want):
     assert found(spark, ("f", text, "javascript")) == []
 
 
+QQQ = '"' * 3
+
+
+@pytest.mark.parametrize("text, want", [
+    (f"def f():\n    {QQQ}Says:\n    assert x\n    {QQQ}\n    return 1", []),
+    ("x = '''\nassert a\nit's\n'''\nassert b", [("PY-AST-001", 5)]),
+    ("if x: assert y", [("PY-AST-001", 1)]),
+    ("a = 1; assert z", [("PY-AST-001", 1)]),
+    ("a = f(\n  1); assert z", [("PY-AST-001", 2)]),
+    ("assert (a and\n  # assert no\n  b), 'assert c'", [("PY-AST-001", 1)]),
+    ("a = b + \\\n    c; assert d", [("PY-AST-001", 2)]),
+    ("d = {'k': [1, (2,\n 3)],\n 'assert': 4}\nassert d", [("PY-AST-001", 4)]),
+    ("for a in b[1:2]: x = 1; assert a; assert b", [("PY-AST-001", 1)]),
+    ("while (y := f(lambda: 1)): assert y", [("PY-AST-001", 1)]),
+    ("x = 'a # b'; assert x", [("PY-AST-001", 1)]),
+    ("s = r'\\\\'; assert s", [("PY-AST-001", 1)]),
+    ("s = 'it\\'s'; assert s", [("PY-AST-001", 1)]),
+    ("assert_that(x)\nobj.assert_(y)\nmy_assert = 1", []),
+    ("try: f()\nexcept: pass; pass", []),
+    ("try: f()\nexcept: pass;", [("PY-AST-002", 2)]),
+    (f"try:\n  f()\nexcept:\n  {QQQ}why{QQQ}\n  pass", []),
+    (f"s = {QQQ}\ntry: f()\nexcept: pass\n{QQQ}", []),
+    ("try:\n  f(\n1)\nexcept :\n  pass\nelse:\n  g()", [("PY-AST-002", 4)]),
+    ("try:\n  f()\nexcept:\n  if x:\n    pass", []),
+])
+def test_statements_as_python_sees_them(spark, text, want):
+    import ast
+    tree = list(ast.walk(ast.parse(text)))  # the expectation itself is checked by Python's parser
+    lines = sorted({n.lineno for n in tree if isinstance(n, ast.Assert)})
+    silent = sorted(n.lineno for n in tree if isinstance(n, ast.ExceptHandler) and n.type is None
+                    and len(n.body) == 1 and isinstance(n.body[0], ast.Pass))
+    assert want == [("PY-AST-001", n) for n in lines] + [("PY-AST-002", n) for n in silent]
+    assert [(r, n) for _, r, n in found(spark, ("f", text, "python")) if r.startswith("PY-AST")] == want
+
+
+def test_statements_of_a_whole_library(spark):
+    import ast
+    import glob
+    import sysconfig
+    texts = {}
+    for path in sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py"))[:120]:
+        with open(path, encoding="utf-8", errors="replace") as file:
+            texts[path] = file.read()
+    rows = spark.createDataFrame(
+        [(p, t, "python") for p, t in texts.items()], "file_path STRING, text STRING, language STRING")
+    got = {(r.file_path, r.vuln_id, r.line_number) for r in scanning.findings_of(
+        scanning.scan_files(rows, [])).collect()}
+    want = set()
+    for path, text in texts.items():
+        for n in ast.walk(ast.parse(text)):
+            if isinstance(n, ast.Assert):
+                want.add((path, "PY-AST-001", n.lineno))
+            if isinstance(n, ast.ExceptHandler) and n.type is None and len(n.body) == 1 \
+                    and isinstance(n.body[0], ast.Pass):
+                want.add((path, "PY-AST-002", n.lineno))
+    assert got == want and len(want) > 50
+
+
+def test_needed_words(spark):
+    assert all(needed_words(r.pattern) for r in RULES)
+    assert needed_words(r"\bexec(ute)?\s*\(") == ("exec",)
+    assert needed_words(r"(?:system|exec)\s*\(.*\$") == ("system", "exec")
+    assert needed_words(r"a{0,2}x?") is None and needed_words(r"(foo|[a-z]+)") is None
+    assert needed_words(r"\p{Lu}abc") is None and needed_words("(") is None
+    rule = Rule("MY-1", "python", "Mine", r"[a-z]+_unsafe\(", "", "CWE-1", "N/A", "LOW", "Low")
+    loose = rule._replace(vuln_id="MY-2", pattern=r"^\w\W")
+    assert "contains(lowered, '_unsafe(')" in scanning._may_match([*RULES[:2], rule], "lowered")
+    text = "go_UNSAFE(x)\na=1\neval(b)\nmd5(c)"
+    with_both = found(spark, ("f", text, "python"), rules=[*RULES, rule, loose], structural=False)
+    alone = [x for r in (*RULES, rule, loose) if r.language == "python" for x in found(
+        spark, ("f", text, "python"), rules=[r], structural=False)]
+    assert sorted(with_both) == sorted(alone) and {"MY-1", "MY-2"} < {r for _, r, _ in with_both}
+
+
 def test_no_text_no_findings(spark):
     assert found(spark, ("a", "", "python"), ("b", None, "python"), ("c", "eval(x)", None)) == []
 
@@ -143,8 +218,10 @@ def test_bad_user_rules(spark):
     good = Rule("A", "python", "", "x", "", "", "", "", "Low")
     with pytest.raises(ValueError, match="not unique"):
         scanning.check_rules([good, good])
-    with pytest.raises(ValueError, match="pattern"):
-        scanning.check_rules([good._replace(pattern="(")])
+    for pattern in ("(", r"{\w+}", "a{,3}"):  # the last two compile in Python only
+        with pytest.raises(ValueError, match="pattern of rule A"):
+            scanning.check_rules([good._replace(pattern=pattern)])
+    scanning.check_rules([good._replace(pattern=r"\p{Lu}\h+")])  # in the engine only
     doubled = spark.createDataFrame([good, good], RULE_SCHEMA)
     with pytest.raises(ValueError, match="not unique"):
         scanning.join_rules(files(spark, ("f", "x", "python")), doubled)
