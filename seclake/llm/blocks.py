@@ -6,6 +6,7 @@ alone when it is longer), so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BLOCK_BYTES = 1 << 20
 _SEGMENT = 1 << 19
+_RELEASE_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -139,6 +141,32 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> I
         lo = hi
 
 
+def released(run):
+    """The same function of Arrow batches, which gives memory back to the system as it goes.
+
+    Workers live on from task to task; what their allocators keep would add up over a job's stages.
+    """
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            trim = ctypes.CDLL(None).malloc_trim
+        except (AttributeError, OSError):  # another C library than glibc
+            trim = None
+        held = 0
+        for out in run(batches):
+            held += out.nbytes
+            yield out
+            if held > _RELEASE_BYTES:
+                held = 0
+                pa.default_memory_pool().release_unused()
+                if trim:
+                    trim(0)
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+    return tidy
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hand rows to Python in batches of bounded size: long texts make them shorter."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -176,7 +204,7 @@ def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
                 [*batch.columns[:-1], pa.array(small, pa.binary())], [*columns, "packed"])
 
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns]
-    return rows.select(*columns, "text").mapInArrow(run, ", ".join([*kinds, "packed binary"]))
+    return rows.select(*columns, "text").mapInArrow(released(run), ", ".join([*kinds, "packed binary"]))
 
 
 def unpacked(column: pa.Array) -> pa.Array:

@@ -11,10 +11,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seclake.llm.blocks import mix, small_batches, span_hashes, text_bytes
+from seclake.llm.blocks import mix, released, small_batches, span_hashes, text_bytes
 from seclake.session import cut, spread
 
-# Word lists of this model.
+# Word lists of this model; what the labels teach comes on top of them (learn_lexicons).
 INSULTS = """
     airhead arse arsehole asshole bastard bitch bonehead brainless bullshit buffoon clown cretin
     crap crybaby cunt damn degenerate deranged dick dickhead dimwit dipshit douche douchebag
@@ -49,7 +49,12 @@ FEATURES = (
     "kinds_of_insult", "insults_near_person", "hostile_near_person", "second_person",
     "capital_letters", "shouted_words", "shouted_insults", "exclamations", "questions",
     "punctuation", "repeated_marks", "disguised_insults", "disguised_share",
-    "letters_with_digits", "words")
+    "letters_with_digits", "words",
+    "learnt", "learnt_share", "learnt_weight", "greatest_weight", "learnt_near_person",
+    "learnt_disguised")
+BEGINNINGS = (4, 5, 6, 7)
+LEXICON = 5_000
+FOLDS = 3
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *b"@$!*"]] = True
@@ -74,6 +79,53 @@ def _hashed(words: list[str]) -> np.ndarray:
 _LISTS = [_hashed(words) for words in (INSULTS, HOSTILE, THREATS, SECOND_PERSON)]
 
 
+def _tokens(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word. Marks at its end are punctuation, not letters in disguise."""
+    size = len(raw)
+    inside = _WORD[raw]
+    edge = np.zeros(size + 1, bool)
+    edge[offsets] = True
+    before, after = np.ones(size, bool), np.ones(size, bool)
+    before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
+    start = np.flatnonzero(inside & (before | edge[:-1]))
+    end = np.flatnonzero(inside & (after | edge[1:])) + 1
+    for _ in range(3):
+        shorter = (end - start > 1) & np.isin(raw[end - 1], list(b"!*$@"))
+        end = end - shorter
+    return start, end
+
+
+def _units(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple]:
+    """What a lexicon is made of: words without disguise, and their beginnings.
+
+    Gives numbers of words and the value of each one's unit.
+    """
+    plain = _PLAIN[raw]
+    yield np.arange(len(start)), span_hashes(plain, start, end)
+    for n in BEGINNINGS:
+        some = np.flatnonzero(end - start > n)
+        yield some, mix(span_hashes(plain, start[some], start[some] + n) + np.uint64(n))
+
+
+class Lexicon:
+    """Values of units and how much likelier each is in toxic texts (log of the ratio)."""
+
+    def __init__(self, values=(), weights=()):
+        order = np.argsort(np.array(values, np.uint64))
+        self.values = np.array(values, np.uint64)[order]
+        self.weights = np.array(weights, np.float64)[order]
+
+    def of(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Weight of each word: that of its heaviest unit, 0 without one."""
+        out = np.zeros(len(start))
+        if not len(self.values):
+            return out
+        for some, values in _units(raw, start, end):
+            at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+            out[some] = np.maximum(out[some], np.where(self.values[at] == values, self.weights[at], 0))
+        return out
+
+
 def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(known, values), len(known) - 1)
     return known[at] == values
@@ -84,23 +136,15 @@ def _total(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return sums[end] - sums[start]
 
 
-def features(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def features(offsets: np.ndarray, raw: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """One row of FEATURES for each text."""
     texts, size = len(offsets) - 1, len(raw)
     out = np.zeros((texts, len(FEATURES)))
     if not size:
         return out
-    inside = _WORD[raw]
     edge = np.zeros(size + 1, bool)
     edge[offsets] = True
-    before, after = np.ones(size, bool), np.ones(size, bool)
-    before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
-    start = np.flatnonzero(inside & (before | edge[:-1]))
-    end = np.flatnonzero(inside & (after | edge[1:])) + 1
-    # Marks at the end of a token are punctuation, not letters in disguise.
-    for _ in range(3):
-        shorter = (end - start > 1) & np.isin(raw[end - 1], list(b"!*$@"))
-        end = end - shorter
+    start, end = _tokens(offsets, raw)
     first = np.searchsorted(start, offsets)
     n = np.diff(first)
     plain = span_hashes(_LOWER[raw], start, end)
@@ -121,6 +165,10 @@ def features(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
     bad = insult | hidden
     kinds = np.unique(np.stack([doc[bad].astype(np.uint64), mix(disguised[bad])], 1), axis=0) \
         if bad.any() else np.zeros((0, 2), np.uint64)
+    weight = lexicon.of(raw, start, end)
+    learnt = weight > 0
+    greatest = np.zeros(texts)
+    np.maximum.at(greatest, doc, weight)
     mark = _MARKS[raw]
     again = np.zeros(size, bool)
     again[1:] = mark[1:] & (raw[1:] == raw[:-1]) & ~edge[1:-1]
@@ -140,25 +188,36 @@ def features(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
         chars(_UPPER[raw]) / np.maximum(chars(_LETTER[raw]), 1), words(shouted) / many,
         words(shouted & bad), 100 * chars(raw == 33) / long, 100 * chars(raw == 63) / long,
         100 * chars(mark) / long, 100 * chars(again) / long,
-        words(hidden), 100 * words(hidden) / many, words(mixed) / many, np.log1p(n)]
+        words(hidden), 100 * words(hidden) / many, words(mixed) / many, np.log1p(n),
+        words(learnt), 100 * words(learnt) / many,
+        np.bincount(doc, weights=weight, minlength=texts), greatest, words(learnt & close),
+        words(learnt & (plain != disguised))]
     out[:] = np.stack(columns, 1)
     return out
 
 
-def with_features(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+def with_features(
+    docs: DataFrame, lexicons: list[Lexicon], carry: Column | None = None, fold: Column | None = None,
+) -> DataFrame:
     """``carry`` (as a column of its alias; doc_id without) and features, an array of doubles,
-    of each row."""
+    of each row. ``fold`` tells which of the lexicons is a row's own; the last one without."""
     width = len(FEATURES)
-    narrow = spread(docs.select(F.col("doc_id") if carry is None else carry, docs["text"]))
+    narrow = spread(docs.select(
+        F.col("doc_id") if carry is None else carry,
+        (F.lit(len(lexicons) - 1) if fold is None else fold).cast("int").alias("_fold"), docs["text"]))
     name, kind = narrow.columns[0], narrow.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, raw = text_bytes(batch.column(1))
+            at, raw = text_bytes(batch.column(2))
+            own = batch.column(1).to_numpy()
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
-                got = features(at[lo:hi + 1] - at[lo], raw[at[lo]:at[hi]])
+                got = np.zeros((hi - lo, width))
+                for k in np.unique(own[lo:hi]):
+                    some = own[lo:hi] == k
+                    got[some] = features(at[lo:hi + 1] - at[lo], raw[at[lo]:at[hi]], lexicons[k])[some]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo),
                     pa.ListArray.from_arrays(
@@ -167,7 +226,59 @@ def with_features(docs: DataFrame, carry: Column | None = None) -> DataFrame:
                 lo = hi
 
     small_batches(docs.sparkSession)
-    return narrow.mapInArrow(run, f"{name} {kind}, features array<double>")
+    return narrow.mapInArrow(released(run), f"{name} {kind}, features array<double>")
+
+
+def learn_lexicons(
+    labelled: DataFrame, folds: int = FOLDS, most: int = LEXICON, least_ratio: float = 3.0,
+    least_share: float = 0.005,
+) -> list[Lexicon]:
+    """A lexicon without the texts of each fold, and at last one of all texts.
+
+    ``labelled`` has text, label and fold. A unit counts once per text. It is in if at least
+    ``least_share`` of the toxic texts hold it, three at least, and they do so e^least_ratio
+    times as often as the others; of more than ``most`` units those in the most toxic texts
+    stay. So every language is learnt that the labels hold, and none that they don't.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[int, list] = {}
+        for batch in batches:
+            at, raw = text_bytes(batch.column(0))
+            group = batch.column(1).to_numpy() * 2 + batch.column(2).to_numpy().astype(np.int64)
+            for i in range(batch.num_rows):
+                own = raw[at[i]:at[i + 1]]
+                if len(own):
+                    start, end = _tokens(np.array([0, len(own)]), own)
+                    units = [values for _, values in _units(own, start, end)]
+                    told.setdefault(int(group[i]), []).append(np.unique(np.concatenate(units)))
+        for key, parts in told.items():
+            values, times = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(values.view(np.int64)), pa.array(np.full(len(values), key, np.int32)),
+                pa.array(times.astype(np.int64))], ["unit", "part", "times"])
+
+    small_batches(labelled.sparkSession)
+    sizes = {r["part"]: r["count"] for r in labelled.groupBy(
+        (F.col("fold") * 2 + F.col("label")).cast("int").alias("part")).count().collect()}
+    # Rare units of toxic texts can't get in; of the rest there are no more than those texts have.
+    counted = labelled.select("text", F.col("fold").cast("long").alias("fold"), "label").mapInArrow(
+        released(run), "unit long, part int, times long").groupBy("unit").agg(*[
+            F.sum(F.when(F.col("part") == part, F.col("times")).otherwise(0)).alias(f"n{part}")
+            for part in range(2 * folds)])
+    toxic = sum((F.col(f"n{2 * k + 1}") for k in range(folds)), F.lit(0))
+    counted = cut(counted.filter(toxic >= 3))
+    out = []
+    for left_out in [*range(folds), None]:
+        used = [k for k in range(folds) if k != left_out]
+        bad, good = (sum((F.col(f"n{2 * k + y}") for k in used), F.lit(0)) for y in (1, 0))
+        n_bad, n_good = (sum(sizes.get(2 * k + y, 0) for k in used) for y in (1, 0))
+        weight = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
+        rows = counted.select("unit", bad.alias("bad"), weight.alias("weight")).filter(
+            (F.col("bad") >= max(3, least_share * n_bad)) & (F.col("weight") > least_ratio)).orderBy(
+            F.desc("bad"), F.desc("weight"), "unit").limit(most).collect()
+        out.append(Lexicon(np.array([r["unit"] for r in rows], np.int64).view(np.uint64),
+                           [r["weight"] for r in rows]))
+    return out
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -194,8 +305,9 @@ def labelled_sample(
 class ToxicityModel:
     """Trees and calibration, or one constant score when labels show no two classes."""
 
-    def __init__(self, trees=None, calibration=None, constant: float = 0.0):
+    def __init__(self, trees=None, calibration=None, constant: float = 0.0, lexicon=None):
         self.trees, self.calibration, self.constant = trees, calibration, constant
+        self.lexicon = lexicon or Lexicon()
 
     def scored(self, featured: DataFrame) -> DataFrame:
         """Adds score, from 0 to 1."""
@@ -214,9 +326,18 @@ def train(
     trees: int = 16, depth: int = 3, seed: int = 7,
 ) -> ToxicityModel:
     """Trees on three quarters of a sample of at most about ``rows`` labelled texts; the
-    isotonic map from their probability to the share of toxic texts on the other quarter."""
+    isotonic map from their probability to the share of toxic texts on the other quarter.
+
+    The lexicon is learnt from the same texts, but the features of a text come from one that
+    has not seen its fold; only texts that are scored later get the one of all folds.
+    """
     known, texts = labelled_sample(docs, labels, "toxic", may_train, rows)
-    rows_ = with_features(texts).join(known, "doc_id")
+    data = texts.select("doc_id", "text").join(known, "doc_id").withColumn(
+        "fold", F.pmod(F.xxhash64(F.lit("lexicon"), F.col("doc_id").cast("string")), F.lit(FOLDS)))
+    data = cut(data)
+    lexicons = learn_lexicons(data)
+    rows_ = with_features(
+        data, lexicons, F.struct("doc_id", "label").alias("row"), F.col("fold")).select("row.*", "features")
     data = cut(rows_.select(
         "doc_id", array_to_vector("features").alias("_x"), "label",
         (F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string")), F.lit(4)) == 0
@@ -236,7 +357,7 @@ def train(
         "_p", vector_to_array("_probability")[1])
     calibration = IsotonicRegression(
         featuresCol="_p", labelCol="label", predictionCol="_score").fit(later)
-    return ToxicityModel(model, calibration)
+    return ToxicityModel(model, calibration, lexicon=lexicons[-1])
 
 
 def toxicity(
@@ -251,7 +372,7 @@ def toxicity(
     text are read.
     """
     model = train(docs, labels, F.lit(True) if may_train is None else may_train, **options)
-    return model.scored(with_features(docs))
+    return model.scored(with_features(docs, [model.lexicon]))
 
 
 def without_toxic(
@@ -261,5 +382,5 @@ def without_toxic(
     """The rows of ``docs``, all columns, whose score is below ``reject_from``."""
     model = train(docs, labels, F.lit(True) if may_train is None else may_train, **options)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    return model.scored(with_features(docs, row)).filter(
+    return model.scored(with_features(docs, [model.lexicon], row)).filter(
         F.col("score") < reject_from).select("row.*")

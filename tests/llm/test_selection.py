@@ -156,6 +156,31 @@ def test_models_learn(spark, docs_of, column):
     assert len(held) > 150 and np.mean(held) > 0.97
 
 
+def test_lexicon_is_learnt_in_every_language(spark, docs_of):
+    """Toxic words that no list of the module has, in two made-up languages, also disguised."""
+    rng = random.Random(11)
+    bad = [["grumplix", "snorvast", "blattering"], ["\u00e9crab\u00f4l", "zufflekopf", "trottelant"]]
+    rows, labels = [], []
+    for i in range(900):
+        words = prose(rng, rng.randrange(15, 60)).split()
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(3):
+                word = rng.choice(bad[i % 12 // 6])
+                word = word.replace("o", "0") if rng.random() < 0.2 else word + rng.choice(["", "s", "!"])
+                words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    rest = toxicity.remainder(F.col("doc_id"), 3)
+    scored = {r.doc_id: r.score for r in toxicity.toxicity(
+        docs_of(rows), spark.createDataFrame(labels, LABELS), rest != 1).withColumn(
+        "held", rest == 1).filter("held").collect()}
+    for language in (0, 1):
+        caught = [scored[i] >= 0.7 for i in scored if i % 6 == 0 and i % 12 // 6 == language]
+        assert len(caught) > 15 and np.mean(caught) > 0.9
+    assert np.mean([scored[i] >= 0.7 for i in scored if i % 6]) < 0.02
+
+
 def test_models_without_two_classes(spark, docs_of):
     docs = docs_of([(1, "a b"), (2, None)])
     for rows, want in (([], 0.0), ([(1, 1, 1)], 1.0), ([(1, 0, 0)], 0.0)):
