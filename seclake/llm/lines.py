@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seclake.llm.blocks import (
-    Sequences, blocks, id_key, mix, packed, slices, small_batches, text_key, unpacked,
+    Sequences, blocks, id_key, mix, packed, released, slices, small_batches, text_key, unpacked,
 )
 from seclake.llm.tables import stored
 from seclake.session import spread
@@ -85,7 +85,7 @@ def _lines(rows: DataFrame) -> DataFrame:
                     ["doc_id", "t", "line", "n", "w1", "w2", "ends"])
 
     return rows.select("doc_id", "t", "text").mapInArrow(
-        run, f"doc_id {kind.simpleString()}, t long, line int, n int, w1 long, w2 long, "
+        released(run), f"doc_id {kind.simpleString()}, t long, line int, n int, w1 long, w2 long, "
              "ends array<long>")
 
 
@@ -108,7 +108,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
                     [pa.array(cids, pa.int64()), pa.array(words, pa.string())], ["cid", "words"])
 
     return texts.select("text" if plain else "packed", "own").mapInArrow(
-        run, "cid long, words string")
+        released(run), "cid long, words string")
 
 
 def _block_keys(lines: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _block_keys(lines: DataFrame) -> DataFrame:
                      pa.array(np.repeat(np.arange(2 * BLOCKS, dtype=np.int32), len(cid)))],
                     ["h1", "h2", "cid", "block"])
 
-    return lines.select("cid", "words").mapInArrow(run, "h1 long, h2 long, cid long, block int")
+    return lines.select("cid", "words").mapInArrow(released(run), "h1 long, h2 long, cid long, block int")
 
 
 def part_of(words, part):
@@ -194,7 +194,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                     ["h1", "h2", "role", *place])
 
     return lines.select("words", "parts", *place).mapInArrow(
-        run, f"h1 long, h2 long, role int, {kinds}")
+        released(run), f"h1 long, h2 long, role int, {kinds}")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     words = lines.select("cid", "words")
     both = pairs.join(words, "cid").join(
         words.select(F.col("cid").alias("other"), F.col("words").alias("before")), "other")
-    return both.select("cid", "words", "before").mapInArrow(run, "cid long").distinct()
+    return both.select("cid", "words", "before").mapInArrow(released(run), "cid long").distinct()
 
 
 def _kept(joined: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _kept(joined: DataFrame) -> DataFrame:
                     ["row", "n_lines", "n_removed", "kept"])
 
     return joined.select("row", "packed", "stay").mapInArrow(
-        run, f"row {kind}, n_lines long, n_removed long, kept string")
+        released(run), f"row {kind}, n_lines long, n_removed long, kept string")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seclake.llm.blocks import blocks, id_key, mix, ngram_hashes, small_batches, text_key
+from seclake.llm.blocks import blocks, id_key, mix, ngram_hashes, released, small_batches, text_key
 from seclake.llm.components import components
 from seclake.llm.tables import stored
 from seclake.session import spread
@@ -85,7 +85,7 @@ def _sketches(docs: DataFrame, retained: int | None) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "t", "text").mapInArrow(
-        run, f"doc_id {kind}, t long, d1 long, d2 long, n long, least array<long>")
+        released(run), f"doc_id {kind}, t long, d1 long, d2 long, n long, least array<long>")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seclake.llm.blocks import (
-    Block, blocks, id_key, mix, ngram_hashes, packed, slices, small_batches, text_bytes, text_key,
-    unpacked,
+    Block, blocks, id_key, mix, ngram_hashes, packed, released, slices, small_batches, text_bytes,
+    text_key, unpacked,
 )
 from seclake.llm.suffixes import SuffixArray
 from seclake.llm.tables import stored
@@ -67,7 +67,7 @@ def _index(rows: DataFrame, window: int) -> DataFrame:
                     ["i", "k", "t", "n_words", "anchors", "places"])
 
     return rows.select("i", "k", "t", "text").mapInArrow(
-        run, "i long, k long, t long, n_words int, anchors array<long>, places array<int>")
+        released(run), "i long, k long, t long, n_words int, anchors array<long>, places array<int>")
 
 
 def _contexts(joined: DataFrame, window: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _contexts(joined: DataFrame, window: int) -> DataFrame:
                         pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary()).cast(pa.string())],
                         names)
 
-    return joined.select("packed", "did", "copies", "at").mapInArrow(run, (
+    return joined.select("packed", "did", "copies", "at").mapInArrow(released(run), (
         "anchor long, part int, parts int, did long, start int, owned int, copies int, "
         "words string"))
 
@@ -207,7 +207,7 @@ def _trees(contexts: DataFrame, window: int) -> DataFrame:
 
     grouped = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return grouped.mapInArrow(
-        run, "did long, start int, length int, w1 long, w2 long, times long")
+        released(run), "did long, start int, length int, w1 long, w2 long, times long")
 
 
 def _without(joined: DataFrame, window: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _without(joined: DataFrame, window: int) -> DataFrame:
                         ["doc_id", "n_words", "n_removed", "kept"])
 
     return joined.select("doc_id", "packed", "spans").mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+        released(run), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def without_repeats(
