@@ -176,13 +176,14 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The rows the mix takes, with all their columns and ``copies``, how often each is taken."""
+    """The rows the mix takes, with all their columns and ``copies``, how often each is taken,
+    and ``n_words``, the words of one. Columns of these names are replaced."""
     _, state = mix(docs, seed=seed, **options)
     rows = docs.withColumns({
         "_u": _draw(seed, docs["doc_id"], docs["text"]), "_words": word_count(docs["text"])})
     plain = rows.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.col("_words").alias("size"), "_u",
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+        F.struct(*[docs[c] for c in docs.columns if c not in ("copies", "n_words")]).alias("_row"))
     taken = with_copies(plain, state).filter("copies > 0 AND size > 0")
     return taken.select("_row.*", F.col("copies"), F.col("size").alias("n_words"))

@@ -121,6 +121,10 @@ def test_mix_edges(docs_of):
     assert mixed.agg(F.sum(F.col("copies") * F.col("n_words"))).first()[0] == sum(
         r.taken for r in got)
     assert mixing.mix_report(docs_of([])).count() == 0
+    clash = docs_of(rows).withColumn("copies", F.lit("x")).withColumn("n_words", F.lit("y"))
+    again = mixing.mixed_documents(clash)
+    assert len(again.columns) == len(set(again.columns))
+    assert again.agg(F.sum(F.col("copies") * F.col("n_words"))).first()[0] == sum(r.taken for r in got)
 
 
 # ---- trained models --------------------------------------------------------------------
