@@ -5,11 +5,11 @@ Column and Spark ML operations only; no Python runs on the executors.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -133,8 +133,6 @@ OTHER = [
     "Poetic license allows the author to bend the facts.",
 ]
 
-CUES = (r"(?i)licen[cs]|copyright|warrant|permission|redistribut|spdx|creative commons|"
-        r"public domain|\b(?:a|l)?gpl|\bcc0|\bcc.by|\bmpl|commercial purposes|free software")
 PIECE_WORDS = 48
 STEP_WORDS = 36
 CONFIRM_FROM = 0.6
@@ -179,42 +177,71 @@ def _judged(docs: DataFrame) -> DataFrame:
     return words.filter(F.size("_words") > 0).select("doc_id", F.inline(pieces))
 
 
+def _listed() -> list[tuple[str, str]]:
+    rows = [(family, notice.format(name)) for family, names in NAMES.items()
+            for name in names for notice in NOTICES]
+    rows += [(family, text) for family, texts in PASSAGES.items() for text in texts]
+    return rows + [(UNKNOWN, text) for text in OTHER]
+
+
+def _words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def _constant(values: list[str]) -> Column:
+    """The values as one array, written as one string: plans stay short."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def _names_a_licence(words: Column) -> Column:
     """Whether words hold a name of a licence or FEW_RUNS 3-word runs of a passage."""
-    names = sorted({" ".join(re.findall("[a-z0-9]+", n.lower()))
-                    for listed in NAMES.values() for n in listed})
+    names = sorted({" ".join(_words(n)) for listed in NAMES.values() for n in listed})
     runs = sorted({" ".join(w[i:i + 3]) for texts in PASSAGES.values() for text in texts
-                   for w in [re.findall("[a-z0-9]+", text.lower())] for i in range(len(w) - 2)})
-    shared = F.array_intersect(_trigrams(words), F.array(*map(F.lit, runs)))
+                   for w in [_words(text)] for i in range(len(w) - 2)})
+    shared = F.array_intersect(_trigrams(words), _constant(runs))
     return F.array_join(words, " ").rlike(rf"(?:^| )(?:{'|'.join(names)})(?: |$)") | (
         F.size(shared) >= FEW_RUNS)
 
 
 def templates(spark: SparkSession) -> DataFrame:
     """family and text of each template: notices from names, passages, and others."""
-    rows = [(family, notice.format(name)) for family, names in NAMES.items()
-            for name in names for notice in NOTICES]
-    rows += [(family, text) for family, texts in PASSAGES.items() for text in texts]
-    rows += [(UNKNOWN, text) for text in OTHER]
-    listed = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("text"))
-                       for f, t in rows])
-    return spark.range(1).select(F.inline(listed))
+    row = F.split("row", "\t")
+    return spark.range(1).select(F.explode(_constant(
+        [f"{family}\t{text}" for family, text in _listed()])).alias("row")).select(
+        F.get(row, F.lit(0)).alias("family"), F.get(row, F.lit(1)).alias("text"))
+
+
+def vocabulary() -> list[str]:
+    """Runs of one to three words of the templates, the only ones that tell a licence. A piece
+    with none of them is left to the intercepts, so no words of the table need be counted."""
+    return sorted({" ".join(w[i:i + n]) for _, text in _listed() for w in [_words(text)]
+                   for n in (1, 2, 3) for i in range(len(w) - n + 1)})
+
+
+def _featured(rows: DataFrame) -> DataFrame:
+    """Adds _x, which of the vocabulary the words hold, in place of words."""
+    rows = rows.withColumn("_1", F.col("words"))
+    for n in (2, 3):
+        rows = NGram(n=n, inputCol="_1", outputCol=f"_{n}").transform(rows)
+    counter = CountVectorizerModel.from_vocabulary(
+        vocabulary(), inputCol="_grams", outputCol="_x")
+    return counter.setBinary(True).transform(
+        rows.withColumn("_grams", F.concat("_1", "_2", "_3"))).drop("_1", "_2", "_3", "_grams")
 
 
 class LicenceModel:
-    def __init__(self, pipeline: PipelineModel, families: list[str], known_from: float):
-        self.pipeline, self.families, self.known_from = pipeline, families, known_from
+    def __init__(self, model: LogisticRegressionModel, families: list[str], known_from: float):
+        self.model, self.families, self.known_from = model, families, known_from
 
     def classified(self, pieces: DataFrame) -> DataFrame:
         """Adds likely, the most probable family, and family, unknown if the probability is
         below the calibrated one."""
-        out = self.pipeline.transform(pieces.withColumnRenamed("words", "_1"))
+        out = self.model.transform(_featured(pieces))
         names = F.array(*[F.lit(f) for f in self.families])
         chance = F.array_max(vector_to_array("_chance"))
         best = F.element_at(names, F.col("_class").cast("int") + 1)
         return out.select(
-            *[F.col("_1").alias("words") if c == "words" else F.col(c) for c in pieces.columns],
-            chance.alias("probability"), best.alias("likely"),
+            *pieces.columns, chance.alias("probability"), best.alias("likely"),
             F.when(chance >= self.known_from, best).otherwise(F.lit(UNKNOWN)).alias("family"))
 
 
@@ -223,9 +250,12 @@ def train(docs: DataFrame, other_rows: int = 1_500, false_share: float = 0.01) -
 
     Pieces as licence_scan judges them are examples of the unknown class, licence words or
     not, unless they name a licence or hold part of a passage. Most templates are also put
-    between a few words, and between a piece's worth of words, of one of them. A fifth of
-    the rows beside the bare templates is held out; a family counts as known from the least probability at which at most ``false_share`` of what is called known
-    there is of another class.
+    between a few words, and between a piece's worth of words, of one of them.
+
+    A first model learns without a fifth of the templates, and without the rows made of them,
+    and a fifth of the pieces. On these a family counts as known from the least probability at
+    which at most ``false_share`` of what is called known is of another class. The model used
+    then learns from all rows.
     """
     spark = docs.sparkSession
     known = templates(spark)
@@ -240,44 +270,43 @@ def train(docs: DataFrame, other_rows: int = 1_500, false_share: float = 0.01) -
     # Each template beside one piece: slot numbers meet.
     numbered = plain.select("words", F.pmod(F.col("o"), F.lit(slots)).alias("slot")).groupBy(
         "slot").agg(F.min("words").alias("around"))
-    rows = plain.select(F.lit(UNKNOWN).alias("family"), "words")
+    fifth = F.pmod(F.xxhash64(F.lit("fifth"), "text"), F.lit(5)) == 0
+    rows = plain.select(F.lit(UNKNOWN).alias("family"), "words",
+                        (F.pmod(F.xxhash64("words"), F.lit(5)) == 0).alias("later")).union(
+        known.select("family", tokens(F.col("text")), fifth))
     for beside in (6, 20):
         wanted = known.withColumn(
             "slot", F.pmod(F.xxhash64("text", F.lit(beside)), F.lit(slots)))
         rows = rows.union(wanted.join(numbered, "slot").select("family", F.concat(
             F.slice("around", 1, beside), tokens(F.col("text")),
-            F.slice("around", beside + 1, beside)).alias("words")))
+            F.slice("around", beside + 1, beside)), fifth))
     families = sorted([*NAMES, UNKNOWN])
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    # The bare templates are all learnt; a fifth of the other rows is held out.
-    rows = rows.withColumn("later", F.pmod(F.xxhash64("words"), F.lit(5)) == 0).union(
-        known.select("family", tokens(F.col("text")).alias("words"), F.lit(False)))
-    data = stored(rows.select(
-        F.col("words").alias("_1"), label.cast("double").alias("label"), "later"),
-        "licence-rows")
-    grams = [NGram(n=n, inputCol="_1", outputCol=f"_{n}") for n in (2, 3)]
-    vectors = [CountVectorizer(inputCol=f"_{n}", outputCol=f"_v{n}", minDF=2, binary=True,
-                               vocabSize=20_000) for n in (1, 2, 3)]
-    model = Pipeline(stages=[
-        *grams, *vectors, VectorAssembler(inputCols=["_v1", "_v2", "_v3"], outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol="label", predictionCol="_class",
-                           probabilityCol="_chance", rawPredictionCol="_raw", maxIter=30,
-                           regParam=0.002, family="multinomial")]).fit(
-            data.filter("NOT later").coalesce(4))
-    told = model.transform(data.filter("later")).select(
-        F.array_max(vector_to_array("_chance")).alias("p"), "_class", "label").filter(
-        F.col("_class") != families.index(UNKNOWN))
-    wrong = told.filter("_class <> label").agg(F.max("p")).first()[0]
-    known_from = 0.5
-    if wrong is not None:
-        # From the highest down: the least probability with few enough wrong ones above.
-        steps = [0.5 + 0.02 * i for i in range(25)]
-        shares = told.agg(*[F.avg(F.when(F.col("p") >= s, (F.col("_class") != F.col("label"))
-                                         .cast("double"))).alias(f"s{i}")
-                            for i, s in enumerate(steps)]).first()
-        fine = [s for s, x in zip(steps, shares) if x is None or x <= false_share]
-        known_from = min(fine) if fine else steps[-1]
-    return LicenceModel(model, families, known_from)
+    data = stored(_featured(rows).select("_x", label.cast("double").alias("label"), "later"),
+                  "licence-rows").coalesce(4)
+    learner = LogisticRegression(
+        featuresCol="_x", labelCol="label", predictionCol="_class", probabilityCol="_chance",
+        rawPredictionCol="_raw", maxIter=30, regParam=0.002, family="multinomial")
+    # A fifth of a bounded sample.
+    told = learner.fit(data.filter("NOT later")).transform(data.filter("later")).filter(
+        F.col("_class") != families.index(UNKNOWN)).select(
+        F.array_max(vector_to_array("_chance")).alias("p"),
+        (F.col("_class") != F.col("label")).alias("wrong")).collect()
+    return LicenceModel(learner.fit(data), families, _threshold(
+        [(r["p"], r["wrong"]) for r in told], false_share))
+
+
+def _threshold(told: list[tuple[float, bool]], false_share: float) -> float:
+    """The least probability at which few enough of those told are wrong; just above all
+    ones if there is none, and a half if nothing was told."""
+    told, bad, least = sorted(told, reverse=True), 0, None
+    for i, (p, wrong) in enumerate(told):
+        bad += wrong
+        if (i + 1 == len(told) or told[i + 1][0] < p) and bad <= false_share * (i + 1):
+            least = p
+    if least is None:
+        return math.nextafter(told[0][0], 2.0) if told else 0.5
+    return least
 
 
 def licence_scan(

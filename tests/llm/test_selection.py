@@ -1,6 +1,7 @@
 """Benchmark matches, mixing and the trained models: edges, hand checks, held-out accuracy."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -252,13 +253,70 @@ def test_licences(spark, docs_of):
     assert licences.licence_scan(docs_of([])).count() == 0
 
 
-def test_templates_have_a_licence_word(spark):
-    lacking = licences.templates(spark).filter(f"family <> '{licences.UNKNOWN}'").filter(
-        ~F.col("text").rlike(licences.CUES))
-    assert {r.family for r in lacking.collect()} <= {
-        "apache", "bsd", "cc-by", "cc-by-sa", "cc0", "isc", "mit", "mpl", "unlicense", "gpl",
-        "lgpl", "agpl", "cc-by-nc"}
-    assert lacking.filter("text LIKE '%icens%'").count() == 0
+def test_threshold_by_trying_all():
+    rng = random.Random(3)
+    for _ in range(200):
+        told = [(rng.choice([0.4, 0.5, 0.6, 0.75, 0.8, 0.9, 0.99]), rng.random() < 0.1)
+                for _ in range(rng.randrange(0, 60))]
+        fine = [p for p in {q for q, _ in told}
+                if sum(w for q, w in told if q >= p) <= 0.05 * sum(q >= p for q, _ in told)]
+        got = licences._threshold(told, 0.05)
+        if fine:
+            assert got == min(fine)
+        elif told:
+            assert got > max(q for q, _ in told)
+        else:
+            assert got == 0.5
+
+
+def pieces_by_hand(text):
+    """line and words of each piece of each paragraph."""
+    got, paragraph = [], []
+    for line, row in enumerate([*text.split("\n"), ""]):
+        if row.strip():
+            paragraph += [(line, w) for w in re.findall(r"[^\W_]+", row.lower())]
+            continue
+        at = 0
+        while paragraph and (at == 0 or at + licences.PIECE_WORDS - licences.STEP_WORDS < len(paragraph)):
+            piece = paragraph[at:at + licences.PIECE_WORDS]
+            got.append((piece[0][0], [w for _, w in piece]))
+            at += licences.STEP_WORDS
+        paragraph = []
+    return got
+
+
+def test_pieces_and_likeness_by_hand(spark, docs_of):
+    """Pieces, most alike template and similarity are those of plain Python."""
+    rng = random.Random(8)
+    known = [(r.family, r.text) for r in licences.templates(spark).collect()]
+    texts = []
+    for i in range(40):
+        family, text = rng.choice(known)
+        texts.append("\n".join(rng.choice([
+            prose(rng, rng.randrange(1, 130)), "", text, f"{prose(rng, 9)} {text}"])
+            for _ in range(rng.randrange(1, 7))))
+    model = licences.train(docs_of([(i, prose(rng, 80)) for i in range(300)]))
+    got = licences.licence_scan(docs_of(list(enumerate(texts))), model=model).collect()
+    pieces = {(i, line): words for i, text in enumerate(texts)
+              for line, words in pieces_by_hand(text)}
+    assert {(r.doc_id, r.line) for r in got} == set(pieces)
+    assert len(got) == sum(len(pieces_by_hand(text)) for text in texts)
+
+    def runs(words):
+        return {" ".join(words[i:i + 3]) for i in range(len(words) - 2)} or {" ".join(words)}
+
+    listed = [(f, runs(licences._words(t))) for f, t in known]
+    told = [r for r in got if r.family != licences.UNKNOWN]
+    assert len(told) > 20
+    for r in told:
+        best = set()
+        for line, words in pieces_by_hand(texts[r.doc_id]):
+            own = runs(words)
+            if line == r.line:
+                best.add(max(max(len(own & g) / len(g), len(own & g) / len(own))
+                             for f, g in listed if f == r.family))
+        assert any(abs(r.similarity - b) < 1e-9 for b in best)
+        assert r.confirmed == (r.similarity >= licences.CONFIRM_FROM)
 
 
 def test_every_template_is_judged_and_found(spark, docs_of):
