@@ -297,8 +297,8 @@ def train(docs: DataFrame, other_rows: int = 1_500, false_share: float = 0.01) -
 
 
 def _threshold(told: list[tuple[float, bool]], false_share: float) -> float:
-    """The least probability at which few enough of those told are wrong; just above all
-    ones if there is none, and a half if nothing was told."""
+    """The least probability at which few enough of those told are wrong, just above
+    all if there is none, and a half if nothing was told."""
     told, bad, least = sorted(told, reverse=True), 0, None
     for i, (p, wrong) in enumerate(told):
         bad += wrong

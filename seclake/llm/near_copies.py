@@ -114,13 +114,27 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, n and whole shingle set (own) of each row of a wanted class (cid, rep, d1, d2, n)."""
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = _sketches(texts, None).withColumnRenamed("doc_id", "rep").drop("t")
-    return sets.join(wanted, ["rep", "d1", "d2", "n"]).select(
+    """cid, n and whole shingle set (own) of each row of a wanted class (cid, rep, at, d1, d2, n).
+
+    A class without an id is found by its text's value, and read from one of its rows.
+    """
+    def texts(of: DataFrame, key: str) -> DataFrame:
+        few = of.limit(MOST_SENT + 1).count() <= MOST_SENT
+        return docs.join(F.broadcast(of) if few else of, key, "left_semi")
+
+    out = _sketches(texts(wanted.filter("rep IS NOT NULL").select(
+        F.col("rep").alias("doc_id")).distinct(), "doc_id"), None).drop("t").withColumnRenamed(
+        "doc_id", "rep").join(wanted, ["rep", "d1", "d2", "n"]).select(
         "cid", "n", F.col("least").alias("own"))
+    lone = wanted.filter("rep IS NULL").select(F.col("at").alias("t")).distinct()
+    if not lone.limit(1).count():
+        return out
+    one = texts(lone, "t").filter("doc_id IS NULL").groupBy("t").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return out.union(_sketches(one.select("doc_id", "t", "text"), None).withColumnRenamed(
+        "t", "at").drop("doc_id").join(
+        wanted.filter("rep IS NULL"), ["at", "d1", "d2", "n"]).select(
+        "cid", "n", F.col("least").alias("own")))
 
 
 def _own_shingles(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
@@ -130,7 +144,7 @@ def _own_shingles(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> Data
     of its group would pair it with all others in vain.
     """
     wanted = classes.join(lists.select("cid").distinct(), "cid")
-    values = _full_sets(docs, wanted.select("cid", "rep", "d1", "d2", "n")).select(
+    values = _full_sets(docs, wanted.select("cid", "rep", "at", "d1", "d2", "n")).select(
         "cid", F.explode("own").alias("value"))
     own = values.groupBy("value").agg(F.min("cid").alias("cid"), F.max("cid").alias("_hi")).filter(
         "cid = _hi").groupBy("cid").agg(F.count("*").alias("u"))
@@ -227,7 +241,7 @@ def _verified(
         F.size(F.array_intersect("_union", both)) >= F.element_at(least, F.size("_union") + 1))
     likely = stored(likely.select("a", "b"), "likely")
     ids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
-    wanted = classes.join(ids, "cid").select("cid", "rep", "d1", "d2", "n")
+    wanted = classes.join(ids, "cid").select("cid", "rep", "at", "d1", "d2", "n")
     full = stored(_full_sets(docs, wanted).groupBy("cid", "n").agg(
         F.first("own").alias("own")), "sets")
     whole = likely.join(full.toDF("a", "na", "oa"), "a").join(full.toDF("b", "nb", "ob"), "b")
@@ -253,15 +267,16 @@ def near_copies(
 
     Null and empty texts have no shingles and are linked with nothing. Rows with the same id
     count as one document: what is linked with one is linked with all. A row without an id
-    gets the least id it is linked with, and is kept if there is none. An empty table gives no
-    rows. Other columns are not read.
+    takes part by its text: it gets the least id that it reaches, and ties what it links.
+    Where a whole group has no id, component_id is null and the rows of one of its texts are
+    kept. An empty table gives no rows. Other columns are not read.
     """
     narrow = spread(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"),
                                 text_key(docs[text]).alias("t")))
     rows = stored(_sketches(narrow, RETAINED), "sketches")
     classes = stored(rows.filter("n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("doc_id").alias("rep"), F.first("least").alias("least")).filter(
-        "rep IS NOT NULL").withColumn("cid", F.monotonically_increasing_id()), "classes")
+        F.min("doc_id").alias("rep"), F.min("t").alias("at"), F.first("least").alias("least")
+        ).withColumn("cid", F.monotonically_increasing_id()), "classes")
     placed = rows.drop("least").join(classes.select("d1", "d2", "n", "cid"),
                                      ["d1", "d2", "n"], "left").drop("d1", "d2")
     again = placed.filter("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
@@ -271,15 +286,17 @@ def near_copies(
     tied = _ties(narrow, classes, same_id, percent)
     if tied is None:
         tied = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
-    named = tied.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    least = named.groupBy("root").agg(F.min("rep").alias("_least"))
-    names = named.join(least, "root").select(F.col("node").alias("cid"), "_least").union(
-        classes.join(tied, classes["cid"] == tied["node"], "left_anti").select("cid", "rep"))
+    named = tied.join(classes.select(F.col("cid").alias("node"), "rep", "at"), "node")
+    least = named.groupBy("root").agg(F.min("rep").alias("_least"), F.min("at").alias("_at"))
+    names = named.join(least, "root").select(F.col("node").alias("cid"), "_least", "_at").union(
+        classes.join(tied, classes["cid"] == tied["node"], "left_anti").select("cid", "rep", "at"))
     out = placed.join(names, "cid", "left").withColumn(
         "component_id", F.coalesce("_least", "doc_id"))
     return out.select(
         "doc_id", "t", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .otherwise(F.coalesce(F.col("t").eqNullSafe(F.col("_at")) | F.col("_at").isNull(),
+                              F.lit(True))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:

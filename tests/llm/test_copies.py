@@ -80,6 +80,32 @@ def test_near_copies_of_odd_rows(docs_of):
     assert left == Counter([(None, None), (7, text), (7, "other"), (9, "")])
 
 
+def test_texts_without_id_take_part(spark, docs_of):
+    """They tie others, and of a group without any id the rows of one text stay."""
+    words = [f"w{i}" for i in range(200)]
+
+    def changed(at):
+        return " ".join(f"other{i}" if i in at else w for i, w in enumerate(words))
+
+    bridge = changed({50})
+    rows = [(5, changed({50, 100, 120})), (None, bridge), (9, changed({50, 20, 70})), (None, bridge)]
+    # Only the text without id is within the bound of both.
+    assert {r.component_id for r in near_copies(docs_of([rows[0], rows[2]]), 90).collect()} == {5, 9}
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_copies(docs_of(rows), 90).collect())
+    assert got == Counter([(5, 5, True), (None, 5, False), (9, 5, False), (None, 5, False)])
+
+    other = [" ".join(f"v{i}x{j}" for i in range(30)) for j in range(3)]
+    lone = [(None, bridge), (None, changed({50, 100})), (None, bridge.upper()), (None, other[0]),
+            (None, other[1]), (None, other[1]), (None, " "), (None, None), (3, other[2])]
+    got = near_copies(docs_of(lone), 85).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    kept = Counter(r.n_shingles for r in got if r.kept)
+    assert kept == Counter({196: 1, 26: 4, 0: 2})
+    left = Counter(r.text for r in one_of_each(docs_of(lone), 85).collect())
+    assert sum(left[x] for x in (bridge, changed({50, 100}), bridge.upper())) == 1
+    assert [left[x] for x in other] == [1, 1, 1]
+
+
 def test_least_shared_rises():
     assert least_shared(100) == 48 and 15 < least_shared(80) < least_shared(90) < 48
 
