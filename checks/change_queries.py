@@ -13,6 +13,7 @@ from seclake.operators import answers, lifecycle, maintain, reports, views
 from seclake.operators.ordered import latest
 from seclake.plans import changes
 from seclake.plans.answered_scans import answered_profiles
+from seclake.plans.logs import append_log
 from seclake.session import new_folder
 from seclake.sources.tables import append, read_answers, read_table, write_reports
 from seclake.streaming.feed import event_feed, run_to_end
@@ -252,30 +253,49 @@ def s3(spark, sf):
 
 
 @query("s5_audit_of_status_changes", _REPLAY + """
-SELECT scan_id, old_status, status AS new_status, severity AS severity_level,
+SELECT *, row_number() OVER (ORDER BY timestamp, scan_id, old_status, new_status, severity_level,
+    details) AS id
+FROM (SELECT scan_id, old_status, status AS new_status, severity AS severity_level,
     'vulnerability_status_changed' AS action, 'admin' AS role,
     CONCAT('Vulnerability ', vuln_id, ' changed from ''', old_status, ''' to ''', status,
-    '''. Scan score recalculated to ', score, '.') AS details, timestamp FROM scored""")
+    '''. Scan score recalculated to ', score, '.') AS details, timestamp FROM scored)""")
 def s5(spark, sf):
     changes = A.status_changes(spark, sf)
     replayed = lifecycle.replay_status_changes(changes, _starting(changes))
     folder = new_folder(spark, "audit")
-    append(maintain.status_audit(replayed, "1"), folder, "audit_logs", "first")
+    append_log(maintain.status_audit(replayed, "1"), folder, "audit_logs", "first")
     return read_table(spark, folder, "audit_logs").select(
-        "scan_id", "old_status", "new_status", "severity_level", "action", "role", "details",
+        "id", "scan_id", "old_status", "new_status", "severity_level", "action", "role", "details",
         "timestamp")
 
 
 @query("s6_history_of_moves", _MACHINE + """
-SELECT scan_id, new_score AS score, new_status AS lifecycle_status, 'admin' AS changed_by,
-    CONCAT('Transition from ', old_status, ' to ', new_status) AS reason FROM walk WHERE accepted""")
+SELECT *, row_number() OVER (ORDER BY timestamp, scan_id, score, lifecycle_status, reason) AS id
+FROM (SELECT w.scan_id, new_score AS score, new_status AS lifecycle_status, 'admin' AS changed_by,
+    CONCAT('Transition from ', old_status, ' to ', new_status) AS reason, r.timestamp
+    FROM walk w JOIN transition_requests r ON r.id = w.id WHERE accepted)""")
 def s6(spark, sf):
     requests = A.transition_requests(spark, sf)
     steps = lifecycle.run_lifecycle(requests, _safe_scans(requests))
     folder = new_folder(spark, "history")
-    append(maintain.move_history(steps, "admin"), folder, "score_history", "first")
-    return read_table(spark, folder, "score_history").select(
-        "scan_id", "score", "lifecycle_status", "changed_by", "reason")
+    append_log(maintain.move_history(steps, "admin"), folder, "score_history", "first")
+    return read_table(spark, folder, "score_history").select(*schemas.SCORE_HISTORY.names)
+
+
+@query("f20_running_numbers", given("score_history") + """
+, halves AS (SELECT *, id % 2 AS half FROM score_history)
+SELECT row_number() OVER (PARTITION BY half ORDER BY timestamp NULLS FIRST, scan_id NULLS FIRST,
+        score NULLS FIRST, id)
+    + half * (SELECT count(*) FROM halves WHERE half = 0) AS id,
+    scan_id, score, timestamp FROM halves""")
+def f20_numbers(spark, sf):
+    """Two parts; the first is written again after the second."""
+    folder = new_folder(spark, "numbers")
+    given_rows = A.score_history(spark, sf).select("id", "scan_id", "score", "timestamp")
+    rows = maintain.fitted(given_rows, schemas.SCORE_HISTORY)
+    for half in (0, 1, 0):
+        append_log(rows.filter(F.col("id") % 2 == half), folder, "score_history", f"half{half}")
+    return read_table(spark, folder, "score_history").select("id", "scan_id", "score", "timestamp")
 
 
 @query("s6_manual_overrides", given("scans", "score_history") + """

@@ -17,6 +17,7 @@ from seclake.fixed_values import (
 )
 from seclake.functions.scores import lifecycle_at_scan
 from seclake.functions.texts import message, report_key, stable_id
+from seclake.operators.ordered import positions
 from seclake.schemas import AUDIT_LOGS, SCANS, SCORE_HISTORY, VULNERABILITIES
 
 SCAN_KEY = {
@@ -144,6 +145,18 @@ def audit_rows(changes: DataFrame) -> DataFrame:
     return fitted(changes, AUDIT_LOGS, id=_row_id(changes, keys), role=role)
 
 
+def numbered(rows: DataFrame, after: int) -> DataFrame:
+    """Log rows with running ids from ``after`` + 1 on, without gaps.
+
+    In the order of time, then of what the rows say. Each task numbers its range of the order;
+    the ranges' sizes are added up before.
+    """
+    said = [c for c in rows.columns if c not in ("id", "timestamp")]
+    order = [F.col(c).asc_nulls_first() for c in ("timestamp", *said, "id")]
+    return positions(rows, [], order, "_at").withColumn(
+        "id", F.col("_at") + F.lit(after + 1)).drop("_at")
+
+
 def change_of(changes: DataFrame) -> list[Column]:
     """The id of the change, where the rows have one."""
     return [F.col("id").alias("change_id")] if "id" in changes.columns else []

@@ -17,6 +17,7 @@ from seclake.operators.maintain import (
 )
 from seclake.operators.risk import COUNTS, with_score, with_total
 from seclake.schemas import VULNERABILITIES
+from seclake.plans.logs import append_log
 from seclake.session import cut
 from seclake.sources.tables import append
 
@@ -63,5 +64,5 @@ def store_answered_scans(
         id=stable_id(*place, F.col("vuln_id"), F.col("line_number"), F.col("source_order")),
         scan_id=stable_id(*place), status=F.lit("open"), created_at=when,
     ), folder, "vulnerabilities", run)
-    append(first_history_rows(scans), folder, "score_history", run)
-    append(scan_audit(scans), folder, "audit_logs", run)
+    append_log(first_history_rows(scans), folder, "score_history", run)
+    append_log(scan_audit(scans), folder, "audit_logs", run)

@@ -1,7 +1,7 @@
 """Changes to stored scans as whole jobs: each gives every table it changes.
 
 Of the current-state tables (scans, vulnerabilities) all rows come back, changed or not; of
-the two logs only the rows to append. ``write_version`` stores them.
+the two logs only the rows to append, but for deletes. ``write_version`` stores them.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seclake.operators import maintain
 from seclake.operators.lifecycle import replay_status_changes, run_lifecycle, score_overrides
 from seclake.operators.ordered import latest
+from seclake.plans.logs import append_log
 from seclake.session import cut
 from seclake.sources.tables import append
 
+LOGS = ("score_history", "audit_logs")
+
 
 def _last_of(changes: DataFrame, keys: list[str]) -> DataFrame:
     return latest(changes, keys, [F.col("timestamp").desc(), F.col("id").desc()])
@@ -74,12 +77,16 @@ def delete_scans(
     """The four tables without the scans (scan_id), and the audit rows that say so."""
     when = maintain.fixed_time(ids.sparkSession, at)
     left = maintain.without_scans(tables, ids)
-    said = maintain.deletion_audit(ids, performed_by, when)
+    last = tables["audit_logs"].agg(F.max("id")).first()[0] or 0
+    said = maintain.numbered(maintain.deletion_audit(ids, performed_by, when), last)
     return {**left, "audit_logs": left["audit_logs"].unionByName(said, allowMissingColumns=True)}
 
 
-def write_version(frames: dict[str, DataFrame], folder: str, run: str) -> None:
+def write_version(
+    frames: dict[str, DataFrame], folder: str, run: str, logs: tuple[str, ...] = LOGS,
+) -> None:
     """Store what a job gives as the part ``run`` of tables in ``folder``; a repeated run
-    replaces its own part."""
+    replaces its own part. The rows of ``logs`` are new ones and get running ids; leave a log
+    out that is given whole, as by ``delete_scans``."""
     for name, rows in frames.items():
-        append(rows, folder, name, run)
+        (append_log if name in logs else append)(rows, folder, name, run)

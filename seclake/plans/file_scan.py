@@ -15,6 +15,7 @@ from seclake.operators.maintain import (
 )
 from seclake.operators.risk import file_profiles, repo_rollup
 from seclake.operators.scanning import analyzed_of, findings_of, scan_files
+from seclake.plans.logs import append_log
 from seclake.session import cut
 from seclake.sources.tables import append
 
@@ -53,5 +54,5 @@ def scan_and_store(
     append(scans, folder, "scans", run)
     findings = analyzed_of(findings_of(scanned))
     append(vulnerability_rows(findings, run, at), folder, "vulnerabilities", run)
-    append(first_history_rows(scans), folder, "score_history", run)
-    append(scan_audit(scans), folder, "audit_logs", run)
+    append_log(first_history_rows(scans), folder, "score_history", run)
+    append_log(scan_audit(scans), folder, "audit_logs", run)

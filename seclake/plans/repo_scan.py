@@ -10,6 +10,7 @@ from seclake.operators.maintain import audit_rows, fitted, fixed_time, history_r
 from seclake.operators.risk import file_profiles, repo_findings, repo_rollup
 from seclake.operators.scanning import analyzed_of, findings_of, scan_files
 from seclake.schemas import SCANS, VULNERABILITIES
+from seclake.plans.logs import append_log
 from seclake.session import cut
 from seclake.sources.tables import append
 
@@ -48,12 +49,12 @@ def scan_repositories_and_store(
     changes = rollup.select(
         stable_id(F.lit(run), F.col("repo"), when).alias("scan_id"), "risk_score", "lifecycle_status",
         "risk_level", "files_scanned", F.lit(user_id).alias("user_id"), when.alias("timestamp"))
-    append(history_rows(changes.select(
+    append_log(history_rows(changes.select(
         "scan_id", F.col("risk_score").alias("score"), "lifecycle_status",
         F.col("user_id").alias("changed_by"), F.lit(REPO_REASON).alias("reason"), "timestamp",
     )), folder, "score_history", run)
     details = message(REPO_DETAILS, F.col("files_scanned"), F.col("risk_score"))
-    append(audit_rows(changes.select(
+    append_log(audit_rows(changes.select(
         "scan_id", F.lit("scan_created").alias("action"), F.col("user_id").alias("performed_by"),
         F.lit("user").alias("role"), F.col("risk_score").alias("new_score"),
         F.col("lifecycle_status").alias("new_status"), F.col("risk_level").alias("severity_level"),

@@ -2,15 +2,20 @@
 
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import adapters as A
 from checks.change_queries import _safe_scans, _starting
-from seclake.operators import answers, lifecycle
+from seclake import schemas
+from seclake.operators import answers, lifecycle, maintain
+from seclake.plans import changes
 from seclake.plans.file_scan import scan_and_store
+from seclake.plans.logs import append_log
 from seclake.sources import tables
+from seclake.sources.tables import read_table
 from seclake.sources.tree import list_tree, read_tree, tree_total
 from seclake.streaming.arriving import scan_arriving, scan_growing_tree
 from seclake.streaming.lifecycle import run_lifecycle_stream
@@ -278,3 +283,48 @@ def test_tree_that_grows_and_changes(spark, tmp_path):
     assert batches == len(more)
     lists = spark.read.parquet(f"{state}/lists")
     assert lists.count() == len(more)
+
+
+def test_log_numbers(spark, tmp_path):
+    """No gap, no id twice, the same ids after a repeated run and after a lost part."""
+    folder = str(tmp_path)
+
+    def rows(low, high):
+        return spark.range(low, high).select(
+            F.concat(F.lit("s"), F.col("id") % 3).alias("scan_id"), F.lit("scan_created").alias("action"),
+            F.col("id").cast("string").alias("details"),
+            F.timestamp_seconds(1000 - F.col("id")).cast("timestamp_ntz").alias("timestamp"))
+
+    def add(low, high, run):
+        append_log(maintain.audit_rows(rows(low, high)), folder, "audit_logs", run)
+
+    def ids():
+        return {(r.run, int(r.details)): r.id for r in read_table(spark, folder, "audit_logs").collect()}
+
+    add(0, 100, "one"), add(200, 250, "two")
+    got = ids()
+    assert sorted(got.values()) == list(range(1, 151))
+    assert [got["one", i] for i in (99, 0)] == [1, 100] and got["two", 249] == 101  # by time
+    add(0, 100, "one")
+    assert ids() == got
+    shutil.rmtree(tmp_path / "audit_logs" / "run=two")
+    add(300, 310, "three"), add(200, 250, "two")
+    assert {k: v for k, v in ids().items() if k[0] != "three"} == got
+    add(0, 90, "one")  # other rows take other numbers
+    assert sorted(ids().values()) == list(range(101, 251))
+    add(0, 0, "none"), add(400, 401, "four")
+    assert ids()["four", 400] == 251
+
+
+def test_deletes_go_on_with_the_numbers(spark):
+    tables = {name: spark.createDataFrame([], schema) for name, schema in (
+        ("scans", schemas.SCANS), ("vulnerabilities", schemas.VULNERABILITIES),
+        ("score_history", schemas.SCORE_HISTORY))}
+    tables["audit_logs"] = maintain.audit_rows(spark.createDataFrame(
+        [("a", "x"), ("b", "y")], "scan_id string, action string").withColumn(
+        "details", F.lit("d")).withColumn("timestamp", F.lit("2026-01-01").cast("timestamp_ntz"))
+        ).withColumn("id", F.when(F.col("scan_id") == "a", 7).otherwise(8).cast("long"))
+    ids = spark.createDataFrame([("a",), ("a",), ("c",)], "scan_id string")
+    got = changes.delete_scans(tables, ids, "1", F.lit("2026-01-02").cast("timestamp_ntz"))["audit_logs"]
+    assert sorted((r.id, r.scan_id, r.action) for r in got.collect()) == [
+        (8, "b", "y"), (9, "a", "scan_deleted"), (10, "c", "scan_deleted")]
