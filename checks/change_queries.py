@@ -15,6 +15,7 @@ from seclake.plans import changes
 from seclake.plans.answered_scans import answered_profiles
 from seclake.plans.logs import append_log
 from seclake.session import new_folder
+from seclake.sources.bucketed import BucketedTable
 from seclake.sources.tables import append, read_answers, read_table, write_reports
 from seclake.streaming.feed import event_feed, run_to_end
 from seclake.streaming.lifecycle import run_lifecycle_stream
@@ -215,20 +216,47 @@ def j6_keys(spark, sf):
     return names.unionByName(ids).unionByName(owners)
 
 
-@query("j7_keyed_update", given("scans", "score_history") + """
+_NEWS = given("scans", "score_history") + """
 , news AS (SELECT scan_id, arg_max(score, (timestamp, id)) AS score, max(timestamp) AS at
     FROM score_history GROUP BY scan_id)
 SELECT s.id, s.file_path, COALESCE(n.score, s.risk_score) AS risk_score, COALESCE(n.at, s.updated_at) AS updated_at
-FROM scans s LEFT JOIN news n ON s.id = n.scan_id""")
-def j7(spark, sf):
-    news = latest(
+FROM scans s LEFT JOIN news n ON s.id = n.scan_id"""
+
+
+def _news(spark, sf):
+    return latest(
         A.score_history(spark, sf), ["scan_id"], [F.col("timestamp").desc(), F.col("id").desc()]
     ).select(F.col("scan_id").alias("id"), F.col("score").alias("risk_score"),
              F.col("timestamp").alias("updated_at"))
-    return maintain.updated(A.scans(spark, sf), news).select(
+
+
+@query("j7_keyed_update", _NEWS)
+def j7(spark, sf):
+    return maintain.updated(A.scans(spark, sf), _news(spark, sf)).select(
         "id", "file_path", "risk_score", "updated_at")
 
 
+@query("j7_merge_buckets", _NEWS)
+def j7_buckets(spark, sf):
+    table = BucketedTable(spark, new_folder(spark, "merged"), "id", schemas.SCANS)
+    table.create(maintain.fitted(A.scans(spark, sf), schemas.SCANS), buckets=16)
+    table.merge(_news(spark, sf), "news")
+    return table.rows().select("id", "file_path", "risk_score", "updated_at")
+
+
+@query("j5_delete_buckets", given("scans", "vulnerabilities") + """
+, gone AS (SELECT id FROM scans WHERE lifecycle_status = 'Resolved')
+SELECT id, scan_id, category FROM vulnerabilities WHERE scan_id NOT IN (SELECT id FROM gone)""")
+def j5_buckets(spark, sf):
+    tables = _four(spark, sf)
+    table = BucketedTable(
+        spark, new_folder(spark, "deleted"), "scan_id", schemas.VULNERABILITIES)
+    table.create(maintain.fitted(tables["vulnerabilities"], schemas.VULNERABILITIES), buckets=16)
+    table.delete(tables["scans"].filter("lifecycle_status = 'Resolved'").select(
+        F.col("id").alias("scan_id")), "resolved")
+    return table.rows().select("id", "scan_id", "category")
+
+
 # ---- stored tables ---------------------------------------------------------------------
 
 @query("s3_read_tables", given(*_FOUR, "users") + """

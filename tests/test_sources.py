@@ -6,6 +6,7 @@ import shutil
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from checks import adapters as A
 from checks.change_queries import _safe_scans, _starting
@@ -15,6 +16,7 @@ from seclake.plans import changes
 from seclake.plans.file_scan import scan_and_store
 from seclake.plans.logs import append_log
 from seclake.sources import tables
+from seclake.sources.bucketed import BucketedTable
 from seclake.sources.tables import read_table
 from seclake.sources.tree import list_tree, read_tree, tree_total
 from seclake.streaming.arriving import scan_arriving, scan_growing_tree
@@ -328,3 +330,48 @@ def test_deletes_go_on_with_the_numbers(spark):
     got = changes.delete_scans(tables, ids, "1", F.lit("2026-01-02").cast("timestamp_ntz"))["audit_logs"]
     assert sorted((r.id, r.scan_id, r.action) for r in got.collect()) == [
         (8, "b", "y"), (9, "a", "scan_deleted"), (10, "c", "scan_deleted")]
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    schema = StructType([StructField(n, StringType()) for n in ("id", "owner", "state")])
+    table = BucketedTable(spark, str(tmp_path), "owner", schema)
+    rows = [(f"f{i}", f"o{i % 40}", "open") for i in range(400)] + [("x", None, "open")]
+    table.create(spark.createDataFrame(rows, schema), buckets=16)
+
+    def files():
+        return {r[0] for r in table.rows().select(F.input_file_name()).distinct().collect()}
+
+    def held():
+        return {tuple(r) for r in table.rows().collect()}
+
+    start = files()
+    news = [("f3", "o3", "closed"), ("f43", "o3", None), ("nobody", "o3", "new"), ("f1", None, "no")]
+    touched = table.merge(spark.createDataFrame(news, schema), "one", key="id")
+    assert len(touched) == 1
+    want = {("f3", "o3", "closed") if r[0] == "f3" else r for r in rows}
+    assert held() == want
+    kept = {f for f in start if f"/bucket={touched[0]}/" not in f}
+    assert kept < start and kept < files() and len(files() - kept) >= 1
+    # Done already; and a job that died before its manifest is run again.
+    assert table.merge(spark.createDataFrame([("f3", "o3", "lost")], schema), "one", key="id") == []
+    assert held() == want
+    gone = spark.createDataFrame([("o5",), ("o5",), (None,), ("unknown",)], "owner string")
+    table.delete(gone, "two")
+    shutil.rmtree(tmp_path / "manifest" / "version=2")
+    assert table.version() == 1 and held() == want
+    table.delete(gone, "two")
+    want = {r for r in want if r[1] != "o5"}
+    assert held() == want and {tuple(r) for r in table.rows(0).collect()} == set(rows)
+    everyone = spark.createDataFrame([(f"o{i}",) for i in range(40)], "owner string")
+    table.delete(everyone, "three")
+    assert held() == {("x", None, "open")}
+    table.merge(spark.createDataFrame([("f3", "o3", "closed")], schema), "four", key="id")
+    assert held() == {("x", None, "open")}
+
+
+def test_empty_bucketed_table(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path), "id", schemas.SCANS)
+    table.create(spark.createDataFrame([], schemas.SCANS), buckets=4)
+    assert table.rows().count() == 0
+    assert table.delete(spark.createDataFrame([("a",)], "id string"), "one") == []
+    assert table.rows().schema == schemas.SCANS
