@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seclake.llm.blocks import mix, small_batches, text_bytes
 from seclake.session import spread
@@ -16,19 +17,24 @@ CHUNK_CHARS = 8_000_000  # characters of items that one pass over the documents
 _BLOCK = 1 << 20
 _BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = 2_000_000  # places of q-grams that are listed at once
+_CELLS = 1_000_000  # cells of alignments that are filled at once
+MANY_JOBS = 256  # alignments of a block of texts beyond which costs are worked out side by side
 
 
 @dataclass(frozen=True)
 class MatchRule:
     """Items of ``least_chars`` or more are found with up to ``edits`` of their characters put
     in, left out or replaced; fewer where an item is so short that matches would not need to
-    share a run of ``q`` characters."""
+    share a run of ``q`` characters. Shorter items are found as they are, not inside a word."""
 
     q: int = 10
     edits: float = 0.08
     least_chars: int = 32
 
     def budget(self, length: int) -> int:
+        if length < max(self.least_chars, self.q):
+            return 0
         return max(0, min(int(self.edits * length), (length - self.q) // self.q))
 
     def shared(self, length: int) -> int:
@@ -67,6 +73,17 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
     return mix(out)
 
 
+def _places(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each number anew."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _runs(turn: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last place, exclusive, of each run of equal numbers."""
+    cuts = np.flatnonzero(turn[1:] != turn[:-1]) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(turn)])
+
+
 class ItemIndex:
     """The q-grams of a chunk of benchmark items, by value."""
 
@@ -76,7 +93,17 @@ class ItemIndex:
         self.length = length
         self.budget = np.array([rule.budget(n) for n in length], np.int64)
         self.shared = np.array([rule.shared(n) for n in length], np.int64)
-        grams = [_grams(x, rule.q) for _, x in items]
+        self.letters = np.concatenate([x for _, x in items]) if items else np.zeros(0, np.uint32)
+        self.begin = np.cumsum(length) - length
+        # Short items are looked for as a whole, by length.
+        small = self.length < max(rule.least_chars, rule.q)
+        self.short = {}
+        for n in np.unique(self.length[small]):
+            own = np.flatnonzero(self.length == n)
+            whole = np.concatenate([_grams(items[i][1], int(n)) for i in own])
+            order = np.argsort(whole, kind="stable")
+            self.short[int(n)] = whole[order], own[order]
+        grams = [_grams(x if not few else x[:0], rule.q) for (_, x), few in zip(items, small)]
         values = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else owner
@@ -91,7 +118,8 @@ class ItemIndex:
         """item, first and last diagonal of bands with enough q-grams in common.
 
         A diagonal is a place in the text less the place in the item. A match with e edits
-        keeps to e + 1 diagonals, so bands of 2 (e + 1) that overlap by half miss none.
+        keeps to e + 1 diagonals, so bands of 2 (e + 1) that overlap by half miss none. Places of
+        common q-grams are counted per band in turns, never listed all at once.
         """
         grams = _grams(points, self.rule.q)
         at = np.flatnonzero(self.filter[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -101,29 +129,113 @@ class ItemIndex:
         hit = self.values[slot] == grams[at]
         at, slot = at[hit], slot[hit]
         many = self.first[slot + 1] - self.first[slot]
-        which = np.repeat(self.first[slot], many) + (
-            np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-        item = self.owner[which]
-        diagonal = np.repeat(at, many) - self.place[which]
-        half = self.budget[item] + 1
-        band = (diagonal + self.length[item] + half) // half  # from 1 on
-        wide = int(band.max()) + 2 if len(band) else 1
-        keys, count = np.unique(item * wide + band, return_counts=True)
+        wide = len(points) + int(self.length.max()) + 3
+        keys, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        turn = (np.cumsum(many) - many) // _PLACES
+        for lo, hi in _runs(turn):
+            which = np.repeat(self.first[slot[lo:hi]], many[lo:hi]) + _places(many[lo:hi])
+            item = self.owner[which]
+            diagonal = np.repeat(at[lo:hi], many[lo:hi]) - self.place[which]
+            half = self.budget[item] + 1
+            band = (diagonal + self.length[item] + half) // half  # from 1 on
+            new, times = np.unique(item * wide + band, return_counts=True)
+            keys, inverse = np.unique(np.concatenate((keys, new)), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate((count, times)), len(keys)).astype(np.int64)
         item, band = keys // wide, keys % wide
         both, before = count.copy(), count.copy()
         near = keys[1:] == keys[:-1] + 1
         both[:-1][near] += count[1:][near]
         before[1:][near] += count[:-1][near]
-        found = []
-        for i, b, n in zip(item, band, np.maximum(both, before)):
-            if n >= self.shared[i]:
-                half = int(self.budget[i]) + 1
-                lo = int(b) * half - int(self.length[i]) - half
-                if found and found[-1][0] == i and lo - half <= found[-1][2] + 1:
-                    found[-1] = (int(i), found[-1][1], lo + 2 * half - 1)
-                else:
-                    found.append((int(i), lo - half, lo + 2 * half - 1))
-        return found
+        enough = np.maximum(both, before) >= self.shared[item]
+        item, band = item[enough], band[enough]
+        if not len(item):
+            return []
+        apart = np.ones(len(item), bool)  # bands of one item that touch are one
+        apart[1:] = (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 3)
+        a = np.flatnonzero(apart)
+        b = np.append(a[1:], len(item)) - 1
+        item, half = item[a], self.budget[item[a]] + 1
+        return list(zip(item.tolist(), ((band[a] - 2) * half - self.length[item]).tolist(),
+                        ((band[b] + 1) * half - 1 - self.length[item]).tolist()))
+
+    def short_matches(self, points: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        """text number, item, start and end in ``points`` of short items, found as they are.
+
+        A match does not begin or end inside a word of the text: characters beyond ASCII,
+        letters, digits and _ make up words.
+        """
+        if not self.short:
+            return
+        word = (points >= 128) | (points == 95) | ((points >= 48) & (points <= 57)) | (
+            (points >= 97) & (points <= 122))
+        inside = np.zeros(len(points) + 1, bool)  # a word goes on over this place
+        inside[1:-1] = word[1:] & word[:-1]
+        inside[first] = False
+        text = np.zeros(len(points) + 1, np.int64)
+        np.add.at(text, first[1:-1], 1)
+        text = np.cumsum(text)
+        wide, grams = points.astype(np.uint64), np.zeros(len(points), np.uint64)
+        for n in range(1, max(self.short) + 1):
+            grams = grams[:max(0, len(points) - n + 1)] * _BASE + wide[n - 1:]
+            if n not in self.short or not len(grams):
+                continue
+            values, owner = self.short[n]
+            hashed = mix(grams)
+            lo, hi = np.searchsorted(values, hashed), np.searchsorted(values, hashed, "right")
+            at = np.flatnonzero((hi > lo) & ~inside[:len(grams)] & ~inside[n:]
+                                & (text[:len(grams)] == text[n - 1:-1]))
+            ends: dict[int, int] = {}
+            for p in at.tolist():
+                for i in owner[lo[p]:hi[p]].tolist():
+                    if ends.get(i, 0) <= p and np.array_equal(self.items[i][1], points[p:p + n]):
+                        ends[i] = p + n
+                        yield int(text[p]), i, p, p + n
+
+    def near_enough(self, points: np.ndarray, jobs: list[tuple]) -> np.ndarray:
+        """For each job (text number, item, lo, hi, x, y: the text is points[x:y]) whether an
+        alignment in its band keeps to the budget. Many jobs are filled in side by side."""
+        item = np.array([j[1] for j in jobs], np.int64)
+        length, budget = self.length[item], self.budget[item]
+        lo, hi, x, y = (np.array([j[k] for j in jobs], np.int64) for k in (2, 3, 4, 5))
+        lo, width = lo - budget, hi - lo + 2 * budget + 1
+        out = np.zeros(len(jobs), bool)
+        order = np.lexsort((-length, width))
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b + 1 - a) * (int(width[order[b]]) + 1) <= _CELLS // 8:
+                b += 1
+            own = order[a:b][np.argsort(-length[order[a:b]], kind="stable")]
+            out[own] = self._costs(points, item[own], lo[own], width[own], x[own], y[own]) <= budget[own]
+            a = b
+        return out
+
+    def _costs(self, points, item, lo, width, x, y) -> np.ndarray:
+        """Least edits of each job; the longest items come first."""
+        n, w = self.length[item], int(width.max())
+        far = int(n[0]) + 1
+        steps = np.arange(w)
+        column = lo[:, None] + steps  # place in the text of the band's column in the row at hand
+        off = steps >= width[:, None]
+        text = y - x
+        cost = np.where(off | (column < 0) | (column > text[:, None]), far, 0)
+        begin = self.begin[item]
+        least = np.full(len(item), far)
+        active = len(item)
+        for i in range(far - 1):
+            while n[active - 1] <= i:
+                active -= 1
+            at = column[:active] + i
+            real = (at >= 0) & (at < text[:active, None])
+            char = points[np.where(real, at + x[:active, None], 0)]
+            best = cost[:active] + np.where(real, char != self.letters[begin[:active] + i][:, None], far)
+            best[:, :-1] = np.minimum(best[:, :-1], cost[:active, 1:] + 1)
+            best = np.minimum.accumulate(best - steps, axis=1) + steps
+            best[off[:active] | (at + 1 < 0) | (at + 1 > text[:active, None])] = far
+            cost[:active] = np.minimum(best, far)
+            done = np.flatnonzero(n[:active] == i + 1)
+            least[done] = cost[done].min(axis=1)
+        return least
 
     def align(self, item: int, points: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int]]:
         """start, end and edits of matches whose diagonals are from lo to hi, apart.
@@ -176,7 +288,10 @@ def _matches(index: ItemIndex, offsets: np.ndarray, raw: np.ndarray) -> Iterator
     points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
     flat, at = _normal(points, starts[:-1])
     first = np.searchsorted(at, starts)
+    for text, item, start, end in index.short_matches(flat, first):
+        yield (text, item, int(at[start] - starts[text]), int(at[end - 1] + 1 - starts[text]), 0)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    jobs = []
     for item, lo, hi in index.candidates(flat):
         length = int(index.length[item])
         a = int(np.searchsorted(first, max(0, lo), "right")) - 1
@@ -184,8 +299,11 @@ def _matches(index: ItemIndex, offsets: np.ndarray, raw: np.ndarray) -> Iterator
         for text in range(max(0, a), min(b, len(first) - 1)):
             x, y = int(first[text]), int(first[text + 1])
             if y > x:
-                found.setdefault((text, item), []).extend(
-                    index.align(item, flat[x:y], lo - x, hi - x))
+                jobs.append((text, item, lo - x, hi - x, x, y))
+    if len(jobs) > MANY_JOBS:
+        jobs = [job for job, good in zip(jobs, index.near_enough(flat, jobs)) if good]
+    for text, item, lo, hi, x, y in jobs:
+        found.setdefault((text, item), []).extend(index.align(item, flat[x:y], lo, hi))
     for (text, item), spans in found.items():
         x, taken = int(first[text]), []
         for s, e, edits in sorted(spans, key=lambda m: (m[2], m[0], m[1])):
@@ -195,13 +313,13 @@ def _matches(index: ItemIndex, offsets: np.ndarray, raw: np.ndarray) -> Iterator
                        int(at[x + e - 1] + 1 - starts[text]), edits)
 
 
-def _item_chunks(benchmark: DataFrame, rule: MatchRule) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items with an id and a text long enough, CHUNK_CHARS at a time."""
+def _item_chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items with a text, CHUNK_CHARS at a time."""
     chunk, chars = [], 0
-    rows = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     for row in rows.distinct().sort("item_id", "text").toLocalIterator():
         points = normal(row["text"].strip(" \t\n\x0b\x0c\r"))
-        if len(points) < max(rule.least_chars, rule.q):
+        if not len(points):
             continue
         if chars and chars + len(points) > CHUNK_CHARS:
             yield chunk
@@ -225,15 +343,17 @@ def benchmark_matches(
     The benchmark is looked for in chunks of bounded size, each sent to all tasks and searched
     for in every text; a larger benchmark means more passes, not more memory. No shuffle.
 
-    Null and empty texts and texts shorter than an item hold nothing. Items without id or
-    text, or with less than ``rule.least_chars`` characters, are not looked for; equal items
-    are all found. Repeated rows and null ids are searched each for itself.
+    Null and empty texts hold nothing, and items without text or of white space alone are in no
+    text. Items with less than ``rule.least_chars`` characters are found without edits and not
+    inside a word. Items without id are found with a null item_id; equal items are all found,
+    those with the same id once. Repeated rows and null ids are searched each for itself.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = spread(docs.select(*columns, "text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     id_kind = benchmark.schema["item_id"].dataType.simpleString()
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"{kinds}, item_id {id_kind}, start long, end long, edits long"
     width = len(columns)
 
@@ -252,14 +372,14 @@ def benchmark_matches(
                         rows_ = pa.array([lo + t for t in text])
                         yield pa.RecordBatch.from_arrays(
                             [*[batch.column(i).take(rows_) for i in range(width)],
-                             pa.array([index.items[i][0] for i in item]),
+                             pa.array([index.items[i][0] for i in item], id_type),
                              *[pa.array(v, pa.int64()) for v in (start, end, edits)]],
                             [*columns, "item_id", "start", "end", "edits"])
                     lo = hi
         return run
 
     out = None
-    for chunk in _item_chunks(benchmark, rule):
+    for chunk in _item_chunks(benchmark):
         # At most CHUNK_CHARS characters.
         found = rows.mapInArrow(search(spark.sparkContext.broadcast(chunk)), schema)
         out = found if out is None else out.union(found)
@@ -273,7 +393,8 @@ def benchmark_matches(
 def without_matches(
     docs: DataFrame, benchmark: DataFrame, rule: MatchRule = MatchRule(),
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item. No shuffle."""
+    """The rows of ``docs``, all columns, that hold no benchmark item, with id or without. No
+    shuffle. Rows with a null or empty text stay."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -296,7 +417,8 @@ def without_matches(
     rows = spread(docs.select(
         F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), "text"))
     schema = rows.schema
-    for chunk in _item_chunks(benchmark, rule):
+    texts = benchmark.select(F.lit(0).alias("item_id"), "text")
+    for chunk in _item_chunks(texts):
         rows = rows.mapInArrow(search(spark.sparkContext.broadcast(chunk)), schema)
     return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c)
                          for c in docs.columns])

@@ -96,6 +96,55 @@ def test_benchmark_in_chunks_and_of_nothing(spark, docs_of, monkeypatch):
     assert contamination.benchmark_matches(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_items_without_id(spark, docs_of):
+    rng = random.Random(9)
+    long = prose(rng, 12)
+    items = [(1, "Ab c"), (2, "x"), (3, "two  words here and there"), (4, "  \n"), (5, "é!"),
+             (None, long), (None, None), (7, "Ab c")]
+    texts = {1: "say ab \n C now", 2: "tab c", 3: "ab cd", 4: "x", 5: "axb x_ xé", 6: "a(x)",
+             7: "Two words here AND there.", 8: "Two words here AND thereby.", 9: "é!é!", 10: None,
+             11: "", 12: "so " + long.upper() + " on", 13: "ab", 14: "c"}
+    docs = docs_of(list(texts.items()))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start, r.end, r.edits)
+                  for r in contamination.benchmark_matches(docs, bench).collect()), key=str)
+    assert got == sorted([
+        (1, 1, 4, 10, 0), (1, 7, 4, 10, 0), (4, 2, 0, 1, 0), (6, 2, 2, 3, 0), (7, 3, 0, 24, 0),
+        (9, 5, 0, 2, 0), (9, 5, 2, 4, 0), (12, None, 3, 3 + len(long), 0)], key=str)
+    clean = {r.doc_id for r in contamination.without_matches(docs, bench.drop("item_id")).collect()}
+    assert clean == set(texts) - {1, 4, 6, 7, 9, 12}
+
+
+def test_costs_side_by_side_are_those_of_all_alignments(monkeypatch):
+    rng = random.Random(11)
+    rule = contamination.MatchRule(q=4, edits=0.2, least_chars=8)
+    items = [(i, contamination.normal("".join(rng.choice("ab ") for _ in range(rng.randrange(8, 40)))
+                                      .strip() + "abababab")) for i in range(30)]
+    monkeypatch.setattr(contamination, "_CELLS", 4000)
+    index = contamination.ItemIndex(items, rule)
+    text = "".join(rng.choice("ab ") for _ in range(400))
+    points = contamination.normal(text)
+    jobs = [(0, i, lo, hi, x, y) for x, y in ((0, 150), (150, len(contamination.normal(text))))
+            for i, lo, hi in index.candidates(points[x:y])]
+    assert len(jobs) > 20
+    good = index.near_enough(points, jobs)
+    for job, near in zip(jobs, good):
+        assert near == bool(index.align(job[1], points[job[4]:job[5]], job[2], job[3])), job
+
+
+def test_common_runs_of_many_items_and_of_one_letter(spark, docs_of, monkeypatch):
+    rng = random.Random(13)
+    shared = prose(rng, 9)[:60]
+    items = [(i, f"{prose(rng, 3)} {shared} {prose(rng, 3)}") for i in range(3000)]
+    items.append((9000, "e" * 500))
+    docs = docs_of([(1, f" {prose(rng, 2)} ".join([shared] * 10)), (2, "e" * 3000),
+                    (3, "so " + items[17][1] + " on")])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(contamination, "_PLACES", 1000)
+    got = contamination.benchmark_matches(docs, bench).collect()
+    assert sorted({(r.doc_id, r.item_id) for r in got}) == [(2, 9000), (3, 17)]
+
+
 # ---- mixing ----------------------------------------------------------------------------
 
 def test_mix_edges(docs_of):
