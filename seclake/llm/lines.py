@@ -15,7 +15,8 @@ from seclake.llm.blocks import (
 from seclake.llm.tables import stored
 from seclake.session import spread
 
-LEAST_WORDS = 8
+LEAST_WORDS = 8  # lines of fewer words are compared by characters
+CHARS_AN_EDIT = 20  # characters that a line of few words has for an edit of one
 LONG_WORDS = 16
 BLOCKS = 8
 MOST_SENT = 300_000  # wanted lines sent to every executor at most; beyond that texts are shuffled
@@ -43,7 +44,8 @@ def _lines(rows: DataFrame) -> DataFrame:
 
     ``ends`` are values of the line's first and its last words, 4 of each or from LONG_WORDS
     words on 8 (lines of exactly LONG_WORDS have both). Two lines one word apart
-    have the one or the other in common.
+    have the one or the other in common. ``s`` is a line of fewer than LEAST_WORDS words and
+    CHARS_AN_EDIT characters or more, its words parted by one space.
     """
     kind = rows.schema["doc_id"].dataType
 
@@ -74,6 +76,12 @@ def _lines(rows: DataFrame) -> DataFrame:
                 keys, owner = np.concatenate(keys), np.concatenate(owner)
                 order = np.argsort(owner, kind="stable")
                 ends = np.searchsorted(owner[order], np.arange(len(n) + 1)).astype(np.int32)
+                lo, hi, raw = start[a], block.word_end[b - 1], block.data.tobytes()
+                short = [None] * len(n)
+                for i in np.flatnonzero((n < LEAST_WORDS) & (hi - lo >= CHARS_AN_EDIT)).tolist():
+                    words = b" ".join(raw[lo[i]:hi[i]].split()).decode()
+                    if len(words) >= CHARS_AN_EDIT:
+                        short[i] = words
                 at = pa.array(block.lo + doc)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(at), batch.column(1).take(at),
@@ -81,12 +89,13 @@ def _lines(rows: DataFrame) -> DataFrame:
                     pa.array(mix(one.of(a, b) + length).view(np.int64)),
                     pa.array(mix(two.of(a, b) + length).view(np.int64)),
                     pa.ListArray.from_arrays(
-                        pa.array(ends), pa.array(keys[order].view(np.int64)))],
-                    ["doc_id", "t", "line", "n", "w1", "w2", "ends"])
+                        pa.array(ends), pa.array(keys[order].view(np.int64))),
+                    pa.array(short, pa.string())],
+                    ["doc_id", "t", "line", "n", "w1", "w2", "ends", "s"])
 
     return rows.select("doc_id", "t", "text").mapInArrow(
         released(run), f"doc_id {kind.simpleString()}, t long, line int, n int, w1 long, w2 long, "
-             "ends array<long>")
+             "ends array<long>, s string")
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
@@ -197,6 +206,55 @@ def _variants(lines: DataFrame) -> DataFrame:
         released(run), f"h1 long, h2 long, role int, {kinds}")
 
 
+def _short_variants(lines: DataFrame) -> DataFrame:
+    """The neighbourhood of lines of few words (s), as _variants gives it, a character left out."""
+    size = F.length("s")
+
+    def key(*of):
+        return F.xxhash64(*of).alias("h1"), F.xxhash64(F.lit("2"), *of).alias("h2")
+
+    less = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(
+        F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, size)).alias("v"),
+        i.alias("at")))
+    return lines.select("cid", *ORDER, "s", F.explode(less).alias("less")).select(
+        "cid", *ORDER, F.explode(F.array(
+            F.struct(*key("less.v", "less.at"), F.lit(SAME_LENGTH).alias("role")),
+            F.struct(*key("less.v"), F.lit(SHORTENED).alias("role")))).alias("key")).union(
+        lines.select("cid", *ORDER, F.struct(*key("s"), F.lit(WHOLE).alias("role")))).select(
+        "key.*", "cid", *ORDER)
+
+
+def _earlier(variants: DataFrame) -> DataFrame:
+    """cid and other, the earliest line that shares a variant, where it is earlier."""
+    earliest = variants.groupBy("h1", "h2", "role").agg(
+        F.min(F.struct(*ORDER, "cid")).alias("first"), F.count("*").alias("lines")).filter(
+        f"role <> {SAME_LENGTH} OR lines > 1")
+    role = F.element_at(F.array(F.lit(SAME_LENGTH), F.lit(SHORTENED), F.lit(WHOLE)),
+                        F.col("role") + 1)
+    meets = stored(earliest.select("h1", "h2", role.alias("role"), "first"), "earliest")
+    return variants.join(meets, ["h1", "h2", "role"]).filter(
+        F.col("first") < F.struct(*ORDER, "cid")).select(
+        "cid", F.col("first.cid").alias("other")).filter("cid <> other").distinct()
+
+
+def _short_near(firsts: DataFrame) -> DataFrame:
+    """cid of lines of few words that are one character from an earlier one.
+
+    Such two lines have the first or the last CHARS_AN_EDIT / 2 characters in common.
+    """
+    short, half = firsts.filter("s IS NOT NULL").select("cid", *ORDER, "s"), CHARS_AN_EDIT // 2
+    ends = short.select("cid", F.explode(F.array(
+        F.xxhash64(F.lit("first"), F.left("s", F.lit(half))),
+        F.xxhash64(F.lit("last"), F.right("s", F.lit(half))))).alias("end"))
+    shared = stored(ends.groupBy("end").agg(F.count("*").alias("lines")).filter(
+        "lines > 1").select("end"), "ends")
+    lines = stored(short.join(ends.join(shared, "end").select("cid").distinct(), "cid"), "short")
+    words = lines.select("cid", "s")
+    both = _earlier(_short_variants(lines)).join(words, "cid").join(
+        words.select(F.col("cid").alias("other"), F.col("s").alias("before")), "other")
+    return both.filter(F.levenshtein("s", "before") <= 1).select("cid").distinct()
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """cid of each pair (cid, other) whose words are within one edit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +301,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     A line with words goes if an earlier line of the table, by id and place, has the same
     words, or is one word put in, left out or replaced away while both have LEAST_WORDS words
-    or more. Earlier lines count whether they stay or not. ``kept`` is what is left of the
+    or more, or is one character away while both have fewer words and CHARS_AN_EDIT characters
+    or more, spaces between words counted as one. Earlier lines count whether they stay or not. ``kept`` is what is left of the
     text, "" if every line with words goes. Lines without words stay beside others.
 
     First of each set of equal lines stand for all. Of these, only lines whose first or last
@@ -263,7 +322,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         docs["text"], id_key(docs["doc_id"]).alias("k"), text_key(docs["text"]).alias("t")))
     late = F.col("doc_id").isNull().alias("late")
     firsts = stored(_lines(rows).groupBy("w1", "w2").agg(F.min(F.struct(
-        late, "doc_id", "t", "line", "n", "ends")).alias("first")).select("first.*").withColumn(
+        late, "doc_id", "t", "line", "n", "ends", "s")).alias("first")).select("first.*").withColumn(
         "cid", F.monotonically_increasing_id()), "lines")
 
     ends = firsts.select("cid", F.explode("ends").alias("end"))
@@ -271,7 +330,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     shared = stored(ends.groupBy("end").agg(F.count("*").alias("lines")).filter(
         "lines > 1").select("end"), "ends")
     likely = ends.join(shared, "end").select("cid").distinct()
-    likely = stored(firsts.drop("ends").join(likely, "cid"), "likely")
+    likely = stored(firsts.drop("ends", "s").join(likely, "cid"), "likely")
     wanted = likely.groupBy(id_key(F.col("doc_id")).alias("k"), "t").agg(
         F.collect_list(F.struct("cid", "line")).alias("own"))
     few = likely.count() <= MOST_SENT
@@ -285,17 +344,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
         F.collect_set("block").alias("parts"))
     lines = stored(likely.join(words, "cid").join(parts, "cid"), "words")
 
-    variants = _variants(lines)
-    earliest = variants.groupBy("h1", "h2", "role").agg(
-        F.min(F.struct(*ORDER, "cid")).alias("first"), F.count("*").alias("lines")).filter(
-        f"role <> {SAME_LENGTH} OR lines > 1")
-    role = F.element_at(F.array(F.lit(SAME_LENGTH), F.lit(SHORTENED), F.lit(WHOLE)),
-                        F.col("role") + 1)
-    meets = stored(earliest.select("h1", "h2", role.alias("role"), "first"), "earliest")
-    pairs = variants.join(meets, ["h1", "h2", "role"]).filter(
-        F.col("first") < F.struct(*ORDER, "cid")).select(
-        "cid", F.col("first.cid").alias("other")).filter("cid <> other").distinct()
-    gone = stored(_verified(pairs, lines), "near")
+    gone = stored(_verified(_earlier(_variants(lines)), lines).union(_short_near(firsts)), "near")
 
     stay = firsts.join(gone, "cid", "left_anti").groupBy(
         id_key(F.col("doc_id")).alias("k"), "t").agg(F.collect_list("line").alias("stay"))

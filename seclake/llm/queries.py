@@ -38,9 +38,19 @@ whole AS (SELECT s, place, md5(s) AS h FROM firsts WHERE n >= {lines.LEAST_WORDS
 apart AS (
   SELECT CASE WHEN w.place < l.place THEN l.s ELSE w.s END AS s
   FROM less l JOIN whole w ON w.h = l.h),
+short AS (
+  SELECT s, place, length(s) AS len FROM firsts
+  WHERE n < {lines.LEAST_WORDS} AND length(s) >= {lines.CHARS_AN_EDIT}),
+cut AS (
+  SELECT s, place, len, pos, substr(s, 1, pos - 1) || substr(s, pos + 1) AS v FROM (
+    SELECT *, CAST(unnest(range(1, len + 1)) AS INT) AS pos FROM short)),
+one_off AS (
+  SELECT s FROM (SELECT s, place, min(place) OVER (PARTITION BY v, pos, len) AS first FROM cut)
+  WHERE first < place
+  UNION SELECT CASE WHEN w.place < c.place THEN c.s ELSE w.s END FROM cut c JOIN short w ON w.s = c.v),
 stay AS (
   SELECT s, place FROM firsts
-  WHERE s NOT IN (SELECT s FROM replaced UNION SELECT s FROM apart)),
+  WHERE s NOT IN (SELECT s FROM replaced UNION SELECT s FROM apart UNION SELECT s FROM one_off)),
 marked AS (
   SELECT l.*, y.s IS NOT NULL AS stays FROM lines l
   LEFT JOIN stay y ON y.s = l.s AND y.place = (l.doc_id, l.at_line))

@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 
 from seclake.llm.components import components
-from seclake.llm.lines import LEAST_WORDS, with_kept_lines, within_one, without_repeated_lines
+from seclake.llm.lines import (
+    CHARS_AN_EDIT, LEAST_WORDS, with_kept_lines, within_one, without_repeated_lines,
+)
 from seclake.llm.near_copies import least_shared, near_copies, one_of_each
 from seclake.llm.passages import without_repeats
 
@@ -159,6 +161,15 @@ def test_passages_of_nothing_and_of_repeated_rows(docs_of):
     assert Counter(tuple(r) for r in got) == removed_by_hand(rows, 35)
 
 
+def alike(a, b):
+    """Whether two lines of words are equal or within the bound for their length."""
+    if min(len(a), len(b)) >= LEAST_WORDS:
+        return within_one(a, b)
+    x, y = " ".join(a), " ".join(b)
+    return a == b or max(len(a), len(b)) < LEAST_WORDS and min(
+        len(x), len(y)) >= CHARS_AN_EDIT and within_one(list(x), list(y))
+
+
 def kept_by_hand(rows):
     """Rows in order; every line against all lines before it."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
@@ -168,9 +179,7 @@ def kept_by_hand(rows):
         left, worded, gone = [], 0, 0
         for line in lines:
             words = WORD.findall(line)
-            stays = not words or not any(
-                w == words or min(len(w), len(words)) >= LEAST_WORDS and within_one(w, words)
-                for w in before)
+            stays = not words or not any(alike(w, words) for w in before)
             worded += bool(words)
             gone += not stays
             if stays:
@@ -200,6 +209,25 @@ def test_repeated_lines(docs_of):
     assert Counter(tuple(r) for r in got) == kept_by_hand(rows)
 
 
+def test_lines_of_few_words(docs_of):
+    """Characters put in, left out and replaced, at both ends too; lines at the bounds."""
+    rng = random.Random(6)
+    base = ["Share this page with friends", "Privacy policy and terms", "a" * 20, "a" * 19, "é" * 20,
+            "aabb" * 5, "one two three four five six seven", "\U0001f600 smile at the camera now"]
+    lines = list(base)
+    for _ in range(150):
+        chars = list(rng.choice(base))
+        for _ in range(rng.choice((1, 1, 2))):
+            i = rng.choice((0, len(chars) - 1, rng.randrange(len(chars))))
+            chars[i:i + 1] = rng.choice([[], [chars[i], rng.choice("ab é")], [rng.choice("xé ")]])
+        lines.append("".join(chars).replace(" ", rng.choice((" ", "  ", "\t"))))
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 4:i * 4 + 4])) for i in range(40)]
+    got = without_repeated_lines(docs_of(rows)).select(
+        "row.doc_id", "n_lines", "n_removed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == kept_by_hand(rows)
+
+
 def test_lines_of_repeated_rows(docs_of):
     rows = [(1, "a b\nc"), (1, "a b\nc"), (2, "c\n\nnew"), (None, "c"), (None, "c")]
     got = without_repeated_lines(docs_of(rows)).select("row.doc_id", "n_removed", "kept").collect()
