@@ -9,6 +9,9 @@ from checks.pieces import lifecycle_sql
 from checks.registry import given, query
 from seclake.functions import texts
 from seclake.operators import views
+from seclake.plans.stored_dashboard import stored_dashboard
+from seclake.session import new_folder
+from seclake.sources.tables import append
 
 _SCAN_COLUMNS = """id AS "scanId", file_path AS "filePath", language, mode, risk_score AS "riskScore",
     risk_level AS "riskLevel", lifecycle_status AS "lifecycleStatus", created_at AS "createdAt",
@@ -171,6 +174,42 @@ def a8(spark, sf):
     return views.findings_by_severity(A.vulnerabilities(spark, sf))
 
 
+@query("a6_dashboard_of_parts", given("scans", "vulnerabilities") + """
+SELECT 'totals' AS section, 'total_scans' AS name, count(*) AS count FROM scans
+UNION ALL SELECT 'totals', 'active_scans', count(*) FROM scans WHERE lifecycle_status <> 'Resolved'
+UNION ALL SELECT 'totals', 'resolved_scans', count(*) FROM scans WHERE lifecycle_status = 'Resolved'
+UNION ALL SELECT 'totals', 'average_score', CAST(floor(avg(risk_score)) AS BIGINT) FROM scans
+UNION ALL SELECT 'statuses', l.lifecycle_status, count(s.id)
+FROM (VALUES ('Safe'), ('Warning'), ('Vulnerable'), ('Critical'), ('Resolved')) l(lifecycle_status)
+LEFT JOIN scans s ON s.lifecycle_status = l.lifecycle_status GROUP BY ALL
+UNION ALL SELECT 'severities', l.severity, count(v.id)
+FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low')) l(severity)
+LEFT JOIN vulnerabilities v ON v.severity = l.severity GROUP BY ALL
+UNION ALL SELECT 'recent', id, CAST(risk_score AS BIGINT) FROM
+    (SELECT * FROM scans ORDER BY created_at DESC, id LIMIT 10)""")
+def a6_parts(spark, sf):
+    """Parts by user; one is first stored without its resolved scans and counted so."""
+    folder = new_folder(spark, "dashboard")
+    scans, found = A.scans(spark, sf), A.vulnerabilities(spark, sf)
+    part = F.pmod(F.xxhash64("user_id"), F.lit(3))
+    append(scans.filter((part == 0) & (F.col("lifecycle_status") != "Resolved")), folder, "scans", "a")
+    append(found, folder, "vulnerabilities", "a")
+    stored_dashboard(spark, folder)
+    for i, run in enumerate(("a", "b 1+2 %", "1")):
+        append(scans.filter(part == i), folder, "scans", run)
+    got = stored_dashboard(spark, folder)
+    totals = got["totals"].select(F.lit("totals").alias("section"), F.posexplode(F.array(
+        *[F.col(c).cast("long") for c in got["totals"].columns])).alias("at", "count")).select(
+        "section", F.element_at(F.array(*[F.lit(c) for c in got["totals"].columns]),
+                                F.col("at") + 1).alias("name"), "count")
+    return totals.unionByName(got["statuses"].select(
+        F.lit("statuses").alias("section"), F.col("lifecycle_status").alias("name"), "count")).unionByName(
+        got["severities"].select(
+            F.lit("severities").alias("section"), F.col("severity").alias("name"), "count")).unionByName(
+        got["recent"].select(F.lit("recent").alias("section"), F.col("id").alias("name"),
+                             F.col("riskScore").cast("long").alias("count")))
+
+
 @query("a14_row_counts", given("scans", "audit_logs") + """
 SELECT 'scans' AS rows_of, count(*) AS n FROM scans
 UNION ALL SELECT 'audit_logs', count(*) FROM audit_logs WHERE action = 'scan_created'""")

@@ -158,28 +158,33 @@ def dashboard_totals(scans: DataFrame) -> DataFrame:
         F.coalesce(F.avg("risk_score").cast("int"), F.lit(0)).alias("average_score"))
 
 
-def _with_zeros(rows: DataFrame, column: str, names: tuple[str, ...]) -> DataFrame:
-    """Count rows per value, with a zero row for every name that may be missing."""
+def _with_zeros(rows: DataFrame, column: str, names: tuple[str, ...],
+                n: Column | None = None) -> DataFrame:
+    """Count rows per value, with a zero row for every name that may be missing.
+
+    ``n`` counts rows that stand for several.
+    """
     spark = rows.sparkSession
     zeros = spark.range(1).select(
         F.explode(F.array(*[F.lit(n) for n in names])).alias(column),
         F.lit(0).cast("bigint").alias("n"))
-    counted = rows.groupBy(column).agg(F.count("*").alias("n")).unionByName(zeros)
+    count = F.count("*") if n is None else n
+    counted = rows.groupBy(column).agg(count.alias("n")).unionByName(zeros)
     return counted.groupBy(column).agg(F.sum("n").alias("count"))
 
 
-def scans_by_status(scans: DataFrame) -> DataFrame:
+def scans_by_status(scans: DataFrame, n: Column | None = None) -> DataFrame:
     """Scans per lifecycle status in fixed order, unknown statuses after."""
     place = F.array_position(F.array(*[F.lit(s) for s in LIFECYCLE]), F.col("lifecycle_status"))
-    counted = _with_zeros(scans, "lifecycle_status", LIFECYCLE)
+    counted = _with_zeros(scans, "lifecycle_status", LIFECYCLE, n)
     return counted.withColumn(
         "place", F.when(place > 0, place - 1).otherwise(len(LIFECYCLE)).cast("int"))
 
 
-def findings_by_severity(findings: DataFrame) -> DataFrame:
+def findings_by_severity(findings: DataFrame, n: Column | None = None) -> DataFrame:
     """Findings per severity with zeros, unknown severities dropped."""
     known = findings.filter(F.col("severity").isin(*SEVERITIES))
-    return _with_zeros(known, "severity", SEVERITIES)
+    return _with_zeros(known, "severity", SEVERITIES, n)
 
 
 def recent_scans(scans: DataFrame) -> DataFrame:

@@ -375,3 +375,48 @@ def test_empty_bucketed_table(spark, tmp_path):
     assert table.rows().count() == 0
     assert table.delete(spark.createDataFrame([("a",)], "id string"), "one") == []
     assert table.rows().schema == schemas.SCANS
+
+
+def test_dashboard_of_parts_reads_only_new_ones(spark, sf, tmp_path):
+    """Equal to the dashboard of the whole tables after appends, a replaced part, a part that
+    goes and a part of no rows."""
+    import shutil
+    from checks import adapters as A
+    from pyspark.sql import functions as F
+    from seclake.plans.dashboard import dashboard
+    from seclake.plans.stored_dashboard import kept_counts, stored_dashboard, stored_parts
+
+    folder = str(tmp_path)
+    scans, found = A.scans(spark, sf), A.vulnerabilities(spark, sf)
+    odd = scans.limit(3).withColumn("lifecycle_status", F.lit(None).cast("string")).withColumn(
+        "risk_score", F.lit(None).cast("int"))
+
+    def check():
+        got = stored_dashboard(spark, folder)
+        want = dashboard(tables.read_table(spark, folder, "scans"),
+                         tables.read_table(spark, folder, "vulnerabilities"))
+        for name in want:
+            assert got[name].columns == want[name].columns
+            assert sorted(map(str, got[name].collect())) == sorted(map(str, want[name].collect())), name
+
+    def counted(run):
+        return {p.name: p.stat().st_mtime_ns for p in (tmp_path / "scans_by_status" / f"part=run%3D{run}").iterdir()}
+
+    tables.append(scans.filter("id % 2 = 0"), folder, "scans", "one")
+    tables.append(found.filter("severity = 'High'"), folder, "vulnerabilities", "one")
+    check()
+    first = counted("one")
+    tables.append(scans.filter("id % 2 = 1").union(odd), folder, "scans", "a=b %")
+    tables.append(found.filter("severity <> 'High'"), folder, "vulnerabilities", "01")
+    tables.append(scans.limit(0), folder, "scans", "none")
+    check()
+    assert counted("one") == first
+    tables.append(scans.filter("id % 4 = 1"), folder, "scans", "a=b %")
+    _, new = kept_counts(spark, folder, "scans_by_status", stored_parts(spark, folder, "scans"))
+    assert "run=a=b %" in new and "run=one" not in new
+    check()
+    shutil.rmtree(tmp_path / "scans" / "run=one")
+    check()
+    tables.append(scans.filter("id % 2 = 0"), folder, "scans", "one")
+    check()
+    assert counted("one") != first
