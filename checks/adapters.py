@@ -240,11 +240,19 @@ def llm_responses(spark, sf):
     return read(spark, sf, "events").selectExpr(*_LLM_RESPONSES)
 
 
+def arriving(spark, sf, name: str, **options: str) -> DataFrame:
+    """A test table as a stream of files, whether it is one file or a folder of them.
+
+    A pattern names it: Spark takes a plain path of a stream to be a folder, and a filter of
+    names would be held against the files in the folder too.
+    """
+    return spark.readStream.schema(TABLES[name]).options(**options).parquet(
+        f"{sf}/{name}[.]parquet")
+
+
 def stream(spark, sf, name: str, exprs: list[str]) -> DataFrame:
     """A test table as a stream of arriving files; a trigger takes a bounded amount."""
-    return (
-        spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxBytesPerTrigger", str(8 << 30)).parquet(sf).selectExpr(*exprs))
+    return arriving(spark, sf, name, maxBytesPerTrigger=str(8 << 30)).selectExpr(*exprs)
 
 
 def with_plants(documents: DataFrame, column: str) -> DataFrame:

@@ -261,9 +261,7 @@ def s4(spark, sf):
 @query("t3_scan_arriving_files", _STORED.replace("'first'", "'batch-0'"))
 def t3(spark, sf):
     folder = new_folder(spark, "arriving")
-    documents = spark.readStream.schema(A.TABLES["documents"]).option(
-        "pathGlobFilter", "documents.parquet").parquet(sf)
-    scan_arriving(A.with_plants(documents, "hit"), folder, f"{folder}/state", _at())
+    scan_arriving(A.with_plants(A.arriving(spark, sf, "documents"), "hit"), folder, f"{folder}/state", _at())
     return _stored(spark, folder)
 
 

@@ -230,6 +230,19 @@ def test_state_table_over_merges(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
+def test_arriving_table_in_many_files(spark, tmp_path, sf):
+    """A table that is a folder of files arrives like one that is a single file."""
+    from checks.change_queries import t1
+    from checks.scan_queries import s4, t3
+    for name in ("documents", "events"):
+        A.read(spark, sf, name).limit(40).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    many = str(tmp_path)
+    count = {r.part: r["count"] for r in t3(spark, many).groupBy("part").count().collect()}
+    assert count == {r.part: r["count"] for r in s4(spark, many).groupBy("part").count().collect()}
+    assert count["scans"] == 40
+    assert t1(spark, many).select("audit_id").distinct().count() == 40
+
+
 def test_arriving_files_once(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
