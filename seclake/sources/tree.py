@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,8 +15,10 @@ from seclake.fixed_values import SCANNED_EXTENSIONS
 from seclake.session import cut
 
 _LISTED = (
-    "path STRING, is_folder BOOLEAN, length BIGINT, modified BIGINT, part INT, parts INT")
-_COLUMNS = ["path", "is_folder", "length", "modified", "part", "parts"]
+    "path STRING, is_folder BOOLEAN, length BIGINT, modified BIGINT, part INT, "
+    "names ARRAY<STRING>")
+_COLUMNS = ["path", "is_folder", "length", "modified", "part", "names"]
+_LEVEL = "path STRING, part INT, names ARRAY<STRING>"
 _ROWS = 5_000
 NAMES_PER_TASK = 10_000
 BYTES_PER_TASK = 128 << 20
@@ -44,9 +46,10 @@ def _names(folder: str) -> Iterator[str]:
 
 
 def _list_folders(names_per_task: int):
-    """List folders, or one part of the names of a large one.
+    """List folders, or some names of a large one.
 
-    A folder with more names than a task should look up is handed back in parts.
+    A folder with more names than a task should look up is read once and handed back in parts,
+    each with its names.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -54,21 +57,27 @@ def _list_folders(names_per_task: int):
         def frame(rows: list) -> pd.DataFrame:
             return pd.DataFrame(rows, columns=_COLUMNS).astype({
                 "path": "object", "is_folder": "bool", "length": "Int64", "modified": "Int64",
-                "part": "int32", "parts": "int32"})
+                "part": "int32", "names": "object"})
+
+        def parts(folder: str, names: Iterator[str]) -> Iterator[pd.DataFrame]:
+            pieces = iter(lambda: list(islice(names, names_per_task)), [])
+            numbered = ((folder, True, None, None, k, piece) for k, piece in enumerate(pieces))
+            for rows in iter(lambda: list(islice(numbered, max(1, _ROWS // names_per_task))), []):
+                yield frame(rows)
 
         for batch in batches:
-            for folder, part, parts in zip(batch["path"], batch["part"], batch["parts"]):
-                if parts == 1:
-                    parts = -(-sum(1 for _ in _names(folder)) // names_per_task)
-                    if parts > 1:
-                        yield frame([(folder, True, None, None, k, parts) for k in range(parts)])
+            for folder, own in zip(batch["path"], batch["names"]):
+                if own is None:
+                    names = _names(folder)
+                    own = list(islice(names, names_per_task + 1))
+                    if len(own) > names_per_task:
+                        yield from parts(folder, chain(own, names))
                         continue
                 system, inside, prefix = _file_system(folder)
-                own = [f"{inside.rstrip('/')}/{name}" for name in _names(folder)
-                       if parts < 2 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % parts == part]
+                own = [f"{inside.rstrip('/')}/{name}" for name in own]
                 for lo in range(0, len(own), _ROWS):
                     yield frame([
-                        (prefix + e.path, e.type == fs.FileType.Directory, e.size, e.mtime_ns, 0, 1)
+                        (prefix + e.path, e.type == fs.FileType.Directory, e.size, e.mtime_ns, 0, None)
                         for e in system.get_file_info(own[lo:lo + _ROWS])
                         if e.type != fs.FileType.NotFound])
 
@@ -82,21 +91,24 @@ def _plain_root(root: str) -> str:
 def list_tree(spark: SparkSession, root: str, names_per_task: int = NAMES_PER_TASK) -> DataFrame:
     """Every file below ``root``: path, path relative to root, length, time of change.
 
-    Folders are listed by tasks, one level of the tree at a time; a folder with more than
-    ``names_per_task`` names is divided by a hash of the name, and each part looked up by
-    a task of its own. Unlike Spark's own listing this also sees names that start with ``_`` or
-    ``.``, such as ``__init__.py``. A file that goes while it runs may be left out.
+    Folders are listed by tasks, one level of the tree at a time. The names of a folder with more
+    than ``names_per_task`` are read once, by one task, and dealt out in parts of that many, which
+    tasks look up side by side. Unlike Spark's own listing this also sees names that start with
+    ``_`` or ``.``, such as ``__init__.py``. A file that goes while it runs may be left out.
     """
     root = _plain_root(root)
-    level = spark.createDataFrame([(root, 0, 1)], "path STRING, part INT, parts INT")
+    level = spark.createDataFrame([(root, 0, None)], _LEVEL)
     levels = []
     while True:
         listed = cut(level.mapInPandas(_list_folders(names_per_task), _LISTED))
         levels.append(listed.filter("not is_folder"))
-        folders = listed.filter("is_folder").select("path", "part", "parts")
-        if folders.limit(1).count() == 0:
+        folders = listed.filter("is_folder").select("path", "part", "names")
+        named = F.sum(F.coalesce(F.size("names"), F.lit(1)))
+        left = folders.agg(F.coalesce(named, F.lit(0))).first()[0]
+        if left == 0:
             break
-        tasks = max(listed.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+        tasks = max(listed.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism,
+                    -(-left // NAMES_PER_TASK))
         level = folders.repartition(tasks, "path", "part")
     files = reduce(DataFrame.unionByName, levels)
     return files.select(

@@ -269,6 +269,25 @@ def test_large_flat_folder_is_listed_in_parts(spark, tmp_path):
     assert (total.files, total.bytes) == (20_001, sum(got.values()))
 
 
+def test_large_flat_folder_is_read_once(tmp_path, monkeypatch):
+    """Each name of a folder is read once, however many parts the folder is dealt out in."""
+    import pandas as pd
+
+    from seclake.sources import tree
+    for i in range(1_000):
+        (tmp_path / f"{i}.py").write_bytes(b"")
+    read, names = [], tree._names
+    monkeypatch.setattr(tree, "_names", lambda folder: (read.append(n) or n for n in names(folder)))
+    rows, files = pd.DataFrame([(str(tmp_path), 0, 1)], columns=["path", "part", "parts"]), []
+    rows["names"] = None
+    while len(rows):
+        listed = pd.concat(list(tree._list_folders(30)(iter([rows]))))
+        files += listed[~listed.is_folder].path.tolist()
+        rows = listed[listed.is_folder]
+    assert sorted(files) == sorted(str(tmp_path / f"{i}.py") for i in range(1_000))
+    assert len(read) == 1_000
+
+
 def test_tree_that_grows_and_changes(spark, tmp_path):
     root, out, state = tmp_path / "tree", str(tmp_path / "out"), str(tmp_path / "state")
 
