@@ -70,16 +70,16 @@ def repeated_keys(table: DataFrame, key: str) -> DataFrame:
     return table.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
-def updated(table: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+def updated(table: DataFrame, updates: DataFrame, key: str = "id", small: bool = False) -> DataFrame:
     """New values for rows whose key is in ``updates``; null keeps the old value.
 
     Of a repeated key one update counts, the greatest by its columns; ``ordered.latest``
-    picks by time.
+    picks by time. ``small`` updates are sent to the rows of the table.
     """
     changed = [c for c in updates.columns if c != key]
     updates = updates.groupBy(key).agg(F.max(F.struct(*changed)).alias("_")).select(key, "_.*")
     new = updates.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in changed])
-    joined = table.join(new, table[key] == F.col("_key"), "left")
+    joined = table.join(F.broadcast(new) if small else new, table[key] == F.col("_key"), "left")
     return joined.select([
         F.coalesce(F.col(f"_new_{c}"), table[c]).alias(c) if c in changed else table[c]
         for c in table.columns])

@@ -11,6 +11,8 @@ from seclake.operators.maintain import updated
 
 BUCKETS = 1024
 _MANIFEST = "bucket int, held int, run string"
+# A change of up to this size, as text and 64 bytes a row, is sent to every task.
+SENT_BYTES = 64 << 20
 
 
 class BucketedTable:
@@ -23,6 +25,10 @@ class BucketedTable:
 
     A bucket with most of the rows is written in many files. Rows with a null in ``by`` are
     kept in one bucket and no change finds them. One job changes a table at a time.
+
+    Rows are shuffled once, when the table is made. A change whose keys or new values take up
+    to ``SENT_BYTES`` goes to the rows, whose tasks write them back to their buckets; only a
+    larger one is joined by a shuffle of the rows it touches.
     """
 
     def __init__(self, spark: SparkSession, folder: str, by: str, schema: StructType):
@@ -51,9 +57,14 @@ class BucketedTable:
 
     def delete(self, keys: DataFrame, run: str) -> list[int]:
         """Without the rows whose ``by`` is in ``keys`` (J5). Gives the buckets rewritten."""
-        gone = keys.select(F.col(self.by).alias("_gone")).distinct()
-        return self._change(keys, lambda rows: rows.join(
-            gone, rows[self.by] == F.col("_gone"), "left_anti"), run)
+        gone = keys.select(F.col(self.by)).filter(F.col(self.by).isNotNull()).distinct()
+
+        def change(rows: DataFrame, small: bool) -> DataFrame:
+            named = gone.select(F.col(self.by).alias("_gone"))
+            named = F.broadcast(named) if small else named
+            return rows.join(named, rows[self.by] == F.col("_gone"), "left_anti")
+
+        return self._change(gone, change, run)
 
     def merge(self, updates: DataFrame, run: str, key: str | None = None) -> list[int]:
         """New values for rows whose ``key`` is in ``updates``, as ``updated`` gives them.
@@ -62,7 +73,7 @@ class BucketedTable:
         """
         key = key or self.by
         news = updates.drop(*{self.by} - {key})
-        return self._change(updates, lambda rows: updated(rows, news, key), run)
+        return self._change(updates, lambda rows, small: updated(rows, news, key, small), run)
 
     def _bucket(self, count: int) -> Column:
         return F.pmod(F.xxhash64(self.by), F.lit(count)).cast("int")
@@ -78,7 +89,7 @@ class BucketedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def _change(self, touching: DataFrame, change: Callable[[DataFrame], DataFrame],
+    def _change(self, touching: DataFrame, change: Callable[[DataFrame, bool], DataFrame],
                 run: str) -> list[int]:
         before = self.version()
         runs = self.spark.read.schema(_MANIFEST).parquet(*[
@@ -86,17 +97,23 @@ class BucketedTable:
         if runs.filter(F.col("run") == run).limit(1).count():
             return []
         held = self._held(before)
-        found = {r[0] for r in touching.filter(F.col(self.by).isNotNull()).select(
-            self._bucket(len(held))).distinct().collect()}
+        text = F.concat_ws("", *[F.col(c).cast("string") for c in touching.columns])
+        bucket = F.when(F.col(self.by).isNotNull(), self._bucket(len(held)))
+        found = {r[0]: r[1] for r in touching.groupBy(bucket).agg(
+            F.sum(F.octet_length(text) + 64)).collect()}
         open_ = {b: v for b, v in held.items() if b in found and v >= 0}
-        self._store(before + 1, change(self._read(open_)), held, set(open_), run)
+        small = sum(found.values()) <= SENT_BYTES
+        self._store(before + 1, change(self._read(open_), small), held, set(open_), run,
+                    in_place=small)
         return sorted(open_)
 
     def _store(self, version: int, rows: DataFrame, held: dict[int, int], touched: set[int],
-               run: str) -> None:
+               run: str, in_place: bool = False) -> None:
+        """Write the touched buckets; rows that come bucket by bucket stay ``in_place``."""
         folder = f"{self.folder}/data/version={version}"
-        rows.select(*self.schema.names, self._bucket(len(held)).alias("bucket")).hint(
-            "rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        rows = rows.select(*self.schema.names, self._bucket(len(held)).alias("bucket"))
+        rows = rows if in_place else rows.hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         written = {int(status.getPath().getName().split("=")[1]) for status in path.getFileSystem(
             self.spark._jsc.hadoopConfiguration()).listStatus(path) if status.isDirectory()}

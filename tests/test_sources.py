@@ -401,6 +401,35 @@ def test_untouched_buckets_keep_their_files(spark, tmp_path):
     assert held() == {("x", None, "open")}
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_small_changes_go_to_the_rows(spark, tmp_path, monkeypatch, sent):
+    """The rows of a bucketed table are not shuffled for a small change; large ones do the same."""
+    from seclake.sources import bucketed
+    monkeypatch.setattr(bucketed, "SENT_BYTES", sent, raising=False)
+    schema = StructType([StructField(n, StringType()) for n in ("id", "owner", "state")])
+    table = BucketedTable(spark, str(tmp_path), "owner", schema)
+    rows = [(f"f{i}", f"o{i % 40}", "open") for i in range(400)] + [("x", None, "open")]
+    table.create(spark.createDataFrame(rows, schema), buckets=16)
+    plans, store = [], table._store
+
+    def noted(version, made, *rest, **more):
+        plans.append(made._jdf.queryExecution().toString())
+        store(version, made, *rest, **more)
+
+    monkeypatch.setattr(table, "_store", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table.delete(spark.createDataFrame([(f"o{i}",) for i in (1, 1, 2, 3, None)], "owner string"), "one")
+        table.merge(spark.createDataFrame([("f4", "o4", "shut"), ("f5", None, "no")], schema), "two", key="id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    kept = [r for r in rows if r[1] not in ("o1", "o2", "o3")]
+    assert sorted(map(str, table.rows().collect())) == sorted(map(str, spark.createDataFrame(
+        [("f4", "o4", "shut") if r[0] == "f4" else r for r in kept], schema).collect()))
+    assert [("SortMergeJoin" in p, "BroadcastHashJoin" in p) for p in plans] == 2 * [(not sent, bool(sent))]
+
+
 def test_empty_bucketed_table(spark, tmp_path):
     table = BucketedTable(spark, str(tmp_path), "id", schemas.SCANS)
     table.create(spark.createDataFrame([], schemas.SCANS), buckets=4)
