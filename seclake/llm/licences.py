@@ -9,7 +9,7 @@ import math
 import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, NGram
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -218,15 +218,24 @@ def vocabulary() -> list[str]:
                    for n in (1, 2, 3) for i in range(len(w) - n + 1)})
 
 
+def _longer(runs: Column, words: Column, n: int) -> Column:
+    """Runs of ``n`` words from those of one less, as NGram gives them."""
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(runs, 1, count), F.slice(words, n, count),
+                      lambda run, word: F.concat(run, F.lit(" "), word))
+
+
 def _featured(rows: DataFrame) -> DataFrame:
-    """Adds _x, which of the vocabulary the words hold, in place of words."""
-    rows = rows.withColumn("_1", F.col("words"))
-    for n in (2, 3):
-        rows = NGram(n=n, inputCol="_1", outputCol=f"_{n}").transform(rows)
-    counter = CountVectorizerModel.from_vocabulary(
-        vocabulary(), inputCol="_grams", outputCol="_x")
-    return counter.setBinary(True).transform(
-        rows.withColumn("_grams", F.concat("_1", "_2", "_3"))).drop("_1", "_2", "_3", "_grams")
+    """Adds _x, which of the vocabulary the words hold.
+
+    Other runs are left out before the counter, which makes an object of each.
+    """
+    known = vocabulary()
+    counter = CountVectorizerModel.from_vocabulary(known, inputCol="_grams", outputCol="_x")
+    rows = rows.withColumn("_2", _longer(F.col("words"), F.col("words"), 2))
+    grams = F.concat("words", "_2", _longer(F.col("_2"), F.col("words"), 3))
+    return counter.setBinary(True).transform(rows.withColumn(
+        "_grams", F.filter(grams, lambda gram: gram.isin(known)))).drop("_2", "_grams")
 
 
 class LicenceModel:

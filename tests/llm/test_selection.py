@@ -403,3 +403,21 @@ def test_wrapped_notices(spark, docs_of):
         (1, 0, "apache"), (2, 2, "bsd")}
     assert sorted((r.doc_id, r.line) for r in got) == [
         (1, 0), (2, 0), (2, 2), (2, 5), (3, 2), (3, 5), (3, 10), (5, 0), (5, 3)]
+
+
+def test_only_known_runs_reach_the_counter(spark, monkeypatch):
+    """Runs of words outside the vocabulary are left out before the counter makes objects of them."""
+    known = set(licences.vocabulary())
+
+    class Counter:
+        from_vocabulary = staticmethod(lambda *_, **__: Counter())
+        setBinary = lambda self, _: self
+        transform = lambda self, rows: rows.withColumn("_x", F.col("_grams"))
+
+    monkeypatch.setattr(licences, "CountVectorizerModel", Counter)
+    cases = [[], ["mit"], ["the", "mit"], ["qq", "the", "mit", "license", "qq", "license"]]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i long, words array<string>")
+    got = {r.i: r for r in licences._featured(rows).collect()}
+    for i, w in enumerate(cases):
+        runs = [" ".join(w[k:k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)]
+        assert got[i].words == w and got[i]._x == [run for run in runs if run in known]
