@@ -164,9 +164,10 @@ def _ties(
     levels down to the lowest at which pairs of pivots and members not yet tied stay within a
     few times the lists' rows. The last round ends at level 0, so every pair of a list is compared or already tied.
 
-    A pair is dropped if its sizes, the shingles that either has alone, or the least values of
-    its union say it can't be a link;
-    whole shingle sets decide on the others.
+    A pair is dropped if its sizes, the shingles that either has alone, what each shares with
+    the first pivot of the list, or the least values of its union say it can't be a link;
+    whole shingle sets decide on the others. So a copy with many edits of its own is compared
+    with the pivot, and not with all other copies in vain.
     """
     level = 10 - F.floor(F.log2(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) + 1) / LEVEL_BITS)
     sketched = stored(_prefixes(classes, percent), "lists")
@@ -195,7 +196,10 @@ def _ties(
         if not count:
             break
         member = member.join(several.select("value"), "value")
+        # Neither's own shingles are shared; the rest of both can be, at the most.
+        most = F.least(F.col("n") - F.col("u"), F.col("p_n") - F.col("p_u"))
         if first:
+            could = (F.col("u") + F.col("p_u")) * percent <= most * (100 - percent)
             pivots = several.join(tops, "value").select(
                 "value", *[F.col(f"top.{c}").alias(f"p_{c}") for c in ("cid", "n", "u")])
         else:
@@ -206,32 +210,48 @@ def _ties(
                 (F.col("level") >= lowest) & (F.col("level") < done)
                 & (F.col("cid") != F.col("top.cid"))).select(
                 "value", *[F.col(c).alias(f"p_{c}") for c in
-                           ("level", "cid", "n", "u", "root", "values")])
+                           ("level", "cid", "n", "u", "kept", "more", "root", "values")])
             done = lowest
-        # Neither's own shingles are shared; the rest of the union can be, at the most.
-        could = ((F.col("u") + F.col("p_u")) * percent
-                 <= F.least(F.col("n") - F.col("u"), F.col("p_n") - F.col("p_u"))
-                 * (100 - percent)) & (
-                 F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+            # Nor can more of the first pivot's shingles be than the one with fewer has.
+            most = F.least(F.least("kept", "p_kept") + F.least("more", "p_more"), most)
+            could = ((F.col("u") + F.col("p_u")) * percent <= most * (100 - percent)) & (
+                most * 100 >= (F.col("n") + F.col("p_n") - most) * percent)
+        could &= F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
         pairs = member.join(pivots, "value").filter(could).filter(
             "cid <> p_cid" if first else
             "root <> p_root AND (level < p_level OR level = p_level AND cid < p_cid) "
             # Once for a pair: in the first list that both are in.
             "AND value = element_at(array_intersect(values, p_values), 1)")
-        first = False
         pairs = stored(pairs.select(F.col("p_cid").alias("a"), F.col("cid").alias("b")).distinct(),
                        "pairs")
-        new = stored(_verified(docs, classes, pairs, percent), "links")
+        if not first and not pairs.limit(1).count():
+            continue
+        seen = stored(_compared(docs, classes, pairs, percent), "compared")
+        if first:
+            first, rows = False, stored(_with_kept(rows, seen), "members")
+        new = seen.filter("link").select("a", "b")
         if new.limit(1).count():
             found = new if found is None else found.union(new)
             tied = stored(components(found), "tied")
     return tied
 
 
-def _verified(
+def _with_kept(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """``rows`` with kept and more: how many shingles of its list's first pivot a member has, and
+    how many others that are not its own. Both are the most they can be where ``seen`` has no count.
+    """
+    rest = F.col("n") - F.col("u")
+    counts = seen.select(F.col("a").alias("_top"), F.col("b").alias("cid"), "shared")
+    return rows.withColumn("_top", F.col("top.cid")).join(counts, ["_top", "cid"], "left").withColumn(
+        "kept", F.coalesce("shared", rest)).withColumn(
+        "more", F.when(F.col("cid") == F.col("_top"), F.lit(0)).otherwise(
+            F.coalesce(rest - F.col("shared"), rest))).drop("_top", "shared")
+
+
+def _compared(
     docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
 ) -> DataFrame:
-    """The pairs that are links."""
+    """a, b, shared (the shingles both have) and link of the pairs whose sketches don't rule one out."""
     sketch = classes.select("cid", F.col("least"))
     ab = pairs.join(sketch.toDF("a", "la"), "a").join(sketch.toDF("b", "lb"), "b")
     union = F.slice(F.array_sort(F.transform(F.array_union("la", "lb"), _unsigned)), 1, RETAINED)
@@ -246,9 +266,9 @@ def _verified(
         F.first("own").alias("own")), "sets")
     whole = likely.join(full.toDF("a", "na", "oa"), "a").join(full.toDF("b", "nb", "ob"), "b")
     shared = F.size(F.array_intersect("oa", "ob"))
-    links = whole.withColumn("_i", shared).filter(
-        F.col("_i") * 100 >= (F.col("na") + F.col("nb") - F.col("_i")) * percent)
-    return links.select("a", "b")
+    return whole.select("a", "b", "na", "nb", shared.alias("shared")).select(
+        "a", "b", "shared",
+        (F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).alias("link"))
 
 
 def _unsigned(value):

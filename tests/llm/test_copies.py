@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from seclake.llm import near_copies as near_copies_module
 from seclake.llm.components import components
 from seclake.llm.lines import (
     CHARS_AN_EDIT, LEAST_WORDS, with_kept_lines, within_one, without_repeated_lines,
@@ -108,6 +109,35 @@ def test_texts_without_id_take_part(spark, docs_of):
     assert [left[x] for x in other] == [1, 1, 1]
 
 
+def test_copies_with_edits_of_their_own_are_not_compared_with_all(docs_of, monkeypatch):
+    """Those too far from the group's first pivot are not paired with each copy that is linked to it."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(drop):
+        words = list(base)
+        for at in rng.sample(range(10, 290), 2):
+            words[at] = str(rng.random())
+        at = rng.randrange(20, 240)
+        return " ".join(words[:at] + words[at + drop:])
+
+    rows = [(0, " ".join(base))] + [(i, changed(0)) for i in range(1, 61)]
+    rows += [(100 + i, changed(30)) for i in range(8)]
+    written, stored = [], near_copies_module.stored
+
+    def noted(df, name):
+        out = stored(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_copies_module, "stored", noted)
+    got = Counter(tuple(r) for r in near_copies(docs_of(rows), 85).select(
+        "doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == components_by_hand(rows, 85)
+    assert max(Counter(c for _, _, c, _ in got).values()) >= 61
+    assert sum(n for name, n in written if name == "pairs") < 150  # 607 without the counts
+
+
 def test_least_shared_rises():
     assert least_shared(100) == 48 and 15 < least_shared(80) < least_shared(90) < 48
 
