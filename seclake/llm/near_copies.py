@@ -178,10 +178,9 @@ def _ties(
         F.max(F.struct((-F.col("u") / F.col("n")).alias("share"), "level", "cid", "n", "u")
               ).alias("top"), F.count("*").alias("_m")).filter("_m > 1").select("value", "top"), "tops")
     rows = stored(lists.join(tops, "value"), "members")
-    found, tied = None, None
+    tied = None
     if given.limit(1).count():
-        found = stored(given, "found")
-        tied = stored(components(found), "tied")
+        tied = stored(components(given), "tied")
     first, done = True, 11
     while done > 0:
         member = rows.withColumn("root", F.col("cid")) if tied is None else rows.join(
@@ -231,8 +230,10 @@ def _ties(
             first, rows = False, stored(_with_kept(rows, seen), "members")
         new = seen.filter("link").select("a", "b")
         if new.limit(1).count():
-            found = new if found is None else found.union(new)
-            tied = stored(components(found), "tied")
+            # What is tied already is a star, which takes fewer steps than its links.
+            links = new if tied is None else tied.select(
+                F.col("root").alias("a"), F.col("node").alias("b")).union(new)
+            tied = stored(components(links), "tied")
     return tied
 
 
