@@ -116,7 +116,8 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cid, n and whole shingle set (own) of each row of a wanted class (cid, rep, at, d1, d2, n).
 
-    A class without an id is found by its text's value, and read from one of its rows.
+    A class without an id is found by its text's value, and read from one of its rows. ``wanted``
+    is read several times and should be a written table.
     """
     def texts(of: DataFrame, key: str) -> DataFrame:
         few = of.limit(MOST_SENT + 1).count() <= MOST_SENT
@@ -143,7 +144,7 @@ def _own_shingles(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> Data
     Exact, from whole sets. A copy with many edits has many shingles of its own, and the lists
     of its group would pair it with all others in vain.
     """
-    wanted = classes.join(lists.select("cid").distinct(), "cid")
+    wanted = stored(classes.join(lists.select("cid").distinct(), "cid").drop("least"), "wanted")
     values = _full_sets(docs, wanted.select("cid", "rep", "at", "d1", "d2", "n")).select(
         "cid", F.explode("own").alias("value"))
     own = values.groupBy("value").agg(F.min("cid").alias("cid"), F.max("cid").alias("_hi")).filter(
@@ -262,7 +263,7 @@ def _compared(
         F.size(F.array_intersect("_union", both)) >= F.element_at(least, F.size("_union") + 1))
     likely = stored(likely.select("a", "b"), "likely")
     ids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
-    wanted = classes.join(ids, "cid").select("cid", "rep", "at", "d1", "d2", "n")
+    wanted = stored(classes.join(ids, "cid").select("cid", "rep", "at", "d1", "d2", "n"), "wanted")
     full = stored(_full_sets(docs, wanted).groupBy("cid", "n").agg(
         F.first("own").alias("own")), "sets")
     whole = likely.join(full.toDF("a", "na", "oa"), "a").join(full.toDF("b", "nb", "ob"), "b")
@@ -298,8 +299,8 @@ def near_copies(
     classes = stored(rows.filter("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("rep"), F.min("t").alias("at"), F.first("least").alias("least")
         ).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    placed = rows.drop("least").join(classes.select("d1", "d2", "n", "cid"),
-                                     ["d1", "d2", "n"], "left").drop("d1", "d2")
+    placed = stored(rows.drop("least").join(classes.select("d1", "d2", "n", "cid"),
+                                            ["d1", "d2", "n"], "left").drop("d1", "d2"), "placed")
     again = placed.filter("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a <> b")
     same_id = placed.join(again.select("doc_id", "a"), "doc_id").select(

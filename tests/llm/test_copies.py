@@ -282,3 +282,18 @@ def test_clashing_columns(docs_of):
     for stage in (with_kept_lines, one_of_each):
         assert stage(extra).columns == extra.columns
         assert stage(extra).count() == 2
+
+
+def test_classes_whose_sets_are_read_are_written_first(docs_of, monkeypatch):
+    """They are read four times for each search; a join behind them would run as often."""
+    plans = []
+
+    def seen(docs, wanted, sets=near_copies_module._full_sets):
+        plans.append(wanted._jdf.queryExecution().toString())
+        return sets(docs, wanted)
+
+    monkeypatch.setattr(near_copies_module, "_full_sets", seen)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:55], f"x{i}", *words[56:]])) for i in range(3)]
+    assert {r.component_id for r in near_copies(docs_of(rows), 70).collect()} == {0}
+    assert plans and not any("Join" in plan for plan in plans)
