@@ -229,3 +229,73 @@ def test_first_anchor_of_windows_with_the_least_value():
                        for w in p.tolist()]
             assert text.anchors[text.first_least(p)].tolist() == plainly
     assert not len(text.first_least(np.zeros(0, np.int64)))
+
+
+def in_order(rows, ranks):
+    """Whether of any two suffixes that differ the lesser one has the smaller rank."""
+    assert {s: len(r) for s, r in ranks.items()} == {i: len(r) for i, r in rows.items()}
+    suffixes = sorted((rank, rows[s][at:]) for s, own in ranks.items() for at, rank in enumerate(own))
+    return all(a == b or (a < b and rank < other)
+               for (rank, a), (other, b) in zip(suffixes, suffixes[1:]))
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_suffixes_are_ranked_to_their_end(spark, partitions):
+    lot = random.Random(11)
+    common = [[lot.randrange(50) for _ in range(n)] for n in (9, 10, 40, 130, 300)]
+    rows = [[7] * n for n in (1, 2, 3, 60, 200, 200)] + [[1, 2] * 60, [2, 1, 2, 3] * 40, [3, 1, 2] * 50]
+    for part in common:
+        for _ in range(3):  # the same inside, at the start and at the end
+            mine = [[lot.randrange(50) for _ in range(lot.randrange(8))] for _ in range(2)]
+            rows += [mine[0] + part + mine[1], part + mine[1], mine[0] + part]
+    rows += [common[4][:150] + [-5] + common[4][151:], common[4][:150] + [99] + common[4][151:]]
+    rows = {i: row for i, row in enumerate(row for row in rows if row)}
+    settings = {"spark.sql.shuffle.partitions": str(partitions),
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = stored(spark.createDataFrame(list(rows.items()), "sid long, names array<long>"), "strings")
+        ranks = {r.sid: r.ranks for r in D.suffix_ranks(df, None, Scratch(spark)).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert in_order(rows, ranks)
+
+
+def test_ranks_that_are_there_once_go_no_further(spark, monkeypatch):
+    lot = random.Random(12)
+    part = [lot.randrange(1000) for _ in range(60)]
+    rows = {i: [lot.randrange(10**9) for _ in range(600)] for i in range(8)}
+    rows[8], rows[9] = part + [3] + rows[0][:5], part + [4] + rows[1][:5]
+    asked = []
+
+    def counted(strings, *more, own=D.suffix_ranks):
+        asked.append(sum(len(r.names) for r in strings.collect()))
+        return own(strings, *more)
+
+    monkeypatch.setattr(D, "suffix_ranks", counted)
+    df = stored(spark.createDataFrame(list(rows.items()), "sid long, names array<long>"), "strings")
+    ranks = {r.sid: r.ranks for r in D.suffix_ranks(df, None, Scratch(spark)).collect()}
+    assert in_order(rows, ranks)
+    assert asked[0] > 4900 and 0 < asked[1] < 100 and len(asked) > 2
+
+
+def test_texts_that_share_much_are_ranked_by_all_their_names(docs_of, monkeypatch):
+    lot = random.Random(13)
+    one = prose(lot, 4000)
+    texts = [prose(lot, 150) + one + prose(lot, 250) for _ in range(3)] + ["ab" * 300 + one[:900], "ab" * 310]
+    seen = []
+
+    def told(strings, *more, own=D.suffix_ranks):
+        ranks = own(strings, *more)
+        if len(more) == 2:  # not for a shorter string
+            seen.append(({r.sid: list(r.names) for r in strings.collect()},
+                         {r.sid: r.ranks for r in ranks.collect()}))
+        return ranks
+
+    monkeypatch.setattr(D, "suffix_ranks", told)
+    assert mine(docs_of, texts) == plain(texts)
+    rows, ranks = seen[0]
+    assert max(map(len, rows.values())) > 60 and in_order(rows, ranks)
